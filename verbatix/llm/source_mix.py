@@ -29,7 +29,7 @@ MOST, SLOTS = 1024, 200
 #: Slots of one stretch.
 STRETCH = 1 << 14
 GOLDEN = 0.6180339887498949
-#: The golden ratio's multiples modulo 1 in integers: i * STEP modulo 2^53, exact in a long for any stretch.
+#: The golden ratio's multiples modulo 1 in integers: i * STEP modulo 2^BITS, exact in a long.
 _BITS = 30
 _STEP = int(GOLDEN * (1 << _BITS)) | 1
 
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
 
     # the schedule: two stretches more than the targets need; what a source still lacks then follows at the end
     n = slots + slots // 8 + 64
-    point = F.pmod(F.col("id") * F.lit(_STEP), F.lit(1 << _BITS))
+    point = F.pmod(F.pmod(F.col("id"), F.lit(1 << _BITS)) * F.lit(_STEP), F.lit(1 << _BITS))
     taskful = max(1, min(n // (8 * STRETCH) + 1, 10_000))
     timed = spark.range(0, n, 1, taskful).select("id", (F.col("id") / STRETCH).cast("bigint").alias("stretch"), point.alias("x"))
     timed = timed.join(F.broadcast(facts.select("k", "low", "high", "need")), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
