@@ -11,11 +11,12 @@ from .doc_fingerprint import op4_doc_fingerprint
 from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
 from .source_mix import op6_source_mix
+from .token_files import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op3_byte_bpe, op4_doc_fingerprint, op6_source_mix, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_doc_fingerprint, op5_token_files, op6_source_mix, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
