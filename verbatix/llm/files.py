@@ -24,7 +24,7 @@ class Written:
     def __init__(self, uri: str):
         self.store, self.path = opened(uri)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.out = self.store.open_output_stream(self.temporary)
+        self.out = self.store.open_output_stream(self.temporary, compression=None)
         self.at = 0
 
     def write(self, data: bytes) -> None:
