@@ -16,6 +16,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Records of one Arrow batch: at the longest documents of the tables (20,000 words) a batch stays near 250 MB.
 BATCH_ROWS = 2000
+#: Estimates from this size on are the optimizer's word for not knowing.
+UNKNOWN = 1 << 58
+MOST_PARTS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +54,8 @@ def input_bytes(df: DataFrame) -> int:
 def parts(df: DataFrame, mb: float) -> int:
     """How many partitions hold about mb megabytes of df's input files each; at least the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, int(input_bytes(df) / (mb * 1e6)) + 1)
+    size = input_bytes(df)
+    return least if size >= UNKNOWN else max(least, min(MOST_PARTS, int(size / (mb * 1e6)) + 1))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
+from .chat_format import op8_chat_format
 from .doc_fingerprint import op4_doc_fingerprint
 from .ngram_join import op1_ngram_join
 from .quality_rules import op9_quality_rules
@@ -19,7 +20,7 @@ from .warc import op7_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_byte_bpe, op4_doc_fingerprint, op5_token_files, op6_source_mix, op7_warc, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_byte_bpe, op4_doc_fingerprint, op5_token_files, op6_source_mix, op7_warc, op8_chat_format, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,6 +40,12 @@ def words(text: Column) -> Column:
     return (F.length(spaced) - F.length(F.translate(spaced, "w", ""))).cast("bigint")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text with what stands between them."""
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.concat_ws("", F.slice(ends, F.lit(1), n.cast("int")))
+
+
 def targets(sizes: list[tuple], weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> list[float]:
     """Targets of sources in order: share of all words by weight, none above limit times its size, the excess dealt out again by weight."""
     size = [float(s) for s in sizes]
@@ -59,16 +65,16 @@ def targets(sizes: list[tuple], weights: tuple = WEIGHTS, share: float = SHARE,
     return out
 
 
-def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
-    """docs' doc_id and source with size, source_size, target and taken (words of the document that the mix takes, repeats counted)."""
+def mix(docs: DataFrame, size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs' doc_id and source with size, source_size, target and taken (words of the document that the mix takes, repeats counted), and the columns to carry along."""
     spark = docs.sparkSession
-    sized = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), (words(F.col("text")) if size is None else size).alias("size")), "sizes")
+    sized = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), (words(F.col("text")) if size is None else size).alias("size"), *carry), "sizes")
     # one row for each source: its number does not grow with the documents
     per = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     per = sorted(per, key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     total = sum(r.n for r in per)
     if not per or total == 0:
-        return sized.select("doc_id", "source", "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"))
+        return sized.select("doc_id", "source", "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"), *carry)
     goal = targets([r.n for r in per])
     whole = [min(round(g), int(LIMIT * r.n)) for g, r in zip(goal, per)]
     block = max(1, min(MOST, int(sum(goal) / (SLOTS * len(per)))))
@@ -102,14 +108,25 @@ def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
     offset = sums.select("k", "bucket", (F.sum("n").over(Window.partitionBy("k").orderBy("bucket")) - F.col("n")).alias("offset"))
     inner = F.sum("size").over(Window.partitionBy("k", "bucket").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     lines = placed.withColumn("inner", inner).join(offset, ["k", "bucket"]).withColumn("begin", F.col("inner") + F.col("offset")).withColumn("key", F.monotonically_increasing_id())
-    lines = staged(lines.select("key", "doc_id", "source", "size", "k", "source_size", "target", "whole", "begin"), "lines")
+    lines = staged(lines.select("key", "doc_id", "source", "size", "k", "source_size", "target", "whole", "begin", *carry), "lines")
 
     # blocks of the line laid twice, joined with the slots that take them
     laid = lines.where("size > 0").select("key", "k", "size", "whole", F.explode(F.array(F.col("begin"), F.col("begin") + F.col("source_size"))).alias("a")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("whole"))).where("a < b")
     piece = laid.select("key", "k", "a", "b", F.explode(F.sequence((F.col("a") / block).cast("bigint"), ((F.col("b") - 1) / block).cast("bigint"))).alias("r"))
     piece = piece.select("key", "k", "r", (F.least("b", (F.col("r") + 1) * block) - F.greatest("a", F.col("r") * block)).alias("w"))
     taken = piece.join(schedule, ["k", "r"]).groupBy("key").agg(F.sum("w").alias("taken"))
-    return lines.join(taken, "key", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return lines.join(taken, "key", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: each as often as it is taken, the last time perhaps with its first words only; n_chars is counted anew."""
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    taken = mix(keyed, carry=("text_key",)).select(F.col("doc_id").alias("id"), F.col("text_key").alias("of"), "size", "taken").where("taken > 0").dropDuplicates(["id", "of"])
+    rows = keyed.join(taken, keyed.doc_id.eqNullSafe(taken.id) & (keyed.text_key == taken.of))
+    times = F.when(F.col("taken") > F.col("size"), F.array("size", F.col("taken") - F.col("size"))).otherwise(F.array("taken"))
+    rows = rows.withColumn("n", F.explode(times))
+    text = F.when(F.col("n") >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("n")))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
