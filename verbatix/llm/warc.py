@@ -33,6 +33,8 @@ from .files import Written, make_folder, opened
 LEAST_BYTES = 0
 #: Pages whose keys and times the splitters are chosen from: a bounded sample, which only affects how even the ranges are.
 SAMPLE = 4096
+#: Revisits are broadcast up to so many rows (16 bytes each); more are joined by a shuffle of the pages.
+BROADCAST_ROWS = 1_000_000
 #: The tables have no times: a page is captured so many seconds after this as its id says.
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
@@ -170,9 +172,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     sample = rows.select("page_id", "url").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE).collect()
     keys = sorted({(url_key(r.url), captured(r.page_id).isoformat()) for r in sample})
     cuts = sorted({keys[k * len(keys) // n] for k in range(1, n)}) if keys else []
-    back = revisits(pages)
+    back = staged(revisits(pages), "revisits")
+    back = F.broadcast(back) if back.count() <= BROADCAST_ROWS else back
     # pages with a null id can share a payload: their decision is by digest, kept apart from the join by id
-    joined = rows.repartition(n, "page_id").join(back, rows.page_id.eqNullSafe(back.page_id) & rows.page_id.isNotNull(), "left").drop(back.page_id)
+    joined = rows.join(back, rows.page_id.eqNullSafe(back.page_id) & rows.page_id.isNotNull(), "left").drop(back.page_id)
     joined = joined.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "html").withColumn("run", F.spark_partition_id())
     schema = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("uri", pa.string()), ("lines", pa.binary())])
 
