@@ -58,25 +58,34 @@ def white_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def _grams(size: Column, n: int, at) -> Column:
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), at)).otherwise(F.array().cast("array<string>"))
+def _grams(items: Column, n: int, prefix: str, between: str) -> Column:
+    # items are taken one by one: slice() copies the whole array at each place
+    at = lambda i: F.concat(F.lit(prefix), F.concat_ws(between, *[F.get(items, i + k) for k in range(n)]))
+    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), at)).otherwise(F.array().cast("array<string>"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's free expressions are computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def word_ngrams(text: Column, least: int, most: int) -> Column:
     """Bag of w<n>:a_b features."""
-    words = word_tokens(text)
-    return F.concat(*[_grams(F.size(words), n, lambda i, n=n: F.concat(F.lit(f"w{n}:"), F.array_join(F.slice(words, i, F.lit(n)), "_"))) for n in range(least, most + 1)])
+    of = lambda words: F.concat(*[_grams(words, n, f"w{n}:", "_") for n in range(least, most + 1)])
+    return let(word_tokens(text), of)
 
 
 def char_ngrams(text: Column, least: int, most: int) -> Column:
     """Bag of c<n>: features of the normalised text with a space at each end; inner spaces show as _."""
     padded = F.translate(F.concat(F.lit(" "), normalize(text), F.lit(" ")), " ", "_")
-    return F.concat(*[_grams(F.length(padded), n, lambda i, n=n: F.concat(F.lit(f"c{n}:"), F.substring(padded, i, F.lit(n)))) for n in range(least, most + 1)])
+    letters = F.filter(F.split(padded, ""), lambda c: c != "")  # an array: the n-th character of a string is found by walking to it
+    of = lambda c: F.concat(*[_grams(c, n, f"c{n}:", "") for n in range(least, most + 1)])
+    return let(letters, of)
 
 
 def features(text: Column, word: tuple[int, int] | None = None, char: tuple[int, int] | None = None) -> Column:
     """Word and character features in one bag."""
-    bags = [word_ngrams(text, *word)] * bool(word) + [char_ngrams(text, *char)] * bool(char)
+    bags = ([word_ngrams(text, *word)] if word else []) + ([char_ngrams(text, *char)] if char else [])
     return F.concat(*bags) if bags else F.array().cast("array<string>")
 
 
@@ -95,11 +104,14 @@ def construction_group(category: Column, frame_id: Column) -> Column:
 
 def cues(text: Column) -> Column:
     """CND: and REP: features of the cue words present, then HAS_CONDEMN and HAS_REPORT."""
-    words = word_tokens(text)
-    found = lambda kind, of: F.transform(F.filter(F.array(*[F.lit(w) for w in of]), lambda w: F.array_contains(words, w)), lambda w: F.concat(F.lit(kind), w))
-    condemn, report = found("CND:", CONDEMN), found("REP:", REPORT)
-    has = lambda bag, name: F.when(F.size(bag) > 0, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    return F.concat(condemn, report, has(condemn, "HAS_CONDEMN"), has(report, "HAS_REPORT"))
+    none = F.array().cast("array<string>")
+
+    def of(words: Column) -> Column:
+        found = [F.array_compact(F.array(*[F.when(F.array_contains(words, w), F.lit(kind + w)) for w in listed])) for kind, listed in (("CND:", CONDEMN), ("REP:", REPORT))]
+        has = [F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in listed])), F.array(F.lit(name))).otherwise(none) for listed, name in ((CONDEMN, "HAS_CONDEMN"), (REPORT, "HAS_REPORT"))]
+        return F.concat(*found, *has)
+
+    return let(word_tokens(text), of)
 
 
 def cue_text(text: Column) -> Column:
