@@ -1 +1,19 @@
-"""Part of the text-diagnostics engine."""
+"""Streaming use of the batch operators: a score store that grows batch by batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.scoring import upsert
+
+
+def upsert_stream(scores: DataFrame, store: str, checkpoint: str, keys: tuple[str, ...] = ("model", "prompt")) -> StreamingQuery:
+    """Upserts each micro-batch of scores into a store of numbered versions, so that a batch that is run again gives the same store."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{store}/v{number - 1}") if number else batch.limit(0)
+        upsert(old, batch.dropDuplicates(list(keys)), keys).write.mode("overwrite").parquet(f"{store}/v{number}")
+
+    return scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
