@@ -11,49 +11,53 @@ def _ratio(a, b):
 
 
 def confusion(scored: DataFrame, classes: list[str], by: tuple[str, ...] = (), truth: str = "label", pred: str = "pred") -> DataFrame:
-    """by, t, p, n for all pairs of classes, zeros included; raises in execution if a class is not listed."""
-    listed = F.array(*[F.lit(c) for c in classes])
+    """by, t, p, n for all pairs of classes, zeros included; raises in execution if a class is not listed.
+
+    All cells come from one aggregate, so scored is computed once.
+    """
     known = F.col(truth).isin(classes) & F.col(pred).isin(classes)
-    n = scored.withColumn("_ok", F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(truth, F.lit("null")), F.lit(", "), F.coalesce(pred, F.lit("null")))).cast("boolean"))).where("_ok")
-    n = n.groupBy(*by, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
-    cells = n.select(*by).distinct() if by else n.sparkSession.range(1).select()
-    cells = cells.select(*by, F.explode(listed).alias("t")).select(*by, "t", F.explode(listed).alias("p"))
-    return cells.join(n, [*by, "t", "p"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    said = F.concat(F.lit("unknown class: "), F.coalesce(truth, F.lit("null")), F.lit(", "), F.coalesce(pred, F.lit("null")))
+    rows = scored.withColumn("_ok", F.when(known, True).otherwise(F.raise_error(said).cast("boolean"))).where("_ok")
+    pairs = [(t, p) for t in classes for p in classes]
+    counts = rows.groupBy(*by).agg(*[F.count_if((F.col(truth) == t) & (F.col(pred) == p)).alias(f"_{k}") for k, (t, p) in enumerate(pairs)])
+    cell = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.col(f"_{k}").alias("n")) for k, (t, p) in enumerate(pairs)]))
+    return counts.select(*by, cell.alias("_c")).select(*by, "_c.t", "_c.p", "_c.n")
 
 
 def class_metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, class, precision, recall, f1, support; 0 where a denominator is 0."""
+    return _classes(matrix, by).select(*by, "class", "precision", "recall", "f1", "support")
+
+
+def _classes(matrix: DataFrame, by: tuple[str, ...]) -> DataFrame:
     both = matrix.select(*by, F.explode(F.array_distinct(F.array("t", "p"))).alias("class"), "t", "p", "n")
     at = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    sums = both.groupBy(*by, "class").agg(at((F.col("t") == F.col("class")) & (F.col("p") == F.col("class"))).alias("tp"), at(F.col("t") == F.col("class")).alias("support"), at(F.col("p") == F.col("class")).alias("named"))
-    p, r = _ratio(F.col("tp"), F.col("named")), _ratio(F.col("tp"), F.col("support"))
-    rows = sums.select(*by, "class", p.alias("precision"), r.alias("recall"), "support")
-    f1 = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return rows.select(*by, "class", "precision", "recall", f1.alias("f1"), "support")
+    true, named = F.col("t") == F.col("class"), F.col("p") == F.col("class")
+    sums = both.groupBy(*by, "class").agg(at(true & named).alias("tp"), at(true).alias("support"), at(named).alias("named"))
+    rows = sums.withColumns({"precision": _ratio(F.col("tp"), F.col("named")), "recall": _ratio(F.col("tp"), F.col("support"))})
+    return rows.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def macro_metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, n, accuracy and the means of precision, recall and F1 over all listed classes."""
-    whole = matrix.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("hit"))
-    means = class_metrics(matrix, by).groupBy(*by).agg(F.avg("precision").alias("macro_p"), F.avg("recall").alias("macro_r"), F.avg("f1").alias("macro_f1"))
-    joined = whole.join(means, list(by)) if by else whole.crossJoin(means)
-    return joined.select(*by, "n", _ratio(F.col("hit"), F.col("n")).alias("accuracy"), "macro_p", "macro_r", "macro_f1")
+def all_metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, n, accuracy, the means of precision, recall and F1 over all listed classes, and mcc (0 where its denominator is 0)."""
+    x = lambda a, b: F.sum(F.col(a).cast("double") * F.col(b))
+    sums = _classes(matrix, by).groupBy(*by).agg(
+        F.sum("support").alias("n"), F.sum("tp").alias("hit"), F.avg("precision").alias("macro_p"), F.avg("recall").alias("macro_r"), F.avg("f1").alias("macro_f1"),
+        x("support", "named").alias("tp"), x("support", "support").alias("tt"), x("named", "named").alias("pp"),
+    )
+    s = F.col("n").cast("double")
+    mcc_ = _ratio(F.col("hit") * s - F.col("tp"), F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt"))))
+    return sums.select(*by, "n", _ratio(F.col("hit"), F.col("n")).alias("accuracy"), "macro_p", "macro_r", "macro_f1", mcc_.alias("mcc"))
 
 
-def mcc(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, mcc for any number of classes; 0 where the denominator is 0."""
-    both = matrix.select(*by, F.explode(F.array_distinct(F.array("t", "p"))).alias("c"), "t", "p", "n")
-    at = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("double")
-    m = both.groupBy(*by, "c").agg(at(F.col("t") == F.col("c")).alias("tk"), at(F.col("p") == F.col("c")).alias("pk"), at((F.col("t") == F.col("c")) & (F.col("p") == F.col("c"))).alias("ck"))
-    s = m.groupBy(*by).agg(F.sum("ck").alias("c"), F.sum("tk").alias("s"), F.sum(F.col("tk") * F.col("pk")).alias("tp"), F.sum(F.col("tk") * F.col("tk")).alias("tt"), F.sum(F.col("pk") * F.col("pk")).alias("pp"))
-    below = F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
-    return s.select(*by, _ratio(F.col("c") * F.col("s") - F.col("tp"), below).alias("mcc"))
+def macro_metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """all_metrics without mcc."""
+    return all_metrics(matrix, by).drop("mcc")
 
 
-def all_metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """macro_metrics and mcc."""
-    a, b = macro_metrics(matrix, by), mcc(matrix, by)
-    return a.join(b, list(by)) if by else a.crossJoin(b)
+def mcc(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, mcc for any number of classes."""
+    return all_metrics(matrix, by).select(*by, "mcc")
 
 
 def fold_summary(per_fold: DataFrame, names: tuple[str, ...] = ("accuracy", "macro_f1", "mcc")) -> DataFrame:

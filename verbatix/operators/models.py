@@ -92,7 +92,7 @@ def nb_cv(rows: DataFrame, bag: Column, classes: list[str], alpha: float = 1.0,
     are left out.
     """
     k = range(len(classes))
-    x = exploded(rows, bag, "fold", "label").persist()
+    x = exploded(rows, bag, "fold", "label")
     own = x.groupBy("feat", "fold").agg(F.count("*").alias("df"), *[F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"k{i}") for i, c in enumerate(classes)])
     w = Window.partitionBy("feat")
     for c in ("df", *[f"k{i}" for i in k]):
