@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, id_and_text, pairs, table, to_batch
 
-#: Entries that a worker's memory of encoded words may hold (about 150 MB).
-MEMORY = 500_000
+#: Entries that a task's memory of encoded words may hold (about 150 MB).
+MEMORY = 400_000
 #: Prefixes of so many bytes keep their tables for other words that begin with them.
 HEADS = (11, 9, 7, 5)
 #: A space whose neighbours are both white space: the one case in which a text must not be cut before a space.
@@ -53,6 +53,11 @@ class Vocabulary:
         pattern = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.find = regex.compile(pattern).findall
 
+    def forget(self) -> None:
+        """Empties what has been remembered: workers outlive tasks, and other operators need their room."""
+        for known in (self._word, self._piece, self._head, self._pair):
+            known.clear()
+
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a few bytes by merging the pair of least rank again and again."""
         rank, part = self.rank, [data[i : i + 1] for i in range(len(data))]
@@ -201,6 +206,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         v = vocabulary(path)
         for b in batches:
             yield to_batch([(i, v.encode(t.decode("utf-8", "replace"))) for i, t in pairs(b)], schema)
+        v.forget()
 
     return arrow_map(id_and_text(docs), run, "doc_id long, ids binary")
 
@@ -217,6 +223,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ids = v.encode(t.decode("utf-8", "replace"))
                 rows.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()))
             yield to_batch(rows, schema)
+        v.forget()
 
     return arrow_map(id_and_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

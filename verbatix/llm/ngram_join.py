@@ -54,7 +54,7 @@ _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         n = self[word] = xxhash.xxh64_intdigest(word)
         return n
@@ -149,6 +149,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 yield from flush()
                 keys, owners, size = [], [], 0
         yield from flush()
+        _words.clear()
 
     result = "doc_id long, cls long, other long, n long, common long"
     schema = pa.schema([(x.split()[0], pa.int64()) for x in result.split(", ")])
@@ -218,6 +219,7 @@ def blocks_of_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     held, size, turn = [], 0, turn + 1
         if held:
             yield _block(TaskContext.get().partitionId() << 32 | turn, held)
+        _words.clear()
 
     return staged(arrow_map(rows, run, BLOCK_DDL), "blocks")
 
