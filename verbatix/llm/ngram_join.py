@@ -145,7 +145,7 @@ def counted(docs: DataFrame) -> DataFrame:
             turn += 1
             docs_of = np.array(ns, np.uint64) | (np.array(null, np.uint64) << np.uint64(63))
             yield to_batch([((TaskContext.get().partitionId() + turn) % n_buckets, 0, np.array(ids, np.int64).tobytes(), np.array(cls, np.uint64).tobytes(), np.array(other, np.uint64).tobytes(), docs_of.tobytes())], out)
-            if size > 2 * BLOCK:
+            if size > BLOCK // 2:
                 yield from flush()
                 keys, owners, size = [], [], 0
         yield from flush()
