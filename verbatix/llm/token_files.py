@@ -32,9 +32,11 @@ from .files import Written, make_folder, opened
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 END = 0
-#: Words that a worker remembers.
-MEMORY = 500_000
+#: Words of one of the two generations that a worker remembers (some 200 MB).
+MEMORY = 350_000
 _RUN = re.compile(r" (?<=\s )\s")
+#: An ASCII text without any of these has no such run.
+_HINTS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
 
 
 class TokenWriter:
@@ -97,21 +99,50 @@ class WordMemory:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.before: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m).tobytes() for m in ".,"}
+        #: whether a token begins with a space
+        self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words, each with a space before it, as one text; a token that begins with a space begins the next word.
+
+        A full stop or comma behind a letter is a match of its own: such words take the ids of what stands before it.
+        """
+        known, before = self.known, self.before
+        ended = {w: w[:-1] for w in words if w[-1:] in self.marks and w[-2:-1].isalpha() and w.isascii()}
+        plain = {ended.get(w, w) for w in words if w and not w[0].isspace()}
+        known.update((w, before[w]) for w in plain if w in before)
+        if plain := [w for w in plain if w not in known]:
+            ids = self._ids(" " + " ".join(plain))
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) != len(plain):
+                raise ValueError("words and tokens don't match")
+            data, at = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+            known.update(zip(plain, [data[x:y] for x, y in zip(at, at[1:])]))
+        known.update((w, known[head] + self.marks[w[-1]]) for w, head in ended.items() if not w[0].isspace())
+        known.update((w, self._ids(" " + w).tobytes()) for w in words if not w or w[0].isspace())
 
     def encode(self, text: str) -> bytes:
-        if _RUN.search(text):
-            return self._ids([text])[0]
+        if (not text.isascii() or any(x in text for x in _HINTS)) and _RUN.search(text):
+            return self._ids(text).tobytes()
         first, *rest = text.split(" ")
-        known = self.known
+        if len(self.known) > MEMORY:  # words not met since the last change of generations are forgotten
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         if new := [w for w in {*rest} if w not in known]:
-            if len(known) > MEMORY:
-                known.clear()
-                new = list({*rest})
-            known.update(zip(new, self._ids([" " + w for w in new])))
-        return b"".join([*self._ids([first]), *map(known.__getitem__, rest)])
+            known.update((w, before[w]) for w in new if w in before)
+            if new := [w for w in new if w not in before]:
+                self._learn(new)
+        if (ids := self.first.get(first)) is None:
+            if len(self.first) > 10_000:
+                self.first.clear()
+            ids = self.first[first] = self._ids(first).tobytes()
+        return b"".join([ids, *map(known.__getitem__, rest)])
 
 
 @lru_cache(2)
