@@ -135,6 +135,24 @@ def test_toxicity(spark):
     assert toxicity.train(docs, marks.limit(0)) is None and toxicity.score_documents(docs, None).where("score = 0").count() == 403
 
 
+def test_toxicity_of_many_short_and_joined_words():
+    r = random.Random(2)
+    bad = ["".join(r.choices("bdfgjklmpvz", k=6)) for _ in range(100)] + ["qxz", "wqj", "red lamp post"]
+    texts = [(prose(i, 80), 0) for i in range(900)]
+    for i in range(900, 1500):
+        w = prose(i, 80).split()
+        for x in r.sample(bad, 4):
+            w.insert(r.randrange(81), x)
+        texts.append((" ".join(w), 1))
+    # the words of the phrase are ordinary ones when they stand alone
+    texts = [(f"{t} {('red', 'lamp', 'post')[i % 3]} {prose(i + 5000, 9)}", label) for i, (t, label) in enumerate(texts)]
+    model = toxicity.fit([(t.encode(), label) for t, label in texts])
+    scorer = toxicity.Scorer(model)
+    missed = [x for k, x in enumerate(bad) if scorer.score(f" {x} ".join(prose(j, 20) for j in range(7000 + 9 * k, 7009 + 9 * k)).encode()) < 0.5]
+    assert not missed
+    assert sum(scorer.score(f"{prose(i, 80)} red {prose(i, 9)} lamp".encode()) >= 0.5 for i in range(9000, 9100)) <= 3
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return byte_bpe.Vocabulary(RANKS)

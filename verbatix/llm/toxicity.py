@@ -1,14 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts, one of passages typical of toxic texts, one
-of passages of ordinary texts; both have equal length and end in the same carrier. A window is a word
-of the text followed by the carrier, so that its matches in a dictionary decide the compressed length.
-The difference of the two lengths is the window's gain. The bytes by which a text's windows exceed a
-calibrated gain are added up, and a text is toxic from a calibrated sum on.
-
-The toxic passages are beginnings of words that stand in many different contexts of toxic texts and in
-hardly any ordinary text: counting contexts, not texts, keeps copies of one toxic text from adding
-their words.
+Two zstandard dictionaries are made from the texts of labelled rows. Both end in one that zstandard
+trains on the ordinary texts; the toxic one begins with passages of toxic texts, the other with as many
+zero bytes, so that distances to the shared part are equal. Windows of several words slide over the
+whole text, each overlapping the next one, whatever blanks the text has. The difference of a window's
+two compressed lengths is its gain. The bytes by which a text's windows exceed a calibrated gain are
+added up, and a text is toxic from a calibrated sum on.
+
+Passages are found by the bytes of the texts, blanks included, so that short words and several words
+together count as well as long words: strings that stand in many different contexts of toxic texts and
+in hardly any ordinary text, the most telling first, each as long as nearly all its places share.
+Places mostly within a chosen passage are no evidence for another one. As many are taken as there is evidence
+for. Counting contexts, not texts, keeps copies of one toxic text from adding their words.
 
 The sample is bounded: TOXIC and ORDINARY labelled rows, in the order of a hash of their ids.
 
@@ -20,10 +23,10 @@ every score is 0; repeated rows are scored one by one.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,98 +36,154 @@ from .common import LOWER, arrow_map, id_and_text, pairs, table, to_batch
 
 #: Labelled rows that are learned from, at most.
 TOXIC, ORDINARY = 2000, 6000
-#: Bytes of the longest word's window.
-WINDOW = 160
-STEMS, FORMS = 60, 12
-_EDGE = b".,:;!?#$%&*|<>\"'()[]{}"
-_GAP = b"\0 "
+#: Bytes of a window, and from one window's start to the next one's: what has up to WINDOW - STEP bytes is whole in some window.
+WINDOW, STEP = 96, 64
+#: Windows that are compressed at once.
+AT_ONCE = 20_000
+#: Bytes of the dictionary of ordinary text (zstandard's usual size), and how many times as long its training text is at least.
+DICTIONARY, SAMPLES = 112_640, 10
+#: Lengths of the strings that passages grow from.
+GRAMS = (4, 5, 6, 7, 8)
+
+
+def plain(text: bytes) -> bytes:
+    """Lower-case text with single blanks between words and at its ends."""
+    return b" " + b" ".join(text.translate(LOWER).split()) + b" "
 
 
-def words(text: bytes) -> list[bytes]:
-    """Lower-case words without punctuation at their ends."""
-    return [w for x in text.translate(LOWER).split() if (w := x.strip(_EDGE))]
+def windows(text: bytes) -> Iterator[list[bytes]]:
+    """Overlapping windows of the whole text, in lists of at most AT_ONCE."""
+    starts = range(0, max(1, len(text) - (WINDOW - STEP)), STEP)
+    for k in range(0, len(starts), AT_ONCE):
+        yield [text[i : i + WINDOW] for i in starts[k : k + AT_ONCE]]
 
 
 @dataclass(frozen=True)
 class Model:
-    """What is broadcast to score: some kilobytes."""
+    """What is broadcast to score: two dictionaries and the calibration."""
 
     toxic: bytes
     ordinary: bytes
-    carrier: bytes
     gain: int
     needed: int
 
 
-def _beginnings(texts: list[tuple[bytes, int]]) -> list[bytes]:
-    """Beginnings of words typical of the toxic texts, the most telling first, each as long as nearly all its words share."""
-    heads = lambda x: [x[:k] for k in range(4, min(len(x), 10) + 1)]
-    n_toxic = sum(label for _, label in texts)
-    n_plain = len(texts) - n_toxic
-    toxic, plain = Counter(), Counter()
-    for text, label in texts:
-        if label:
-            toxic.update({h for x in {*words(text)} for h in heads(x)})
-    toxic = Counter({h: n for h, n in toxic.items() if n >= 3})
-    for text, label in texts:
-        if not label:
-            plain.update({h for x in {*words(text)} for h in heads(x) if h in toxic})
-    # contexts of the few beginnings that ordinary texts hardly have
-    contexts: dict[bytes, set[int]] = {h: set() for h, n in toxic.items() if n / n_toxic >= 20 * (plain[h] + 0.25) / n_plain}
-    for text, label in texts:
-        if label:
-            w = words(text)
-            for i, x in enumerate(w):
-                for h in heads(x):
-                    if h in contexts:
-                        contexts[h].add(hash((w[i - 1] if i else b"", w[i + 1] if i + 1 < len(w) else b"")))
-
-    def evidence(a: int, b: int) -> float:
-        share = n_toxic / (n_toxic + n_plain)
-        return 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+def _grams(text: bytes, k: int) -> np.ndarray:
+    """Every string of k bytes of a text, as a number."""
+    x = np.frombuffer(text, np.uint8)
+    out = np.zeros(max(0, len(x) - k + 1), np.uint64)
+    for i in range(k if len(out) else 0):
+        out <<= np.uint64(8)
+        out |= x[i : i + len(out)]
+    return out
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)
+
+
+def _once(grams: np.ndarray) -> np.ndarray:
+    grams = np.sort(grams)
+    return grams[np.r_[True, grams[1:] != grams[:-1]]] if len(grams) else grams
+
+
+def _evidence(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio statistic of strings in a toxic and b ordinary texts, with toxic ones at a share of all."""
+    log = lambda x, of: x * np.log(np.maximum(x, 1) / np.maximum(of, 1e-9))
+    return 2 * (log(a, (a + b) * share) + log(b, (a + b) * (1 - share)))
+
 
+def _passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Passages typical of the toxic texts, the most telling first."""
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    starts = np.cumsum([0] + [len(t) + 1 for t in toxic])
+    edge = b"\0" * 16
+    text = edge + b"\0".join(toxic) + edge
+    x = np.frombuffer(text, np.uint8)
     found = []
-    for h, around in contexts.items():
-        a, b, c = toxic[h], plain[h], len(around)
-        if c >= 5 and 2 * c >= a and (e := evidence(a, b)) >= 20:
-            found.append((-round(e), len(h), h))
-    kept: list[bytes] = []
-    for _, _, h in sorted(found):
-        if not any(h.startswith(k) or k.startswith(h) for k in kept) and len(kept) < STEMS:
-            kept.append(h)
-    out = []
-    for h in kept:
-        while longer := [x for x in contexts if len(x) == len(h) + 1 and x.startswith(h) and len(contexts[x]) >= 0.85 * len(contexts[h])]:
-            h = longer[0]
-        out.append(h)
+    for k in GRAMS:
+        grams = np.concatenate([_once(_grams(t, k)) for t in toxic])
+        grams.sort()
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+        a = np.diff(np.r_[first, len(grams)])
+        enough = (a >= 5) & (_evidence(a, 0 * a, share) >= 20)
+        seen, a = grams[first[enough]], a[enough]
+        del grams, first
+
+        def among(t: bytes, k: int = k) -> tuple[np.ndarray, np.ndarray]:
+            """Places in t of strings seen, and which ones."""
+            g = _grams(t, k)
+            at = np.flatnonzero(some[_slot(g)])
+            which = np.minimum(np.searchsorted(seen, g[at]), len(seen) - 1)
+            same = seen[which] == g[at]
+            return at[same], which[same]
+
+        some = np.zeros(1 << 22, bool)
+        some[_slot(seen)] = True
+        b = np.zeros(len(seen), np.int64)
+        for t in ordinary if len(seen) else ():
+            b[among(t)[1]] += 1
+        telling = (a / len(toxic) >= 20 * (b + 0.25) / len(ordinary)) & (_evidence(a, b, share) >= 20)
+        seen, a, b = seen[telling], a[telling], b[telling]
+        if not len(seen):
+            continue
+        some[:] = False
+        some[_slot(seen)] = True
+        places = [among(t) for t in toxic]
+        at = np.concatenate([p + s + len(edge) for (p, _), s in zip(places, starts)])
+        which = np.concatenate([w for _, w in places])
+        around = np.zeros(len(at), np.uint64)
+        for i in (*range(-8, 0), *range(k, k + 8)):
+            around = around * np.uint64(0x100000001B3) ^ x[at + i]
+        order = np.lexsort((around, which))
+        new = np.r_[True, (which[order][1:] != which[order][:-1]) | (around[order][1:] != around[order][:-1])]
+        contexts = np.bincount(which[order][new], minlength=len(seen))
+        held = np.split(at[order], np.cumsum(np.bincount(which, minlength=len(seen)))[:-1])
+        found += [(-round(float(e)), -k, text[p[0] : p[0] + k], p, int(m)) for e, p, m, n, c in zip(_evidence(a, b, share), held, b, a, contexts) if c >= 5 and 2 * c >= n]
+    # for each byte, the length of the longest passage that covers it: a short one doesn't account for longer strings
+    taken, out = np.zeros(len(text), np.int8), []
+    for _, k, _, at, b in sorted(found, key=lambda f: f[:3]):
+        k = -k
+        at = at[2 * sum((taken[at + i] >= k - 2).astype(np.int8) for i in range(k)) <= k]
+        n = len(np.unique(np.searchsorted(starts, at - len(edge), "right")))
+        if n < 5 or _evidence(np.int64(n), np.int64(b), share) < 20:
+            continue
+        lo, hi, p = 0, k, at
+        for right in (True, False):
+            while True:
+                y = np.bincount(x[p + (hi if right else lo - 1)])
+                c = int(y.argmax())
+                if c == 0 or y[c] < 0.85 * len(at):
+                    break
+                p = p[x[p + (hi if right else lo - 1)] == c]
+                lo, hi = (lo, hi + 1) if right else (lo - 1, hi)
+        for places, span in ((at, range(k)), (p, range(lo, hi))):
+            for i in span:
+                taken[places + i] = np.maximum(taken[places + i], min(hi - lo, 99))
+        out.append(text[p[0] + lo : p[0] + hi])
     return out
 
 
 class Scorer:
-    """Gains of words under a model, remembered."""
+    """Gains of a text's windows under a model."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
         # the level whose search finds short matches at a window's start best
-        size = len(model.toxic) + len(model.carrier)
-        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=96, dict_size=size, write_content_size=1, write_dict_id=0, min_match=4)
+        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=WINDOW, dict_size=len(model.toxic), write_content_size=1, write_dict_id=0, min_match=4)
         self.pack = []
-        for passages in (model.toxic, model.ordinary):
-            d = zstandard.ZstdCompressionDict(passages + model.carrier + b"\0", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for content in (model.toxic, model.ordinary):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             self.pack.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).multi_compress_to_buffer)
 
     def gains(self, text: bytes) -> list[int]:
-        """For each word, how many bytes shorter its window is with the toxic dictionary."""
-        known, w = self.known, words(text)
-        if new := [x for x in {*w} if x not in known]:
-            if len(known) > 400_000:
-                known.clear()
-                new = list({*w})
-            windows = [b" " + x[:WINDOW] + b" " + self.model.carrier for x in new]
-            a, b = (pack(windows, threads=0) for pack in self.pack)
-            known.update((x, len(b[i]) - len(a[i])) for i, x in enumerate(new))
-        return [known[x] for x in w]
+        """For each window, how many bytes shorter it is with the toxic dictionary."""
+        out: list[int] = []
+        for some in windows(plain(text)):
+            a, b = (pack(some, threads=0) for pack in self.pack)
+            out += [len(b[i]) - len(a[i]) for i in range(len(some))]
+        return out
 
     def score(self, text: bytes) -> float:
         """From 0 to 1; 0.5 and more exactly if the windows gain enough."""
@@ -144,37 +203,27 @@ def fit(texts: list[tuple[bytes, int]], weight: float = 1.0) -> Model | None:
     texts = sorted(set(texts))
     if len({label for _, label in texts}) < 2:
         return None
-    heads = _beginnings(texts)
-    in_toxic, in_plain = Counter(), Counter()
-    for text, label in texts:
-        (in_toxic if label else in_plain).update({*words(text)} if label else words(text))
-    by_count = lambda c: sorted(c, key=lambda w: (-c[w], w))
-    forms: dict[bytes, list[bytes]] = {h: [h] for h in heads}
-    start = {k: h for h in heads for k in [h[:4]]}
-    for w in by_count(in_toxic):
-        h = start.get(w[:4])
-        if h and w.startswith(h) and len(forms[h]) < FORMS:
-            forms[h].append(w + b" ")
-    passages = [f[k] for k in range(FORMS) for f in forms.values() if k < len(f)]
-    toxic = b"".join(_GAP + p for p in reversed(passages))
-    common = [w for w in by_count(in_plain) if len(w) > 2]
-    carrier, ordinary = b" " + b" ".join(common[:14]), b""
-    for w in common[14:]:
-        if len(ordinary) + len(w) + 3 > len(toxic):
-            break
-        ordinary = _GAP + w + b" " + ordinary
-    model = Model(toxic, ordinary.rjust(len(toxic), b"\0"), carrier, 3, 2)
-    scorer, best = Scorer(model), (-1.0, 3, 2)
-    gains = [([g for g in scorer.gains(text) if g > 1], label) for text, label in texts]
-    for gain in range(2, 7):
+    toxic, ordinary = ([plain(text) for text, label in texts if label == k] for k in (1, 0))
+    passages = b"".join(b"\0" + p for p in reversed(_passages(toxic, ordinary)))
+    try:
+        shared = zstandard.train_dictionary(min(DICTIONARY, sum(map(len, ordinary)) // SAMPLES), ordinary).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        shared = b"".join(ordinary)[-DICTIONARY:]
+    model = Model(passages + shared, bytes(len(passages)) + shared, 3, 2)
+    scorer, tried = Scorer(model), []
+    gains = [([g for g in scorer.gains(text) if g > 0], label) for text, label in texts]
+    for gain in range(1, 7):
         n = [(excess(row, gain), label) for row, label in gains]
         for needed in range(1, 9):
             hit = sum(k >= needed for k, label in n if label)
             false = weight * sum(k >= needed for k, label in n if not label)
             missed = sum(k < needed for k, label in n if label)
             f = 2 * hit / (2 * hit + missed + false)
-            best = max(best, (f, gain, needed))
-    return Model(model.toxic, model.ordinary, model.carrier, best[1], best[2])
+            tried.append((f, gain, needed))
+    # of equally good ones the middle one
+    best = [x for x in tried if x[0] == max(tried)[0]]
+    best = best[(len(best) - 1) // 2]
+    return Model(model.toxic, model.ordinary, best[1], best[2])
 
 
 def remainder() -> F.Column:
