@@ -153,6 +153,17 @@ def test_toxicity_of_many_short_and_joined_words():
     assert sum(scorer.score(f"{prose(i, 80)} red {prose(i, 9)} lamp".encode()) >= 0.5 for i in range(9000, 9100)) <= 3
 
 
+def test_toxicity_of_text_without_blanks():
+    texts = [(prose(i, 80).encode(), 0) for i in range(600)]
+    texts += [(" grobnik ".join(prose(i + j, 20) for j in range(0, 4000, 1000)).encode(), 1) for i in range(600, 800)]
+    scorer = toxicity.Scorer(toxicity.fit(texts))
+    for gap in ("\u00a0", "\u3000", "-"):
+        clean = gap.join(prose(i, 1) for i in range(9000, 9200))
+        late = gap.join([clean, *["grobnik", clean] * 4])
+        assert scorer.score(clean.encode()) < 0.5 <= scorer.score(late.encode())
+        assert len(scorer.gains(late.encode())) * toxicity.STEP > len(late.encode()) - toxicity.WINDOW
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return byte_bpe.Vocabulary(RANKS)
