@@ -288,6 +288,15 @@ def test_warc(spark):
     assert warc.read_archives(none).count() == 0 and warc.merge_runs(none).count() == 0
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    rows = [(1, "a"), (2, "b"), (None, "a"), (None, "c"), (5, "a"), (5, "b"), (5, "d")]
+    pages = spark.createDataFrame([(i, "http://a.org/", h) for i, h in rows], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages, scratch(spark) + "/w")).collect()
+    first = {"a": 1, "b": 2, "c": None, "d": 5}
+    want = [(i, warc.digest32(h.encode()), None if i == first[h] else first[h]) for i, h in rows]
+    assert sorted(((r.page_id, r.payload_digest, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+
+
 @given(st.lists(st.lists(st.integers(0, 9), max_size=8).map(sorted), max_size=9))
 def test_loser_tree(runs):
     assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)

@@ -33,7 +33,7 @@ from .files import Written, make_folder, opened
 LEAST_BYTES = 0
 #: Pages whose keys and times the splitters are chosen from: a bounded sample, which only affects how even the ranges are.
 SAMPLE = 4096
-#: Revisits are broadcast up to so many rows (16 bytes each); more are joined by a shuffle of the pages.
+#: Revisits are broadcast up to so many rows (about 60 bytes each); more are joined by a shuffle of the pages.
 BROADCAST_ROWS = 1_000_000
 #: The tables have no times: a page is captured so many seconds after this as its id says.
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -154,13 +154,17 @@ def parsed(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number(field["WARC-Record-ID"]), size, digest, kind, number(field["WARC-Refers-To"]) if kind == "revisit" else None
 
 
+def _payload() -> F.Column:
+    return F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id and first (the response's page_id) of the pages whose payload another page stores."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    """page_id, digest and first (the response's page_id) of the pages whose payload another page stores."""
+    payload = _payload()
     seen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= LEAST_BYTES)
     seen = staged(seen, "digests")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
-    return seen.join(first, "digest").where("page_id is null or page_id <> first").select("page_id", "first").distinct()
+    return seen.join(first, "digest").where("page_id is null or page_id <> first").select("page_id", "digest", "first").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -174,8 +178,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     cuts = sorted({keys[k * len(keys) // n] for k in range(1, n)}) if keys else []
     back = staged(revisits(pages), "revisits")
     back = F.broadcast(back) if back.count() <= BROADCAST_ROWS else back
-    # pages with a null id can share a payload: their decision is by digest, kept apart from the join by id
-    joined = rows.join(back, rows.page_id.eqNullSafe(back.page_id) & rows.page_id.isNotNull(), "left").drop(back.page_id)
+    # by digest too: a null id or a repeated one can stand beside several payloads
+    joined = rows.join(back, rows.page_id.eqNullSafe(back.page_id) & (F.sha1(_payload()) == back.digest), "left").drop(back.page_id).drop(back.digest)
     joined = joined.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "html").withColumn("run", F.spark_partition_id())
     schema = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("uri", pa.string()), ("lines", pa.binary())])
 
