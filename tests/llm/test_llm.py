@@ -248,6 +248,26 @@ def test_token_files(spark, docs, nothing):
         [token_files.TokenReader("file://" + path).frame(k) for k in range(len(reader.docs))]
 
 
+@pytest.fixture(scope="module")
+def memory():
+    return token_files.WordMemory(JSON)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "\n", "  ", " \n", "\n\n\n", "\t", "\x85", "\x1c", "\u3000", "<|endoftext|>", "ab", "Cé", "élan", "ª", "e\u0301", "的", "12", "½", "'s", "'", ".,", "###", "_"]), max_size=14).map("".join), max_size=6))
+def test_words_and_the_library(memory, texts):
+    got = [np.frombuffer(x, "<u4").tolist() for x in memory.encode(texts)]
+    assert got == [memory.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_generations_of_words(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 40)
+    memory = token_files.WordMemory(JSON)
+    for k in range(12):
+        text = prose(k % 5, 50) + ".\nNext " + prose(k % 3, 30)
+        assert np.frombuffer(memory.encode([text])[0], "<u4").tolist() == memory.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_mix(docs, nothing):
     got = source_mix.mix(docs).toPandas()
     size = [len((r.text or "").encode().split()) for r in docs.collect()]

@@ -7,7 +7,9 @@ xxh64 of its content), and a footer. A reader takes the footer, the table and th
 the documents asked for; a plain zstd decoder reads the whole file as well.
 
 Defined cases: a null or empty text has the end id alone; null ids come first; rows with one id are
-ordered by text and all written; an empty table gives no files and no rows.
+ordered by text and all written; an empty table gives no files and no rows; texts of any length are
+encoded whole, one frame each; strings of added tokens are those tokens, as in the library; columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +27,25 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import arrow_map, id_and_text, pairs, parts, scratch, staged, table, to_batch
 from .files import Written, make_folder, opened
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 END = 0
-#: Words of one of the two generations that a worker remembers (some 200 MB).
+#: Words of one of the two generations that a worker remembers (some 200 MB in all).
 MEMORY = 350_000
-_RUN = re.compile(r" (?<=\s )\s")
-#: An ASCII text without any of these has no such run.
-_HINTS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
+#: Text that is encoded at once.
+GROUP = 1 << 20
+#: Letters that are letters in every version of Unicode, and ASCII marks without the apostrophe (contractions are matches of their own).
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space other than one space or one line break; an ASCII text without any of the hints has none.
+_WIDE = re.compile(r"([^\S \n]\s*|[ \n]\s+)")
+_HINTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: White space to Python alone.
+_STRANGE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class TokenWriter:
@@ -92,57 +101,122 @@ class TokenReader:
         return [self.frame(int(k)) for k in np.flatnonzero(self.docs == doc_id)]
 
 
+def _byte_table() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others as code points from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class WordMemory:
-    """The tokenizer with a memory of words: a text is cut before spaces that follow other characters, where its pre-tokenizer cuts too."""
+    """The tokenizer with a memory of words.
+
+    A text is cut before single spaces and single line breaks, where its pre-tokenizer cuts too; of
+    longer white space, the last character goes with the word after it if it is a space. A word of
+    letters is one match of the pre-tokenizer, and so are marks behind it: the library's model
+    encodes the letters it has not met, many at once; all other words are encoded as they are.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.marks = {m: self._ids(m).tobytes() for m in ".,"}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.matches = Tokenizer(self.tokenizer.model)
+        self.matches.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.table = _byte_table()
+        self.space, self.line = self.table[32], self.table[10]
+        #: words of this and the last generation; None stands for a text's first word
+        self.known: dict[str | None, bytes] = {None: b""}
+        self.before: dict[str | None, bytes] = {}
+        #: letters, marks and first words as they are
+        self.bare: dict[str, bytes] = {}
+        self.break_ids = self._ids("\n").tobytes()
         #: whether a token begins with a space
-        self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(self.tokenizer.get_vocab_size())])
+        self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith(self.space) for k in range(self.tokenizer.get_vocab_size())])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words, each with a space before it, as one text; a token that begins with a space begins the next word.
-
-        A full stop or comma behind a letter is a match of its own: such words take the ids of what stands before it.
-        """
-        known, before = self.known, self.before
-        ended = {w: w[:-1] for w in words if w[-1:] in self.marks and w[-2:-1].isalpha() and w.isascii()}
-        plain = {ended.get(w, w) for w in words if w and not w[0].isspace()}
-        known.update((w, before[w]) for w in plain if w in before)
-        if plain := [w for w in plain if w not in known]:
-            ids = self._ids(" " + " ".join(plain))
-            cut = np.flatnonzero(self.opens[ids])
-            if len(cut) != len(plain):
-                raise ValueError("words and tokens don't match")
-            data, at = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-            known.update(zip(plain, [data[x:y] for x, y in zip(at, at[1:])]))
-        known.update((w, known[head] + self.marks[w[-1]]) for w, head in ended.items() if not w[0].isspace())
-        known.update((w, self._ids(" " + w).tobytes()) for w in words if not w or w[0].isspace())
-
-    def encode(self, text: str) -> bytes:
-        if (not text.isascii() or any(x in text for x in _HINTS)) and _RUN.search(text):
-            return self._ids(text).tobytes()
-        first, *rest = text.split(" ")
+    def _of_matches(self, words: list[str], spaced: bool) -> list[bytes]:
+        """The ids of words that are one match each, with a space before them or not."""
+        if not words:
+            return []
+        line = " ".join(words)
+        if not line.isascii():
+            line = line.encode().decode("latin-1").translate({k: v for k, v in self.table.items() if k != 32})
+        line = self.space + line.replace(" ", f" {self.space}") if spaced else line.replace(" ", f" {self.line} ")
+        ids = np.array(self.matches.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        if spaced:
+            begin = np.flatnonzero(self.opens[ids])
+            end = np.r_[begin[1:], len(ids)]
+        else:
+            breaks = np.flatnonzero(ids == np.frombuffer(self.break_ids, "<u4")[0])
+            begin, end = np.r_[0, breaks + 1], np.r_[breaks, len(ids)]
+        if len(begin) != len(words):
+            return [self._ids(" " * spaced + w).tobytes() for w in words]
+        data = ids.tobytes()
+        return [data[x:y] for x, y in zip((4 * begin).tolist(), (4 * end).tolist())]
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds words to those known: one that begins with a line break is as it is, others have a space before them."""
+        known, before, bare = self.known, self.before, self.bare
+        made, letters, alone = [], set(), set()
+        for w in words:
+            head = w.rstrip(MARKS)
+            if head.isascii() and head.isalpha() or _LETTERS.fullmatch(head):
+                letters.add(head)
+                if head != w:
+                    made.append((w, head, w[len(head) :]))
+            elif head[:1] == "\n" and _LETTERS.fullmatch(head, 1):
+                alone.add(head[1:])
+                made.append((w, head, w[len(head) :]))
+            else:
+                known[w] = self._ids(w if w[:1] == "\n" else " " + w).tobytes()
+        known.update((w, before[w]) for w in letters if w in before)
+        new = [w for w in letters if w not in known]
+        known.update(zip(new, self._of_matches(new, spaced=True)))
+        new = [w for w in alone if w not in bare]
+        bare.update(zip(new, self._of_matches(new, spaced=False)))
+        for w, head, marks in made:
+            if (end := bare.get(marks)) is None:
+                end = bare[marks] = self._ids(marks).tobytes()
+            known[w] = (self.break_ids + bare[head[1:]] if head[0] == "\n" else known[head]) + end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts; some megabytes at once are best."""
         if len(self.known) > MEMORY:  # words not met since the last change of generations are forgotten
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        if new := [w for w in {*rest} if w not in known]:
-            known.update((w, before[w]) for w in new if w in before)
-            if new := [w for w in new if w not in before]:
-                self._learn(new)
-        if (ids := self.first.get(first)) is None:
-            if len(self.first) > 10_000:
-                self.first.clear()
-            ids = self.first[first] = self._ids(first).tobytes()
-        return b"".join([ids, *map(known.__getitem__, rest)])
+            self.before, self.known = self.known, {None: b""}
+        if len(self.bare) > MEMORY // 4:
+            self.bare.clear()
+        known, before, bare = self.known, self.before, self.bare
+        cut, out = [], []  # of each text its parts: ids, or words to look up
+        for t in texts:
+            if any(x in t for x in self.added) or any(x in t for x in _STRANGE):
+                out.append([self._ids(t).tobytes()])
+                continue
+            line, bare_next = [], True
+            parts = _WIDE.split(t) if not t.isascii() or any(x in t for x in _HINTS) else (t,)
+            for k, x in enumerate(parts):
+                if k % 2:  # white space that is not one space or one line break
+                    last = k + 2 == len(parts) and not parts[-1]
+                    spaced = not last and x[-1] == " "
+                    line.append(self._ids(x if last else x[:-1]).tobytes())
+                    if not last and not spaced:
+                        line.append(self._ids(x[-1]).tobytes())
+                    bare_next = not spaced
+                elif x:
+                    words = (x if bare_next else " " + x).replace("\n", " \n").split(" ")
+                    if (ids := bare.get(words[0])) is None:
+                        ids = bare[words[0]] = self._ids(words[0]).tobytes()
+                    line.append(ids)
+                    words[0] = None
+                    line.append(words)
+                    cut.append(words)
+            out.append(line)
+        new = set().union(*cut).difference(known)
+        known.update((w, before[w]) for w in new if w in before)
+        if new := new.difference(known):
+            self._learn(new)
+        get = known.__getitem__
+        return [b"".join([x if isinstance(x, bytes) else b"".join(map(get, x)) for x in line]) for line in out]
 
 
 @lru_cache(2)
@@ -159,14 +233,25 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END) -
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
     close = struct.pack("<I", end)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, out, n = word_memory(path), None, 0
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        held, size = [], 0
         for b in batches:
             for i, t, part in pairs(b):
+                held.append((i, t.decode("utf-8", "replace"), part))
+                size += len(t)
+                if size >= GROUP:
+                    yield held
+                    held, size = [], 0
+        yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, out, n = word_memory(path), None, 0
+        for held in groups(batches):
+            for (i, _, part), ids in zip(held, memory.encode([t for _, t, _ in held])):
                 if out is None:
                     uri = f"{folder}/ids-{part:08d}.zst"
                     out = TokenWriter(uri)
-                ids = memory.encode(t.decode("utf-8", "replace")) + close
+                ids += close
                 out.add(i, ids)
                 n += len(ids) // 4
         if out is not None:
