@@ -279,8 +279,33 @@ def test_mix(docs, nothing):
     order = ["doc_id", "size", "taken"]
     assert got[order].sort_values(order).values.tolist().__repr__() == again[order].sort_values(order).values.tolist().__repr__()
     assert source_mix.mix(nothing).count() == 0 and source_mix.mixed_documents(nothing).count() == 0
-    out = source_mix.mixed_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    assert (got.first_slot.isna() == (got.taken == 0)).all()
+    out = source_mix.mixed_documents(docs)
     assert out.columns == docs.columns and out.where("n_chars <> length(text)").count() == 0
+    assert sum(len(r.text.encode().split()) for r in out.collect()) == got.taken.sum()
+
+
+def test_mix_carries_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 3}", prose(i, 30 + i), i, 10 * i, "x", 7, 8, 9, 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size int, n long, key string, h1 int, slot int, row int, `a.b` int")
+    out = source_mix.mixed_documents(docs)
+    own = {r[0]: r[3:] for r in rows}
+    assert out.columns == docs.columns and out.count() >= 30 and all(tuple(r)[3:] == own[r.doc_id] for r in out.collect())
+
+
+def test_order_of_the_mix(spark):
+    rows = [(i, f"s{0 if i % 3 else i % 7}", prose(i, 40)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    golden, other = (source_mix.mix(docs, step=s).toPandas().sort_values("doc_id", ignore_index=True) for s in (source_mix.STEP, 2))
+    assert golden.taken.tolist() == other.taken.tolist() and (golden.first_slot != other.first_slot).mean() > 0.5
+    need = [700, 20, 1, 300, 79]
+    line = source_mix.schedule(spark, need).toPandas().sort_values("slot")
+    assert line.groupby("k").size().tolist() == need and line.slot.is_unique and all(g.r.tolist() == list(range(len(g))) for _, g in line.groupby("k"))
+    seen = np.cumsum(np.eye(5)[line.k], 0)
+    gap = np.abs(seen - np.outer(np.arange(1, 1101), need) / 1100)
+    assert gap[:1050].max() <= 4
+    worse = source_mix.schedule(spark, need, step=2).toPandas().sort_values("slot")
+    assert np.abs(np.cumsum(np.eye(5)[worse.k], 0) - np.outer(np.arange(1, 1101), need) / 1100).max() > 50
 
 
 def test_targets():
