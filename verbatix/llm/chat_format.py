@@ -6,13 +6,15 @@ are, the cheapest repair: a turn is kept, merged into the turn before it, given
 empty turns put before it; empty turns may follow the last one. Then the repaired turns are rendered.
 
 The program's step is a matrix of costs between states, so a conversation may be cut: turns are
-sorted by range, each range gives the matrix of its part of a conversation, the few conversations
-that several ranges share get the states at their cuts, and each range is then repaired on its own.
+sorted by range, and each range gives the matrix of its part of a conversation. From these the few
+conversations that several ranges share get the costs of what follows each cut; with them each range
+repairs its part as the whole conversation would be repaired, whatever the cuts.
 
 Defined cases: a null or unknown role has to be relabelled; a null text is an empty one; turns of one
 number are ordered by role and text; a null conv_id is a conversation of its own, a null turn comes
 first; markers inside a text are broken up by a space; an empty table gives no rows. Of repairs with
-equal cost the one that keeps, then merges, then relabels the earlier turn is taken.
+equal cost the one that keeps, then merges, then relabels the earlier turn is taken. Conversations of
+any length are cut as above; columns other than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
@@ -92,13 +94,16 @@ def costs(roles: list[int], first: int) -> list[list[int]]:
     return out
 
 
-def repair(roles: list[int], first: int = START, last: int | None = None) -> tuple[int, list[tuple[str, int, int, int]], tuple[int, ...]]:
-    """Cost, (action, new role, empty turns before, state before) for each turn, and the empty turns that follow.
+ENDING = tuple(ending(s)[0] for s in range(4))
 
-    last: the state to end in, where the conversation goes on; without it, the conversation ends here.
+
+def repair(roles: list[int], first: int = START, rest: tuple[int, ...] = ENDING) -> tuple[int, list[tuple[str, int, int, int]], int]:
+    """Cost to the end of the conversation, (action, new role, empty turns before, state before) for each turn, and the last state.
+
+    rest: for each state, the least cost of what follows these turns.
     """
     after = [[NEVER] * 4 for _ in range(len(roles) + 1)]
-    after[-1] = [(0 if s == last else NEVER) if last is not None else ending(s)[0] for s in range(4)]
+    after[-1] = list(rest)
     for t in range(len(roles) - 1, -1, -1):
         for state in range(4):
             after[t][state] = min((c + after[t + 1][to] for c, to, _, _ in STEPS[roles[t], state]), default=NEVER)
@@ -107,7 +112,7 @@ def repair(roles: list[int], first: int = START, last: int | None = None) -> tup
         c, to, action, n = next(s for s in STEPS[role, state] if s[0] + after[t + 1][s[1]] == after[t][state])
         out.append((action, to, n, state))
         state = to
-    return after[0][first], out, ending(state)[1] if last is None else ()
+    return after[0][first], out, state
 
 
 def _clean(text: str | None) -> str:
@@ -148,63 +153,76 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Each turn with its repair: conv_id, turn, role, new_role, action, inserted, inserted_after, cost (of the conversation's part in its range), rendered.
+    """Each turn with its repair: conv_id, place (in the conversation), turn, role, new_role, action, inserted, inserted_after, cost (of the conversation), rendered.
 
-    The rendered parts in order are the conversation; range and place give that order over the table.
+    The rendered parts in the order of place are the conversation.
     """
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.lower(F.trim(F.col("role").cast("string"))).alias("known"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     n = parts(turns, 4)
     key = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     rows = rows.repartitionByRange(n, *key).sortWithinPartitions(*key)
-    rows = staged(rows.select(F.spark_partition_id().alias("range"), "conv_id", F.monotonically_increasing_id().alias("place"), "turn", "known", "role", "text"), "turns")
-    dealt = lambda *columns: rows.select(*columns).repartition(n, "range").sortWithinPartitions("range", "place")
+    rows = staged(rows.select(F.spark_partition_id().alias("range"), "conv_id", F.monotonically_increasing_id().alias("line"), "turn", "known", "role", "text"), "turns")
+    dealt = lambda *columns: rows.select(*columns).repartition(n, "range").sortWithinPartitions("range", "line")
 
     # conversations that several ranges share: at most two for each range
     shared = rows.groupBy("conv_id").agg(F.min("range").alias("a"), F.max("range").alias("b")).where("a < b").select(F.col("conv_id").alias("id"))
-    schema = pa.schema([("range", pa.int32()), ("conv_id", pa.int64()), ("costs", pa.list_(pa.int64()))])
+    cut = dealt("range", "conv_id", "line", "known").join(F.broadcast(shared), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+    cut = cut.sortWithinPartitions("range", "line")
+    schema = pa.schema([("range", pa.int32()), ("conv_id", pa.int64()), ("n", pa.int64()), ("costs", pa.list_(pa.int64()))])
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part, conv), held in _parts_of(batches):
             roles = [_number(r[3]) for r in held]
-            yield to_batch([(part, conv, [c for first in range(4) for c in costs(roles, first)[-1]])], schema)
+            yield to_batch([(part, conv, len(held), [c for first in range(4) for c in costs(roles, first)[-1]])], schema)
 
-    cut = dealt("range", "conv_id", "place", "known").join(F.broadcast(shared), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
-    cut = cut.sortWithinPartitions("range", "place")
     found: dict = {}
-    for r in arrow_map(cut, matrix, "range int, conv_id long, costs array<long>").collect():
-        found.setdefault(r.conv_id, []).append((r.range, r.costs))
-    states: dict[tuple, tuple[int, int | None]] = {}
+    for r in arrow_map(cut, matrix, "range int, conv_id long, n long, costs array<long>").collect():
+        found.setdefault(r.conv_id, []).append((r.range, r.n, r.costs))
+    #: of each part of a shared conversation: its first place, what follows it costs, and whether it is the last
+    known: dict[tuple, tuple[int, tuple[int, ...], bool]] = {}
     for conv, line in found.items():
         line.sort()
-        rest = [ending(s)[0] for s in range(4)]
-        after = [rest]
-        for _, m in reversed(line):
-            rest = [min(m[4 * s + to] + rest[to] for to in range(4)) for s in range(4)]
-            after.insert(0, rest)
-        state = START
-        for k, (part, m) in enumerate(line):
-            to = min(range(4), key=lambda x: (m[4 * state + x] + after[k + 1][x], x))
-            states[part, conv] = (state, to if k < len(line) - 1 else None)
-            state = to
-    out = pa.schema([("range", pa.int32()), ("place", pa.int64()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.int32()), ("inserted_after", pa.int32()), ("cost", pa.int64()), ("rendered", pa.string())])
+        place, rest = sum(k for _, k, _ in line), ENDING
+        for part, k, m in reversed(line):
+            place -= k
+            known[part, conv] = (place, rest, (part, k, m) == line[-1])
+            rest = tuple(min(m[4 * s + to] + rest[to] for to in range(4)) for s in range(4))
+    ends_in = pa.schema([("range", pa.int32()), ("conv_id", pa.int64()), ("states", pa.list_(pa.int64())), ("cost", pa.int64())])
+
+    def last_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, conv), held in _parts_of(batches):
+            made = [repair([_number(r[3]) for r in held], first, known[part, conv][1]) if first == START or known[part, conv][0] else (0, [], first) for first in range(4)]
+            yield to_batch([(part, conv, [m[2] for m in made], made[START][0])], ends_in)
+
+    # the state at each cut, from left to right
+    states: dict[tuple, tuple[int, int]] = {}
+    if known:
+        now: dict = {}
+        for r in sorted(arrow_map(cut, last_states, "range int, conv_id long, states array<long>, cost long").collect(), key=lambda r: r.range):
+            first, cost = now.get(r.conv_id, (START, r.cost))
+            states[r.range, r.conv_id] = (first, cost)
+            now[r.conv_id] = (r.states[first], cost)
+    out = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.int32()), ("inserted_after", pa.int32()), ("cost", pa.int64()), ("rendered", pa.string())])
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = []
         for (part, conv), held in _parts_of(batches):
-            first, last = states.get((part, conv), (START, None))
-            cost, turns_, tail = repair([_number(r[4]) for r in held], first, last)
-            for k, ((_, _, place, turn, _, role, text), (action, to, n_empty, state)) in enumerate(zip(held, turns_)):
-                piece, end = rendered(text, action, to, n_empty, state), last is None and k == len(held) - 1
+            begin, rest, ends = known.get((part, conv), (0, ENDING, True))
+            first, whole = states.get((part, conv), (START, None))
+            cost, turns_, last = repair([_number(r[4]) for r in held], first, rest)
+            tail = ending(last)[1]
+            for k, ((_, _, _, turn, _, role, text), (action, to, n_empty, state)) in enumerate(zip(held, turns_)):
+                piece, end = rendered(text, action, to, n_empty, state), ends and k == len(held) - 1
                 if end:
                     piece += CLOSE + "".join(_open(r) + CLOSE for r in tail)
-                made.append((part, place, conv, turn, role, NAMES[to], action, n_empty, len(tail) if end else 0, cost, piece))
+                made.append((conv, begin + k, turn, role, NAMES[to], action, n_empty, len(tail) if end else 0, cost if whole is None else whole, piece))
             if len(made) > 2000:
                 yield to_batch(made, out)
                 made = []
         yield to_batch(made, out)
 
-    ddl = "range int, place long, conv_id long, turn long, role string, new_role string, action string, inserted int, inserted_after int, cost long, rendered string"
-    return arrow_map(dealt("range", "conv_id", "place", "turn", "known", "role", "text"), mend, ddl)
+    ddl = "conv_id long, place long, turn long, role string, new_role string, action string, inserted int, inserted_after int, cost long, rendered string"
+    return arrow_map(dealt("range", "conv_id", "line", "turn", "known", "role", "text"), mend, ddl)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
