@@ -4,8 +4,13 @@ Base kinds (assign, access, hex) are strong enough to be reported alone. Weak pa
 identifier, an opaque token, an endpoint) are reported only where complementary parts stand in one
 scope: an identifier together with a secret; endpoints join a group that already has both.
 
+Scopes end at blank lines and SCOPE bytes from the identifier: parts of one credential that start
+farther from it are not linked.
+
 Defined cases: a null or empty text has no spans; offsets are code points, end exclusive; repeated
-rows are scanned one by one; other columns are not read by the scan and are kept by redaction.
+rows are scanned one by one; texts of any length are scanned whole, in a time that grows with their
+length; an empty table gives no rows; other columns, whatever their names, are not read by the scan and
+are kept by redaction.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from .common import LOWER, arrow_map, id_and_text, pairs, table, to_batch
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
-#: A scope reaches so many bytes to each side of an identifier, within its paragraph.
-SCOPE = 240
+#: A scope reaches so many bytes to each side of an identifier, within its paragraph: what starts farther away is not its own.
+SCOPE = 1000
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
@@ -57,9 +62,9 @@ def _entropy(token: bytes) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(token).values())
 
 
-def _paragraph(data: bytes, at: int) -> tuple[int, int]:
-    a, b = data.rfind(b"\n\n", 0, at), data.find(b"\n\n", at)
-    return (0 if a < 0 else a + 2), (len(data) if b < 0 else b)
+def _blank_lines(data: bytes) -> list[int]:
+    """Where two line breaks follow each other, in order."""
+    return [m.start() for m in re.finditer(rb"\n(?=\n)", data)]
 
 
 def linked_spans(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -84,9 +89,11 @@ def linked_spans(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[in
     secrets = sorted([(s, k, e) for s, k, e in base if k in (0, 2)] + weak)
     found: set[tuple[int, int, int]] = set()
     reach = {"opaque": -1, "endpoint": -1}
+    blank = _blank_lines(data)
     for s, k, e in sorted(idents):
-        a, b = _paragraph(data, s)
-        a, b = max(a, s - SCOPE), min(b, e + SCOPE)
+        after = bisect_left(blank, s)
+        a = max(blank[after - 1] + 1 if after else 0, s - SCOPE)
+        b = min(blank[after] + 1 if after < len(blank) else len(data), e + SCOPE)
         lo, hi = bisect_left(secrets, (a,)), bisect_left(secrets, (b,))
         if lo == hi:
             continue
