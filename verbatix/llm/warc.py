@@ -5,11 +5,14 @@ sorted by URL key and time. Runs are cut at splitters, so that each range of key
 of its own: a loser tree takes the least line of k sorted runs again and again.
 
 Records with equal payloads: the one with the smallest page_id holds the payload (response), the
-others refer to it (revisit). The decision needs digests alone; pages move once, by page_id.
+others refer to it (revisit). The decision needs digests alone. Pages move once, as compressed response
+records, to meet the decisions by page_id and digest; a revisit is written in the place of its record.
 
 Defined cases: a null html is an empty payload; a null url has an empty key; a null page_id is never
 referred to, and its record is a response unless another page has its payload; rows that share the
-smallest page_id of a payload are all responses; an empty table gives no archives and no rows.
+smallest page_id of a payload are all responses; rows that share an id but not the payload are decided
+one by one; long payloads are written whole; an empty table gives no archives and no rows; columns other
+than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +36,6 @@ from .files import Written, make_folder, opened
 LEAST_BYTES = 0
 #: Pages whose keys and times the splitters are chosen from: a bounded sample, which only affects how even the ranges are.
 SAMPLE = 4096
-#: Revisits are broadcast up to so many rows (about 60 bytes each); more are joined by a shuffle of the pages.
-BROADCAST_ROWS = 1_000_000
 #: The tables have no times: a page is captured so many seconds after this as its id says.
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
@@ -100,7 +101,7 @@ class LoserTree:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record, not compressed."""
+    """One WARC record, as a gzip member."""
     when = captured(page_id).strftime("%Y-%m-%dT%H:%M:%SZ")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -117,7 +118,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     ]
     if refers_to is not None:
         head[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"WARC-Refers-To-Date: {captured(refers_to):%Y-%m-%dT%H:%M:%SZ}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def revisit(data: bytes, refers_to: int) -> bytes:
+    """The revisit that stands in the place of a response's gzip member."""
+    page_id, url, payload = response_of(data)
+    return record(page_id, url, payload, refers_to)
+
+
+def response_of(data: bytes) -> tuple[int | None, str, bytes]:
+    """page_id, URL as written and payload of a response's gzip member."""
+    head, _, rest = zlib.decompress(data, 31).partition(b"\r\n\r\n")
+    field = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    i = field["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
+    return int(i) if i else None, field["WARC-Target-URI"], rest[: int(field["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def members(uri: str, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
@@ -176,23 +192,33 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     sample = rows.select("page_id", "url").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE).collect()
     keys = sorted({(url_key(r.url), captured(r.page_id).isoformat()) for r in sample})
     cuts = sorted({keys[k * len(keys) // n] for k in range(1, n)}) if keys else []
-    back = staged(revisits(pages), "revisits")
-    back = F.broadcast(back) if back.count() <= BROADCAST_ROWS else back
-    # by digest too: a null id or a repeated one can stand beside several payloads
-    joined = rows.join(back, rows.page_id.eqNullSafe(back.page_id) & (F.sha1(_payload()) == back.digest), "left").drop(back.page_id).drop(back.digest)
-    joined = joined.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "html").withColumn("run", F.spark_partition_id())
+    made = pa.schema([("page_id", pa.int64()), ("digest", pa.binary()), ("url_key", pa.string()), ("member", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page_id, url, html in pairs(b):
+                payload = (html or "").encode("utf-8", "replace")
+                out.append((page_id, hashlib.sha1(payload).digest(), url_key(url), record(page_id, url, payload, None)))
+            yield to_batch(out, made)
+
+    packed = arrow_map(rows, pack, "page_id long, digest binary, url_key string, member binary")
+    back = revisits(pages).select(F.col("page_id").alias("id"), F.unhex("digest").alias("of"), "first")
+    # by digest too: a null id or a repeated one can stand beside several payloads; every row has its own key, copies of a payload as well
+    joined = packed.join(back.hint("merge"), packed.page_id.eqNullSafe(back.id) & (packed.digest == back.of), "left").select("page_id", "url_key", "member", "first")
+    joined = joined.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url_key", "member").withColumn("run", F.spark_partition_id())
     schema = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("uri", pa.string()), ("lines", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, lines, number = None, [], 0
         for b in batches:
-            for page_id, url, html, first, number in pairs(b):
+            for page_id, key, data, first, number in pairs(b):
                 if file is None:
                     uri = f"{folder}/pages-{number:08d}.warc.gz"
                     file = Written(uri)
-                pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = pack.compress(record(page_id, url, (html or "").encode("utf-8", "replace"), first)) + pack.flush()
-                lines.append((url_key(url), captured(page_id).isoformat(), file.at, len(data)))
+                if first is not None:
+                    data = revisit(data, first)
+                lines.append((key, captured(page_id).isoformat(), file.at, len(data)))
                 file.write(data)
         if file is not None:
             file.close()
