@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Records of one Arrow batch: at the longest documents of the tables (20,000 words) a batch stays near 250 MB.
-BATCH_ROWS = 2000
+#: Records and bytes of one Arrow batch: a batch ends at whichever comes first, so long texts don't add up.
+BATCH_ROWS, BATCH_BYTES = 2000, 64 << 20
 #: Estimates from this size on are the optimizer's word for not knowing.
 UNKNOWN = 1 << 58
 MOST_PARTS = 200_000
@@ -29,23 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session), a temporary folder of this machine is set once.
+    Where the setting is absent, a local session gets a temporary folder of its machine, set once; any
+    other session gets a ValueError, since its executors would write to folders of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="verbatix-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/verbatix/{uuid.uuid4().hex}"
 
 
+#: Folders that staged() has written, per thread, so that they can be removed when no plan needs them any more.
+_staged = threading.local()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later steps start from files, whatever executors are lost."""
     path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
+    _staged.paths = [*getattr(_staged, "paths", ()), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_once(make: Callable[[], DataFrame], name: str, before: DataFrame | None = None) -> DataFrame:
+    """What make() gives, staged; the tables that it staged on the way, and the one before, are removed."""
+    outer, _staged.paths = getattr(_staged, "paths", []), []
+    df = staged(make(), name)
+    store = df.sparkSession._jvm.org.apache.hadoop.fs
+    old = [] if before is None else [f.rsplit("/", 1)[0] for f in before.inputFiles()[:1]]
+    for path in [*_staged.paths[:-1], *old]:
+        folder = store.Path(path)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    _staged.paths = [*outer, _staged.paths[-1]]
+    return df
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; for a scan, the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -59,8 +81,9 @@ def parts(df: DataFrame, mb: float) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS records."""
+    """mapInArrow over batches of at most BATCH_ROWS records and about BATCH_BYTES; both are settings of the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
