@@ -76,6 +76,24 @@ def test_ngram_join(docs):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark, monkeypatch):
+    base = prose(1, 60).split()
+    near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (5, 30, 55)]
+    # 0 and 2 differ in too much and are linked through the null row alone
+    far = base.copy()
+    far[5], far[30], far[55] = "new", "new", "new"
+    rows = [(3, near[0]), (None, " ".join(base)), (9, near[2]), (None, prose(4, 40)), (None, prose(4, 40) + " x"), (7, prose(8, 50)), (7, prose(9, 50)), (7, prose(9, 50) + " y"), (None, None), (7, "")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == plain_components(rows) and (None, 56, 3) in got
+
+
+def test_ngram_join_of_sets_with_one_half_hash(docs, monkeypatch):
+    counts = ngram_join.counted(docs).withColumn("cls", F.when(F.col("n") > 0, F.lit(5)).otherwise(F.col("cls")))
+    named = ngram_join.renamed(counts).collect()
+    assert len({r.name for r in named} | {5}) == counts.where("n > 0").select("other").distinct().count() == len(named) + 1
+
+
 def test_ngram_join_of_nothing(nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
@@ -90,7 +108,25 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
             w[r.randrange(40)] = r.choice(WORDS)
         rows.append((i, " ".join(w)))
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(x) for x in got.collect()), key=str) == plain_components(rows)
+    assert sorted((tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == plain_components(rows)
+
+
+def test_ngram_join_by_cells(spark, monkeypatch):
+    # sets of one region that differ in much: its own cells split it
+    r, rows, split = random.Random(6), [], []
+    head = prose(50, 12)
+    for i in range(80):
+        w = prose(200 + i % 5, 60).split()
+        for _ in range(r.choice([0, 1, 2, 3])):
+            w[r.randrange(60)] = r.choice(WORDS)
+        rows.append((i, head + " " + " ".join(w)))
+    sets = [ngram_join.shingles(t.encode()) for _, t in rows]
+    region = ngram_join._Region(np.array([len(s) for s in sets]), sets)
+    region.join(np.arange(80))
+    least = {}
+    for k, x in enumerate(region.root.tolist()):
+        least.setdefault(x, k)
+    assert region.cells >= 1 and [(i, len(s), least[x]) for i, (s, x) in enumerate(zip(sets, region.root.tolist()))] == sorted(plain_components(rows))
 
 
 @settings(max_examples=30, deadline=None)

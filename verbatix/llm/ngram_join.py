@@ -18,11 +18,14 @@ shingles any other set has, then by how many of all. Equal sets are one set all
 
 Every shingle meets its likes by messages of whole blocks of sets (one for each block and shingle), so
 a shingle of very many sets costs one row a block. A region larger than REGION shingles is cut into
-parts, each pair of which is a task. Links leave a region as a spanning forest.
+parts: sets near the pivot are linked by it and need no comparison with each other, so only the others
+go to every part, in chunks of REGION shingles. Links leave a region as a spanning forest.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; repeated rows
-are one set and appear as often as they come; a null doc_id is never a component's id unless all its
-documents have none; an empty table gives no rows. Shingles and sets are told apart by 64-bit hashes.
+are one set and appear as often as they come; a document with a null doc_id is linked like others, but
+null is never a component's id unless all its documents have none; texts of any length are read whole;
+an empty table gives no rows; columns other than doc_id and text are not read. Sets are told apart by
+128-bit hashes, shingles by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ EPS = 1 - PART / WHOLE
 BLOCK, REGION = 1_000_000, 2_000_000
 #: Survivors' ids are broadcast up to so many rows (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Sets that share 64 bits of their hash with another one.
+MOST_NAMES = 100_000
 LEAF, PIVOTS = 24, 8
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -104,9 +109,9 @@ def _u64(data: list[bytes]) -> np.ndarray:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows: doc_id, cls, other, n for each document (cls, other: 128 bits of its set's hash; n its size), and cls, common: first shingles of the set that another set has."""
+    """Two kinds of rows: doc_id, cls, other, n, text_hash for each document (cls, other: 128 bits of its set's hash; n its size), and cls, common: first shingles of the set that another set has."""
     n_buckets = parts(docs, 8)
-    out = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+    out = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, keys, owners, size, turn = set(), [], [], 0, 0
@@ -121,13 +126,13 @@ def counted(docs: DataFrame) -> DataFrame:
             times = np.diff(np.r_[start, len(h)])
             # a shingle of several sets of this block is known to be shared: its sets are counted here
             shared, how_many = np.unique(c[np.repeat(times, times) > 1], return_counts=True)
-            yield to_batch([(turn % n_buckets, 2, shared.tobytes(), how_many.astype(np.uint64).tobytes(), None, None)], out)
+            yield to_batch([(turn % n_buckets, 2, shared.tobytes(), how_many.astype(np.uint64).tobytes(), None, None, None)], out)
             h, one, many = h[start], c[start], (times > 1).astype(np.uint8)
-            yield to_batch([(b, 1, x, y, z, None) for b, x, y, z in _by_bucket(h, n_buckets, h, one, many)], out)
+            yield to_batch([(b, 1, x, y, z, None, None) for b, x, y, z in _by_bucket(h, n_buckets, h, one, many)], out)
 
         for batch in batches:
-            ids, cls, other, ns, null = [], [], [], [], []
-            for i, text in pairs(batch):
+            ids, cls, other, ns, null, texts = [], [], [], [], [], []
+            for i, text, text_hash in pairs(batch):
                 s = shingles(text)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 mine = d & 0xFFFFFFFFFFFFFFFF
@@ -136,6 +141,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 cls.append(mine)
                 other.append(d >> 64)
                 ns.append(len(s))
+                texts.append(text_hash)
                 if len(s) and mine not in seen:
                     seen.add(mine)
                     k = _first(len(s))[0]
@@ -144,14 +150,14 @@ def counted(docs: DataFrame) -> DataFrame:
                     size += k
             turn += 1
             docs_of = np.array(ns, np.uint64) | (np.array(null, np.uint64) << np.uint64(63))
-            yield to_batch([((TaskContext.get().partitionId() + turn) % n_buckets, 0, np.array(ids, np.int64).tobytes(), np.array(cls, np.uint64).tobytes(), np.array(other, np.uint64).tobytes(), docs_of.tobytes())], out)
+            yield to_batch([((TaskContext.get().partitionId() + turn) % n_buckets, 0, np.array(ids, np.int64).tobytes(), np.array(cls, np.uint64).tobytes(), np.array(other, np.uint64).tobytes(), docs_of.tobytes(), np.array(texts, np.int64).tobytes())], out)
             if size > BLOCK // 2:
                 yield from flush()
                 keys, owners, size = [], [], 0
         yield from flush()
         _words.clear()
 
-    result = "doc_id long, cls long, other long, n long, common long"
+    result = "doc_id long, cls long, other long, n long, text_hash long, common long"
     schema = pa.schema([(x.split()[0], pa.int64()) for x in result.split(", ")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +166,15 @@ def counted(docs: DataFrame) -> DataFrame:
 
         def of_sets(cls: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
             n = len(cls)
-            return pa.record_batch([nothing(n), pa.array(cls.view(np.int64)), nothing(n), nothing(n), pa.array(common.astype(np.int64))], schema=schema)
+            return pa.record_batch([nothing(n), pa.array(cls.view(np.int64)), nothing(n), nothing(n), nothing(n), pa.array(common.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            for _, kind, a, b, x, y in pairs(batch):
+            for _, kind, a, b, x, y, z in pairs(batch):
                 if kind == 0:
                     n = np.frombuffer(y, np.uint64)
                     null = (n >> np.uint64(63)).astype(bool)
                     n = (n & np.uint64((1 << 63) - 1)).astype(np.int64)
-                    yield pa.record_batch([pa.array(np.frombuffer(a, np.int64), mask=null), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(x, np.int64)), pa.array(n), nothing(len(n))], schema=schema)
+                    yield pa.record_batch([pa.array(np.frombuffer(a, np.int64), mask=null), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(x, np.int64)), pa.array(n), pa.array(np.frombuffer(z, np.int64)), nothing(len(n))], schema=schema)
                 elif kind == 2:
                     yield of_sets(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
                 else:
@@ -188,7 +194,8 @@ def counted(docs: DataFrame) -> DataFrame:
             if mine.any():
                 yield of_sets(*np.unique(c[mine], return_counts=True))
 
-    dealt = arrow_map(id_and_text(docs), sketch, "bucket int, kind int, a binary, b binary, c binary, d binary").repartition(n_buckets, "bucket")
+    rows = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    dealt = arrow_map(rows, sketch, "bucket int, kind int, a binary, b binary, c binary, d binary, e binary").repartition(n_buckets, "bucket")
     return staged(arrow_map(dealt, count, result), "counted")
 
 
@@ -196,23 +203,59 @@ BLOCK_DDL = "block long, cls binary, n binary, size binary, hashes binary"
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("cls", pa.binary()), ("n", pa.binary()), ("size", pa.binary()), ("hashes", pa.binary())])
 
 
-def blocks_of_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """The sets that may have a partner, in blocks: class, size, how many hashes follow, hashes."""
-    n = F.max("n")
-    per = counts.groupBy("cls").agg(n.alias("n"), F.sum("common").alias("common"), F.min("doc_id").alias("doc_id"))
+def _wanted(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """cls, other, text: one text for each set that may have a partner. cls tells these sets apart: where sets share it, all but one get another."""
+    per = counts.where("n > 0").groupBy("cls", "other").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    common = counts.where("n is null").groupBy("cls").agg(F.sum("common").alias("common"))
     needed = F.greatest(F.lit(1), (-F.floor(-F.col("n") * PART / WHOLE) / 8).cast("bigint"))
-    left = staged(per.where((F.col("n") > 0) & (F.col("common") >= needed) & F.col("doc_id").isNotNull()).select("doc_id", "cls"), "survivors")
-    keep = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
-    rows = id_and_text(docs).join(keep, "doc_id").select("cls", "text")
+    left = staged(per.join(common, "cls").where(F.col("common") >= needed).select("doc_id", "cls", "other"), "survivors")
+    named = left.where("doc_id is not null")
+    keep = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    rows = id_and_text(docs).join(keep, "doc_id").select("cls", "other", "text")
+    # sets whose documents all have a null doc_id: the texts of such documents are hashed again to find them
+    nameless = left.where("doc_id is null").select("cls", "other")
+    if nameless.isEmpty():
+        return rows
+    schema = pa.schema([("cls", pa.int64()), ("other", pa.int64()), ("text", pa.binary())])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, text in pairs(batch):
+                a, b = _halves(shingles(text))
+                out.append((a, b, text))
+            yield to_batch(out, schema)
+        _words.clear()
+
+    found = arrow_map(id_and_text(docs.where("doc_id is null")), again, "cls long, other long, text binary")
+    return rows.unionByName(found.join(nameless, ["cls", "other"]).select("cls", "other", "text"))
+
+
+def _halves(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's hash, signed."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    high, low = np.frombuffer(d, ">i8").tolist()
+    return low, high
+
+
+def renamed(counts: DataFrame) -> DataFrame:
+    """cls, other, name: of sets that share cls, those that get a name of their own."""
+    sets = counts.where("n > 0").groupBy("cls").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("cls", F.col("a").alias("first"))
+    rows = counts.where("n > 0").join(sets, "cls").where("other <> first").select("cls", "other").distinct()
+    return rows.select("cls", "other", F.xxhash64("cls", "other").alias("name"))
+
+
+def blocks_of_sets(docs: DataFrame, counts: DataFrame, names: dict[tuple[int, int], int]) -> DataFrame:
+    """The sets that may have a partner, in blocks: class (or the set's own name), size, how many hashes follow, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size, turn = set(), [], 0, 0
         for batch in batches:
-            for cls, text in pairs(batch):
+            for cls, other, text in pairs(batch):
                 s = shingles(text)
-                if cls not in seen and xxhash.xxh3_128_intdigest(s.tobytes()) & 0xFFFFFFFFFFFFFFFF == cls & 0xFFFFFFFFFFFFFFFF:
-                    seen.add(cls)
-                    held.append((cls, s))
+                if (cls, other) not in seen and _halves(s) == (cls, other):
+                    seen.add((cls, other))
+                    held.append((names.get((cls, other), cls), s))
                     size += len(s)
                 if size > BLOCK:
                     yield _block(TaskContext.get().partitionId() << 32 | turn, held)
@@ -221,7 +264,7 @@ def blocks_of_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
             yield _block(TaskContext.get().partitionId() << 32 | turn, held)
         _words.clear()
 
-    return staged(arrow_map(rows, run, BLOCK_DDL), "blocks")
+    return staged(arrow_map(_wanted(docs, counts), run, BLOCK_DDL), "blocks")
 
 
 def _block(number: int, sets: list[tuple]) -> pa.RecordBatch:
@@ -340,8 +383,8 @@ def in_order(blocks: DataFrame, n: int) -> DataFrame:
 
 
 def second_regions(blocks: DataFrame, n: int) -> DataFrame:
-    """pivot, cls, n, hashes: every set in the region of each pivot that one of its first-level regions has."""
-    schema = pa.schema([("pivot", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
+    """pivot, cls, n, hashes, w (how many): every set in the region of each pivot that one of its first-level regions has."""
+    schema = pa.schema([("pivot", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("w", pa.int64())])
 
     def place(row: tuple, h: np.ndarray, v: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         cls, full, size, hashes = _unblock(row)
@@ -352,14 +395,14 @@ def second_regions(blocks: DataFrame, n: int) -> DataFrame:
         member = np.unique(np.stack([owner[found], v[at[found]]], 1), axis=0)
         start, out, held = np.cumsum(size) - size, [], 0
         for o, pivot in member.tolist():
-            out.append((pivot, int(cls[o]), int(full[o]), hashes[start[o] : start[o] + size[o]].tobytes()))
+            out.append((pivot, int(cls[o]), int(full[o]), hashes[start[o] : start[o] + size[o]].tobytes(), int(size[o])))
             held += len(out[-1][3])
             if held > 1 << 24:
                 yield to_batch(out, schema)
                 out, held = [], 0
         yield to_batch(out, schema)
 
-    return staged(_met(blocks, _asked(blocks, n, regions=True), n, place, "pivot long, cls long, n long, hashes binary"), "regions")
+    return staged(_met(blocks, _asked(blocks, n, regions=True), n, place, "pivot long, cls long, n long, hashes binary, w long"), "regions")
 
 
 class _Region:
@@ -373,6 +416,8 @@ class _Region:
         self.mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
         self.root = np.arange(len(n))
         self.links: list[tuple[int, int]] = []
+        #: regions that have been split by cells
+        self.cells = 0
 
     def distances(self, pivot: int, idx: np.ndarray, rows: tuple) -> np.ndarray:
         """Distances of the sets idx to a pivot; those near enough are linked with it."""
@@ -382,7 +427,8 @@ class _Region:
         both = np.bincount(owner[self.mark[ids]], minlength=len(idx))
         self.mark[own] = False
         union = self.n[idx] + self.n[pivot] - both
-        for x in idx[(WHOLE * both >= PART * union) & (self.root[idx] != self.root[pivot])].tolist():
+        self.near = WHOLE * both >= PART * union
+        for x in idx[self.near & (self.root[idx] != self.root[pivot])].tolist():
             if (a := self.root[x]) != (b := self.root[pivot]):
                 self.root[self.root == max(a, b)] = min(a, b)
                 self.links.append((x, pivot))
@@ -404,6 +450,7 @@ class _Region:
             d = np.stack([self.distances(int(p), idx, rows) for p in pivots])
             inside = d <= d.min(0) + 2 * EPS + 1e-9
             if inside.sum(1).max() <= 0.7 * len(idx):
+                self.cells += 1
                 for k in range(len(pivots)):
                     self.join(idx[inside[k]])
                 return
@@ -424,54 +471,112 @@ def region_links(pivot: int, cls: list[int], n: list[int], hashes: list[bytes])
     return [(cls[a], cls[b]) for a, b in r.links]
 
 
+def part_links(cls: list[int], n: list[int], hashes: list[bytes], linked: list[bool]) -> list[tuple[int, int]]:
+    """Links (as a forest) of a part of a region and of sets from all of it that its pivot doesn't link; those it does are linked already."""
+    first = {c: k for k, c in reversed(list(enumerate(cls)))}
+    keep = sorted(first.values())  # a set of this part may stand beside its own copy
+    r = _Region(np.array(n, np.int64)[keep], [np.frombuffer(hashes[k], np.uint64) for k in keep])
+    mine = np.flatnonzero(np.array(linked)[keep])
+    if len(mine):
+        r.root[mine] = mine[0]
+    r.join(np.arange(len(keep)))
+    return [(cls[keep[a]], cls[keep[b]]) for a, b in r.links]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows in lists of those whose first `width` columns agree; they follow each other."""
+    now, held = None, []
+    for batch in batches:
+        for row in pairs(batch):
+            if row[:width] != now and held:
+                yield now, held
+                held = []
+            now = row[:width]
+            held.append(row[width:])
+    if held:
+        yield now, held
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def links(regions: DataFrame) -> DataFrame:
     """a, b: links between sets, enough to connect all that are linked."""
-    size = regions.groupBy("pivot").agg(F.count("*").alias("k"), F.sum(F.length("hashes") / 8).alias("w")).where("k > 1")
-    size = size.select("pivot", F.ceil(F.col("w") / REGION).cast("int").alias("cuts"))
-    rows = regions.join(size, "pivot")
-    mine = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
-    whole = rows.where("cuts = 1").withColumns({"i": F.lit(0), "j": F.lit(0)})
-    cut = rows.where("cuts > 1").withColumn("mine", mine)
-    each = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-    every = F.expr("flatten(transform(sequence(0, cuts - 1), x -> transform(sequence(x, cuts - 1), y -> struct(x as i, y as j))))")
-    cut = cut.withColumn("at", F.explode(F.when(F.col("cls") == F.col("pivot"), every).otherwise(each)))
-    cut = cut.select("pivot", "cls", "n", "hashes", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
-    rows = whole.select("pivot", "cls", "n", "hashes", "i", "j").unionByName(cut)
+    size = regions.groupBy("pivot").agg(F.count("*").alias("k"), F.sum("w").alias("w")).where("k > 1")
+    size = staged(size.select("pivot", F.ceil(F.col("w") / REGION).cast("int").alias("cuts")), "sizes")
     n = parts(regions, 4)
-    rows = rows.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "cls")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            out = []
-            for pivot, cls, size, hashes, i, j in pairs(batch):
-                if (pivot, i, j) != now and held:
-                    out += region_links(now[0], *map(list, zip(*held)))
-                    held = []
-                now = (pivot, i, j)
-                held.append((cls, size, hashes))
-            yield to_batch(out, schema)
-        if held:
-            yield to_batch(region_links(now[0], *map(list, zip(*held))), schema)
-
-    return arrow_map(rows, run, "a long, b long")
+    rows = regions.join(size, "pivot").select("pivot", "cls", "n", "hashes", "w", "cuts")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pivot,), held in _by_key(batches, 1):
+            yield to_batch(region_links(pivot, *map(list, zip(*held))), LINKS)
+
+    found = arrow_map(rows.where("cuts = 1").select("pivot", "cls", "n", "hashes").repartition(n, "pivot").sortWithinPartitions("pivot", "cls"), whole, "a long, b long")
+    hot = size.where("cuts > 1")
+    if hot.isEmpty():
+        return found
+
+    # large regions: first the links with the pivot, which goes to every part
+    part = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
+    hot = rows.where("cuts > 1").withColumn("part", part)
+    pivots = hot.where("cls = pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    near = hot.where("cls <> pivot").unionByName(pivots).select("pivot", "part", "cls", "n", "hashes")
+    near = near.repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", "cls")
+    told = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_())])
+
+    def by_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pivot, _), held in _by_key(batches, 2):
+            cls, size_, hashes = map(list, zip(*held))
+            r = _Region(np.array(size_, np.int64), [np.frombuffer(h, np.uint64) for h in hashes])
+            every = np.arange(len(cls))
+            r.distances(cls.index(pivot), every, r.rows(every))
+            yield to_batch([(c, pivot, x) for c, x in zip(cls, r.near.tolist())], told)
+
+    told_links = staged(arrow_map(near, by_pivot, "a long, b long, near boolean"), "pivot-links")
+    found = found.unionByName(told_links.where("near and a <> b").select("a", "b"))
+
+    # then the sets that it doesn't link, with every part of their region
+    left = told_links.where("not near").select(F.col("b").alias("pivot"), F.col("a").alias("cls"))
+    left = staged(hot.join(left, ["pivot", "cls"]), "left")
+    chunks = left.groupBy("pivot").agg(F.ceil(F.sum("w") / REGION).cast("int").alias("chunks"))
+    probes = left.join(chunks, "pivot").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), F.col("cls")), F.col("chunks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    base = hot.join(left.select("pivot", "cls", F.lit(False).alias("linked")), ["pivot", "cls"], "left").join(chunks, "pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ("pivot", "part", "chunk", "cls", "n", "hashes", "linked")
+    both = base.withColumn("linked", F.coalesce("linked", F.lit(True))).select(*columns).unionByName(probes.withColumn("linked", F.lit(False)).select(*columns))
+    both = both.repartition(n, "pivot", "part", "chunk").sortWithinPartitions("pivot", "part", "chunk", "cls")
+
+    def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_key(batches, 3):
+            yield to_batch(part_links(*map(list, zip(*held))), LINKS)
+
+    return found.unionByName(arrow_map(both, with_part, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row for each row of docs."""
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) and group, one row for each row of docs.
+
+    group tells components apart where ids do not: it is null for a text without shingles, and the same
+    for all rows of a component.
+    """
     counts = counted(docs)
-    info = counts.where("n is not null").select("doc_id", "cls", "other", "n")
-    blocks = blocks_of_sets(docs, counts)
+    info = counts.where("n is not null").select("doc_id", "cls", "other", "n", "text_hash")
+    # sets of one 64-bit class are rare even among 10^10 sets
+    names = renamed(counts).limit(MOST_NAMES + 1).collect()
+    if len(names) > MOST_NAMES:
+        raise ValueError("the hash of sets does not tell them apart")
+    if names:
+        info = info.join(F.broadcast(docs.sparkSession.createDataFrame(names)), ["cls", "other"], "left").select("doc_id", F.coalesce("name", "cls").alias("cls"), "other", "n", "text_hash")
+    blocks = blocks_of_sets(docs, counts, {(r.cls, r.other): r.name for r in names})
     n = parts(blocks, 4)
     found = components(links(second_regions(in_order(blocks, n), n)))
     groups = info.where("n > 0").groupBy("cls", "other").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     groups = groups.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").where("copies > 1 or root is not null")
     lowest = groups.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest"))
-    named = groups.join(lowest, "root", "left").select("cls", "other", F.coalesce("lowest", "least").alias("component_id"))
-    return info.join(named, ["cls", "other"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = groups.join(lowest, "root", "left").select("cls", "other", "root", F.coalesce("lowest", "least").alias("component_id"))
+    out = info.join(named, ["cls", "other"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("group"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
