@@ -8,7 +8,8 @@ its containment.
 
 Defined cases: a null or empty text has the empty fingerprint, contained wholly in an empty one and
 not at all in another; equal texts have equal fingerprints; null ids come before all others, rows
-with one id are ordered by text; a table of one row follows itself.
+with one id are ordered by text; a table of one row follows itself; texts of any length are chunked
+whole; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +34,6 @@ STRICT, LOOSE = 5, 2
 #: A random value for each byte.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 ENTRY = np.dtype([("digest", "<u4"), ("length", "<u2")])
-#: Sorted ranges of documents: at most so many.
-RANGES = 10_000
 
 
 def borders(data: bytes) -> list[int]:
@@ -95,16 +95,20 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, tail, key, doc_id, text) in ranges of ids, sorted: each part ends with a tail row, the first row of the part after it (after the last: of the first)."""
     rows = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = min(RANGES, parts(docs, 8))
-    cuts = sorted({int(c) for c in rows.approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    cut = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("part", F.size(F.filter(cut, lambda c: c <= F.col("key"))))
+    n = parts(docs, 8)
+    cuts = np.array(sorted({int(c) for c in rows.approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else [], np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32))
+
+    rows = rows.withColumn("part", part_of("key"))
     # one row for each range
     first = sorted((r.part, r.key) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())
     tails = docs.sparkSession.createDataFrame([(first[k - 1][0], first[k][1]) for k in range(len(first))], "to int, key long")
-    tail = rows.join(F.broadcast(tails), "key").select(F.col("to").alias("part"), F.lit(1).alias("tail"), "key", "doc_id", "text")
+    tail = rows.select("key", "doc_id", "text").join(F.broadcast(tails), "key").select(F.col("to").alias("part"), F.lit(1).alias("tail"), "key", "doc_id", "text")
     every = rows.select("part", F.lit(0).alias("tail"), "key", "doc_id", "text").unionByName(tail)
-    return every.repartition(n, "part").sortWithinPartitions("part", "tail", "key", "text")
+    return every.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "tail", "key", "text")
 
 
 def op4_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
