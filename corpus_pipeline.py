@@ -6,9 +6,11 @@
 4. mixing: documents come as often as the mix takes them.
 5. byte-level BPE: ids, as counts and digests of ids and of their decoding.
 
-Defined cases: null texts pass the first stage, stay in the second, and are taken 0 times in the
-fourth; rows that repeat a document are one document in the second stage; an empty table gives an
-empty result. Extra columns are carried through the first four stages.
+Defined cases: null and empty texts pass the first stage, stay in the second, and are taken 0 times in
+the fourth; rows with one id and text are one document in the second stage, rows with one id and other
+texts are several; of a group of near copies the least id stays, one that is not null if there is any;
+texts of any length are taken whole; an empty table gives an empty result. Extra columns of any names
+are carried through the first four stages.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatix.llm.byte_bpe import round_trip
-from verbatix.llm.common import staged, table
+from verbatix.llm.common import staged, staged_once, table
 from verbatix.llm.ngram_join import near_duplicates
 from verbatix.llm.secret_scan import redact
 from verbatix.llm.source_mix import mixed_documents
@@ -31,12 +33,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, and every document without words."""
     found = staged(near_duplicates(docs), "near-copies")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(gone.unionByName(twice), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    this = ["doc_id", "text_hash"]
+    # the document that stays: the least id (a null one last), of texts with one id the least hash
+    stays = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("stays"))
+    marked = found.where("group is not null").groupBy("group", *this).agg(F.count("*").alias("copies")).join(stays, "group")
+    first = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    # what goes, and what stays of several equal rows
+    marked = marked.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of"), first.alias("stays"), "copies").where("not stays or copies > 1")
+    rows = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("bigint").alias("a"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")).alias("b"))
+    same = F.col("a").eqNullSafe(F.col("id")) & (F.col("b") == F.col("of"))
+    once = rows.join(marked, same, "left_anti").select("row")
+    twice = rows.join(marked.where("stays"), same, "left_semi").dropDuplicates(["a", "b"]).select("row")
+    return once.unionByName(twice).select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's own tables and its predecessor's result are removed when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = before = staged_once(lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"), before)  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)
