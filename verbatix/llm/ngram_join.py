@@ -240,9 +240,8 @@ def _halves(s: np.ndarray) -> tuple[int, int]:
 
 def renamed(counts: DataFrame) -> DataFrame:
     """cls, other, name: of sets that share cls, those that get a name of their own."""
-    sets = counts.where("n > 0").groupBy("cls").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("cls", F.col("a").alias("first"))
-    rows = counts.where("n > 0").join(sets, "cls").where("other <> first").select("cls", "other").distinct()
-    return rows.select("cls", "other", F.xxhash64("cls", "other").alias("name"))
+    sets = counts.where("n > 0").select("cls", "other").distinct().groupBy("cls").agg(F.sort_array(F.collect_list("other")).alias("others"))
+    return sets.where(F.size("others") > 1).select("cls", F.explode(F.expr("slice(others, 2, size(others))")).alias("other")).withColumn("name", F.xxhash64("cls", "other"))
 
 
 def blocks_of_sets(docs: DataFrame, counts: DataFrame, names: dict[tuple[int, int], int]) -> DataFrame:
