@@ -195,7 +195,7 @@ def test_toxicity_of_text_without_blanks():
     scorer = toxicity.Scorer(toxicity.fit(texts))
     for gap in ("\u00a0", "\u3000", "-"):
         clean = gap.join(prose(i, 1) for i in range(9000, 9200))
-        late = gap.join([clean, *["grobnik", clean] * 4])
+        late = gap.join([clean, *itertools.chain.from_iterable(("grobnik", gap.join(prose(i + j, 1) for j in range(20))) for i in range(9300, 9340))])
         assert scorer.score(clean.encode()) < 0.5 <= scorer.score(late.encode())
         assert len(scorer.gains(late.encode())) * toxicity.STEP > len(late.encode()) - toxicity.WINDOW
 

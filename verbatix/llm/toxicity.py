@@ -4,8 +4,10 @@ Two zstandard dictionaries are made from the texts of labelled rows. Both end in
 trains on the ordinary texts; the toxic one begins with passages of toxic texts, the other with as many
 zero bytes, so that distances to the shared part are equal. Windows of several words slide over the
 whole text, each overlapping the next one, whatever blanks the text has. The difference of a window's
-two compressed lengths is its gain. The bytes by which a text's windows exceed a calibrated gain are
-added up, and a text is toxic from a calibrated sum on.
+two compressed lengths is its gain. Each gain has a weight, how much oftener (as a logarithm) windows of
+toxic texts have it than those of ordinary ones; a text's weights are added up, and it is toxic from a
+calibrated sum on. Weights and threshold come from texts that the dictionaries were not made of: each
+half of the sample is scored with the dictionaries of the other half; the model has those of all of it.
 
 Passages are found by the bytes of the texts, blanks included, so that short words and several words
 together count as well as long words: strings that stand in many different contexts of toxic texts and
@@ -15,14 +17,16 @@ for. Counting contexts, not texts, keeps copies of one toxic text from adding th
 
 The sample is bounded: TOXIC and ORDINARY labelled rows, in the order of a hash of their ids.
 
-Defined cases: a null or empty text has no window and the score of a text without gains; rows without
-a label, or with a null one, are scored but not learned from; without any toxic or any ordinary label
-every score is 0; repeated rows are scored one by one.
+Defined cases: a null or empty text has one window without a gain; rows without a label, or with a null
+one, are scored but not learned from; without any toxic or any ordinary label every score is 0; repeated
+rows are scored one by one; texts of any length are scored whole; an empty table gives no rows; columns
+other than doc_id and text are not read, and are kept by keep_clean whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +48,10 @@ AT_ONCE = 20_000
 DICTIONARY, SAMPLES = 112_640, 10
 #: Lengths of the strings that passages grow from.
 GRAMS = (4, 5, 6, 7, 8)
+#: Gains outside these count as these.
+LEAST, MOST = -6, 14
+#: A string is telling from so many times as many toxic texts in a hundred as ordinary ones on.
+TELLING = 5
 
 
 def plain(text: bytes) -> bytes:
@@ -64,8 +72,8 @@ class Model:
 
     toxic: bytes
     ordinary: bytes
-    gain: int
-    needed: int
+    weights: tuple[float, ...] = ()
+    needed: float = 0.0
 
 
 def _grams(text: bytes, k: int) -> np.ndarray:
@@ -123,7 +131,7 @@ def _passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         b = np.zeros(len(seen), np.int64)
         for t in ordinary if len(seen) else ():
             b[among(t)[1]] += 1
-        telling = (a / len(toxic) >= 20 * (b + 0.25) / len(ordinary)) & (_evidence(a, b, share) >= 20)
+        telling = (a / len(toxic) >= TELLING * (b + 0.25) / len(ordinary)) & (_evidence(a, b, share) >= 20)
         seen, a, b = seen[telling], a[telling], b[telling]
         if not len(seen):
             continue
@@ -185,45 +193,55 @@ class Scorer:
             out += [len(b[i]) - len(a[i]) for i in range(len(some))]
         return out
 
+    def tally(self, text: bytes) -> np.ndarray:
+        """How many windows have each gain from LEAST to MOST."""
+        return np.bincount(np.clip(self.gains(text), LEAST, MOST) - LEAST, minlength=MOST - LEAST + 1)
+
     def score(self, text: bytes) -> float:
-        """From 0 to 1; 0.5 and more exactly if the windows gain enough."""
-        gains = self.gains(text)
-        n = excess(gains, self.model.gain)
-        rest = sum(g for g in gains if g > 0) / (1 + len(gains))
-        return 1 / (1 + math.exp(-1.5 * (min(n, 20) - self.model.needed + 0.5 + 0.3 * math.tanh(rest))))
+        """From 0 to 1; 0.5 and more exactly if the weights of the windows add up to what is needed."""
+        return 1 / (1 + math.exp(min(700.0, self.model.needed - float(self.tally(text) @ np.array(self.model.weights)))))
 
 
-def excess(gains: list[int], gain: int) -> int:
-    """Bytes by which windows reach a gain or exceed it, counting one for reaching it."""
-    return sum(g - gain + 1 for g in gains if g >= gain)
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """The two dictionaries of some texts."""
+    passages = b"".join(b"\0" + p for p in reversed(_passages(toxic, ordinary))) if toxic and ordinary else b""
+    try:
+        shared = zstandard.train_dictionary(min(DICTIONARY, sum(map(len, ordinary)) // SAMPLES), ordinary).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        shared = b"".join(ordinary)[-DICTIONARY:]
+    return Model(passages + shared, bytes(len(passages)) + shared)
 
 
 def fit(texts: list[tuple[bytes, int]], weight: float = 1.0) -> Model | None:
     """A model of labelled texts; weight: how many ordinary texts each of those given stands for."""
     texts = sorted(set(texts))
-    if len({label for _, label in texts}) < 2:
+    label = np.array([y for _, y in texts], bool)
+    if label.all() or not label.any():
         return None
-    toxic, ordinary = ([plain(text) for text, label in texts if label == k] for k in (1, 0))
-    passages = b"".join(b"\0" + p for p in reversed(_passages(toxic, ordinary)))
-    try:
-        shared = zstandard.train_dictionary(min(DICTIONARY, sum(map(len, ordinary)) // SAMPLES), ordinary).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        shared = b"".join(ordinary)[-DICTIONARY:]
-    model = Model(passages + shared, bytes(len(passages)) + shared, 3, 2)
-    scorer, tried = Scorer(model), []
-    gains = [([g for g in scorer.gains(text) if g > 0], label) for text, label in texts]
-    for gain in range(1, 7):
-        n = [(excess(row, gain), label) for row, label in gains]
-        for needed in range(1, 9):
-            hit = sum(k >= needed for k, label in n if label)
-            false = weight * sum(k >= needed for k, label in n if not label)
-            missed = sum(k < needed for k, label in n if label)
-            f = 2 * hit / (2 * hit + missed + false)
-            tried.append((f, gain, needed))
-    # of equally good ones the middle one
-    best = [x for x in tried if x[0] == max(tried)[0]]
-    best = best[(len(best) - 1) // 2]
-    return Model(model.toxic, model.ordinary, best[1], best[2])
+    plains = [plain(text) for text, _ in texts]
+    half = np.array([zlib.crc32(t) % 2 for t in plains])
+    of = lambda rows: [plains[k] for k in np.flatnonzero(rows)]
+    tallies = np.zeros((len(texts), MOST - LEAST + 1), np.int64)
+    for h in (0, 1):
+        scorer = Scorer(dictionaries(of(label & (half != h)), of(~label & (half != h))))
+        for k in np.flatnonzero(half == h):
+            tallies[k] = scorer.tally(texts[k][0])
+    a, b = tallies[label].sum(0), tallies[~label].sum(0)
+    # gains that few windows have lean towards the same weight for all
+    common = 20 * (a + b) / (a + b).sum() + 0.01
+    weights = np.log((a + common) / (a.sum() + 20)) - np.log((b + common) / (b.sum() + 20))
+    sums = tallies @ weights
+    order = np.argsort(-sums, kind="stable")
+    order = order[sums[order] > 0]  # a text needs more for it than against it
+    hit, false = np.cumsum(label[order]), np.cumsum(weight * ~label[order])
+    f = 2 * hit / (hit + false + label.sum())
+    last = np.r_[sums[order][1:] != sums[order][:-1], True]
+    # of nearly equally good thresholds the highest, between two sums
+    best = int(np.flatnonzero(last & (f >= f[last].max() - 0.002))[0]) if len(order) else -1
+    above = sums[order][best] if len(order) else 1.0
+    below = max(0.0, sums[order][best + 1]) if best + 1 < len(order) else 0.0
+    whole = dictionaries(of(label), of(~label))
+    return Model(whole.toxic, whole.ordinary, tuple(weights.tolist()), float(above + below) / 2)
 
 
 def remainder() -> F.Column:
