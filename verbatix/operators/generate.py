@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import write_csv
+from .folds import shuffled
+
 # Slots, frames with {S} subject, {T} token, {G} garment, and how often each frame is filled.
 SUBJECTS = ["ladki", "ladkiyon", "aurat", "mahila", "women", "girl", "larki", "woman", "us ladki", "us aurat"]
 GARMENTS = ["jeans", "shorts", "crop top", "western kapde", "skirt", "dress"]
@@ -113,3 +116,10 @@ def static_predictions() -> list[tuple]:
     """frame_id, pred, conf: a fixed answer for each of the 40 frames."""
     unsure = {"IMPLICIT:bahar", "USE_SLUR:5", "USE_SLUR:6"}
     return [(f, "MGY" if c in ("USE_SLUR", "IMPLICIT") else "NOT", "borderline" if f in unsure else "high") for _, _, _, c, f, _, _, _ in frame_rows()]
+
+
+def write_corpus(spark: SparkSession, path: str, seed: int = 12346) -> DataFrame:
+    """Writes the corpus as CSV in a seeded order, in one file since it has 416 rows, and returns its rows with their place."""
+    rows = shuffled(gen_rows(spark), seed)
+    write_csv(rows.coalesce(1).sortWithinPartitions("pos").drop("pos"), path)
+    return rows

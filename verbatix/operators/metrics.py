@@ -78,6 +78,18 @@ def accuracy_by(scored: DataFrame, column: str) -> DataFrame:
     return scored.groupBy(column).agg(F.count("*").alias("n"), hit.alias("n_correct"), (hit / F.count("*")).alias("accuracy"))
 
 
+#: Categories in their order, with the label that each implies (fixed values).
+CATEGORIES = {"USE_SLUR": "MGY", "IMPLICIT": "MGY", "COUNTER": "NOT", "BENIGN_OVERLAP": "NOT", "BENIGN_NEUTRAL": "NOT"}
+
+
+def by_category(scored: DataFrame) -> DataFrame:
+    """place, category, gold, n, n_correct, accuracy: predictions against the label that the category implies."""
+    known = scored.sparkSession.createDataFrame([(k, c, g) for k, (c, g) in enumerate(CATEGORIES.items())], "place int, category string, gold string")
+    rows = scored.join(F.broadcast(known), "category")
+    hit = F.sum((F.col("gold") == F.col("pred")).cast("int"))
+    return rows.groupBy("place", "category", "gold").agg(F.count("*").alias("n"), hit.alias("n_correct"), (hit / F.count("*")).alias("accuracy")).orderBy("place")
+
+
 def error_rows(scored: DataFrame) -> DataFrame:
     """The rows with a wrong prediction."""
     return scored.where(F.col("label") != F.col("pred"))

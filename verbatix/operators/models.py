@@ -7,6 +7,7 @@ has features or not. Linear models are trained row after row, one fold in one gr
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +19,8 @@ from ..functions import text as X
 
 
 def exploded(rows: DataFrame, bag: Column, *keep: str) -> DataFrame:
-    """id, keep, feat, tf."""
-    return rows.select("id", *keep, F.explode(bag).alias("feat")).groupBy("id", *keep, "feat").agg(F.count("*").alias("tf"))
+    """id, keep, feat, tf. Rows are dealt by id first, so that a row's features are counted where it is, without a shuffle of features."""
+    return rows.repartition("id").select("id", *keep, F.explode(bag).alias("feat")).groupBy("id", *keep, "feat").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(rows: DataFrame, bag: Column) -> DataFrame:
@@ -58,9 +59,9 @@ def lexicon_cv(rows: DataFrame, positive: str = "MGY", negative: str = "NOT", mi
     return rows.join(hits, "id", "left").withColumn("pred", F.when(F.col("hit"), positive).otherwise(negative)).drop("hit")
 
 
-def lexicon_rule(rows: DataFrame, words: list[str], positive: str = "MGY", negative: str = "NOT") -> DataFrame:
-    """rows with pred: positive for any listed word or redaction token."""
-    any_ = F.arrays_overlap(X.word_tokens(F.col("text")), F.array(*[F.lit(w) for w in words])) | F.col("text").rlike(X.TOKEN)
+def lexicon_rule(rows: DataFrame, words: list[str], positive: str = "MGY", negative: str = "NOT", tokenizer: Callable[[Column], Column] = X.word_tokens) -> DataFrame:
+    """rows with pred: positive for any listed word or redaction token; tokenizer gives the words of a text."""
+    any_ = F.arrays_overlap(tokenizer(F.col("text")), F.array(*[F.lit(w) for w in words])) | F.col("text").rlike(X.TOKEN)
     return rows.withColumn("pred", F.when(any_, positive).otherwise(negative))
 
 
@@ -167,10 +168,46 @@ def fit_svm(x: np.ndarray, y: np.ndarray, lam: float = 1e-4, epochs: int = 60, s
 FITS: dict[str, Callable] = {"logreg": fit_logreg, "svm": fit_svm}
 
 
-def linear_cv(rows: DataFrame, bag: Column, model: str, names: tuple[str, str] = ("MGY", "NOT"), min_df: int = 1, **options) -> DataFrame:
+def _matrix(train: list[dict], others: list[dict], min_df: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """tf-idf rows of unit length by the training bags' features."""
+    df: dict[str, int] = {}
+    for b in train:
+        for f in b:
+            df[f] = df.get(f, 0) + 1
+    kept = {f: k for k, f in enumerate(sorted(f for f, n in df.items() if n >= min_df))}
+    weight = np.array([np.log((1 + len(train)) / (1 + df[f])) + 1 for f in kept])
+    out = []
+    for bags in (train, others):
+        x = np.zeros((len(bags), len(kept)))
+        for i, b in enumerate(bags):
+            for f, n in b.items():
+                if f in kept:
+                    x[i, kept[f]] = n * weight[kept[f]]
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        out.append(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0))
+    return out[0], out[1]
+
+
+def fit_and_predict(model: str, train: pd.DataFrame, test: pd.DataFrame, names: tuple[str, str], **options) -> list[str]:
+    """Predictions for test by a model of train (columns bag, label): logreg, svm, or cues (Naive Bayes, alpha 0.5)."""
+    a, b = ([dict(Counter(x)) for x in part.bag] for part in (train, test))
+    if model == "cues":
+        count = {c: Counter() for c in names}
+        for bag, y in zip(a, train.label):
+            count[y].update(bag)
+        v, total, n = len(set().union(*a)), {c: sum(count[c].values()) for c in names}, train.label.value_counts()
+        score = lambda bag, c: round(np.log(n[c] / len(a)) + sum(k * np.log((count[c][f] + 0.5) / (total[c] + 0.5 * v)) for f, k in bag.items()), 9)
+        return [max(names, key=lambda c: score(bag, c)) for bag in b]
+    x, z = _matrix(a, b)
+    w, bias = FITS[model](x, (train.label == names[1]).to_numpy(float), **options)
+    return np.where(z @ w + bias >= 0, names[1], names[0]).tolist()
+
+
+def linear_cv(rows: DataFrame, bag: Column, model: str, names: tuple[str, str] = ("MGY", "NOT"), min_df: int = 1, most: int = 20_000, **options) -> DataFrame:
     """id, fold, label, pred, score of a linear model trained on the other folds; folds with one training class are left out.
 
-    A row after row training is one task's work: for large corpora give it a bounded sample.
+    A row after row training is one task's work: a fold of more than most rows raises ValueError, and a
+    bounded sample is to be given instead.
     """
     long = exploded(rows, bag, "fold", "label").groupBy("id", "fold", "label").agg(F.collect_list(F.struct("feat", "tf")).alias("bag"))
     every = rows.select("id", "fold", "label").join(long.select("id", "bag"), "id", "left")
@@ -178,26 +215,16 @@ def linear_cv(rows: DataFrame, bag: Column, model: str, names: tuple[str, str] =
     fit = FITS[model]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"{len(pdf)} rows for one task: give a sample of at most {most}")
         pdf = pdf.sort_values("id", ignore_index=True)
         train, test = pdf[pdf.own != pdf.fold], pdf[pdf.own == pdf.fold]
         if train.label.nunique() < 2 or not len(test):
             return pd.DataFrame({"id": [], "fold": [], "label": [], "pred": [], "score": []})
-        df: dict[str, int] = {}
         bags = [{r["feat"]: r["tf"] for r in (b if b is not None else [])} for b in pdf.bag]
-        for i in train.index:
-            for f in bags[i]:
-                df[f] = df.get(f, 0) + 1
-        kept = {f: k for k, f in enumerate(sorted(f for f, n in df.items() if n >= min_df))}
-        weight = np.array([np.log((1 + len(train)) / (1 + df[f])) + 1 for f in kept])
-        x = np.zeros((len(pdf), len(kept)))
-        for i, b in enumerate(bags):
-            for f, n in b.items():
-                if f in kept:
-                    x[i, kept[f]] = n * weight[kept[f]]
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        w, b = fit(x[train.index], (train.label == names[1]).to_numpy(float), **options)
-        score = x[test.index] @ w + b
+        x, z = _matrix([bags[i] for i in train.index], [bags[i] for i in test.index], min_df)
+        w, b = fit(x, (train.label == names[1]).to_numpy(float), **options)
+        score = z @ w + b
         return pd.DataFrame({"id": test.id, "fold": test.fold, "label": test.label, "pred": np.where(score >= 0, names[1], names[0]), "score": score})
 
     kind = dict(rows.dtypes)["id"]

@@ -47,7 +47,8 @@ def token_length_stats(rows: DataFrame) -> DataFrame:
 def template_profile(rows: DataFrame) -> DataFrame:
     """template (md5 of it), n, first_label (of the least id), buckets (sorted, joined)."""
     key = F.md5(X.template_id(F.col("text"), drop_punctuation=False).cast("binary"))
-    return rows.groupBy(key.alias("template")).agg(F.count("*").alias("n"), F.min_by("label", "id").alias("first_label"), F.array_join(F.sort_array(F.collect_set("bucket")), ",").alias("buckets"))
+    # by count, then by the least id
+    return rows.groupBy(key.alias("template")).agg(F.count("*").alias("n"), F.min("id").alias("_id"), F.min_by("label", "id").alias("first_label"), F.array_join(F.sort_array(F.collect_set("bucket")), ",").alias("buckets")).orderBy(F.desc("n"), "_id").drop("_id")
 
 
 def distinct_text_by_bucket(rows: DataFrame) -> DataFrame:
@@ -55,9 +56,10 @@ def distinct_text_by_bucket(rows: DataFrame) -> DataFrame:
     return rows.select("bucket", F.md5(F.col("text").cast("binary")).alias("h")).distinct().groupBy("bucket").agg(F.count("*").alias("n_distinct"))
 
 
-def script_share(rows: DataFrame, script: str = "[À-ÿ]") -> DataFrame:
-    """label, n, n_script: rows with a character of a range."""
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(script)).alias("n_script"))
+def script_share(rows: DataFrame, script: str = "[\\u0900-\\u097F]", other: str = "[À-ÿ]") -> DataFrame:
+    """label, n, n_script, n_other: rows with a character of a range (Devanagari), and of another one (accented Latin)."""
+    has = lambda x: F.count_if(F.col("text").rlike(x))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), has(script).alias("n_script"), has(other).alias("n_other"))
 
 
 def bucket_samples(rows: DataFrame, n: int = 3) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 # Fixed values.
 FEWSHOT = [
     ("aurat ko kitchen me hi rehna chahiye, bahar kya kaam.", "MGY"),
@@ -55,11 +59,61 @@ def render_prompts(rows: DataFrame, of: DataFrame) -> DataFrame:
     return rows.select("id", "text").crossJoin(F.broadcast(of)).select("prompt_id", "id", "system", F.concat("prefix", "text", "suffix").alias("user"))
 
 
-def call_model(rendered: DataFrame, client: Callable[[str, str], str]) -> DataFrame:
-    """prompt_id, id, raw: client(system, user) for every row; an error of the client ends the task."""
+# The single prompt of the plain baseline.
+SINGLE_SYSTEM = """You are a careful content-moderation classifier for code-mixed Hinglish (Romanised Hindi + English).
+Decide whether a message is MISOGYNISTIC (label MGY) or NOT (label NOT).
+CRITICAL: a slur being *mentioned, quoted, or condemned* (counter-speech, e.g. "don't call her X", "calling her X is wrong") is NOT misogynistic.
+A slur or sexist claim *directed at / used against* a woman IS misogynistic.
+Implicit misogyny (stereotyping, moral-policing, objectification) with no slur is still MGY.
+Answer with exactly one token: MGY or NOT."""
+SINGLE = [("single", SINGLE_SYSTEM, 'Message: "', EITHER)]
+
+
+def single_prompt(spark: SparkSession) -> DataFrame:
+    """The one prompt of the plain baseline, as a relation like prompts()."""
+    return spark.createDataFrame(SINGLE, "prompt_id string, system string, prefix string, suffix string")
+
+
+def http_client(base: str, key: str, model: str, max_tokens: int = 200, timeout: float = 60.0) -> Callable[[str, str], str]:
+    """A client of a chat-completions service at base: temperature 0, the first choice's text; errors are raised."""
+
+    def client(system: str, user: str) -> str:
+        body = {"model": model, "temperature": 0, "max_tokens": max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        request = urllib.request.Request(f"{base.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            choices = json.load(answer).get("choices") or [{}]
+        return (choices[0].get("message") or {}).get("content") or ""
+
+    return client
+
+
+def call_model(rendered: DataFrame, client: Callable[[str, str], str], tries: int = 3, skip: bool = False) -> DataFrame:
+    """prompt_id, id, raw: client(system, user) for every row, tried up to `tries` times; then its error ends the task, or with skip the row has a null."""
+
+    def asked(system: str, user: str) -> str | None:
+        for k in range(tries):
+            try:
+                return client(system, user)
+            except Exception:  # whatever a client raises
+                if k + 1 == tries and not skip:
+                    raise
+        return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"prompt_id": b.prompt_id, "id": b.id, "raw": [client(s, u) for s, u in zip(b.system, b.user)]})
+            yield pd.DataFrame({"prompt_id": b.prompt_id, "id": b.id, "raw": [asked(s, u) for s, u in zip(b.system, b.user)]})
 
     return rendered.mapInPandas(run, f"prompt_id string, id {dict(rendered.dtypes)['id']}, raw string")
+
+
+def classify(rows: DataFrame, client: Callable[[str, str], str], **options) -> DataFrame:
+    """id, pred of the plain baseline: one prompt, and MGY where the answer names it; rows without an answer are skipped."""
+    raw = call_model(render_prompts(rows, single_prompt(rows.sparkSession)), client, skip=True, **options).where("raw is not null")
+    return raw.select("id", X.coerce_prediction(F.col("raw")).alias("pred"))
+
+
+def run_prompts(rows: DataFrame, of: DataFrame, client: Callable[[str, str], str], model: str, **options) -> DataFrame:
+    """model, prompt, id, label, pred and the other columns of rows: every prompt rendered, asked and its answer read."""
+    raw = call_model(render_prompts(rows, of), client, **options).where("raw is not null")
+    read = raw.select(F.lit(model).alias("model"), F.col("prompt_id").alias("prompt"), "id", X.parse_label(F.col("raw")).alias("pred"))
+    return rows.join(read, "id")

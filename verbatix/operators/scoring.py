@@ -33,6 +33,15 @@ def score(rows: DataFrame, classes: list[str]) -> DataFrame:
     return M.all_metrics(M.confusion(rows, classes)).select("accuracy", "macro_f1", "mcc").crossJoin(pairs.select("consistency", "n_pairs"))
 
 
+def score_each(rows: DataFrame, classes: list[str], by: tuple[str, ...] = ("model", "prompt"), category: str = "category") -> DataFrame:
+    """by, accuracy, macro_f1, mcc, consistency, n_pairs, per_category (map) of scored rows, one row for each value of by."""
+    all_ = M.all_metrics(M.confusion(rows, classes, by), by).select(*by, "accuracy", "macro_f1", "mcc")
+    per = rows.groupBy(*by, category).agg(F.avg((F.col("label") == F.col("pred")).cast("int")).alias("a"))
+    per = per.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(category, "a")))).alias("per_category"))
+    out = all_.join(M.pair_consistency(rows, by), list(by), "left").join(per, list(by))
+    return out.withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))).select(*by, "accuracy", "macro_f1", "mcc", "consistency", "n_pairs", "per_category")
+
+
 def upsert(store: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("model", "prompt")) -> DataFrame:
     """The store with new's rows in the place of those with their keys."""
     return store.join(new.select(*keys), list(keys), "left_anti").unionByName(new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import folds, generate, metrics, models, profile, prompts, scoring
+from ..operators import crossval, folds, generate, metrics, models, profile, prompts, scoring
 from ..sources import corpus as C
 
 SEED, K = C.SEED, 5
 BINARY, THREE = ["MGY", "NOT"], ["CONTEXT", "NOT", "STRONG"]
-CURVE_REPEATS, FRACTIONS = 3, [0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0]
+CURVE_REPEATS, FRACTIONS = 25, [0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0]
 #: Example weights of the linear scorer.
 WEIGHTS = [("w1:idiot", 1.5), ("w1:moron", 1.25), ("w1:the", -0.01), ("w1:of", -0.02), ("w1:scum", 2.0), ("w1:de", -0.01)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,7 +495,7 @@ def learning_curve_gain(s, d):
 # without SQL
 @query
 def logreg_cv(s, d):
-    return models.linear_cv(gen(s), X.features(X.represent(col("text"), "stripped"), word=(1, 2), char=(3, 4)), "logreg", epochs=30)
+    return models.linear_cv(gen(s), X.features(X.represent(col("text"), "stripped"), word=(1, 2), char=(3, 4)), "logreg", epochs=80)
 
 
 @query
@@ -505,13 +506,99 @@ def svm_cv(s, d):
 
 @query
 def top_features(s, d):
-    return models.top_features(gen(s), X.features(X.represent(col("text"), "masked"), word=(1, 2)), 10, epochs=30)
+    return models.top_features(gen(s), X.features(X.represent(col("text"), "masked"), word=(1, 2)), 10, epochs=120)
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "pair")
+
+
+DIAGNOSTIC = ["lexicon", "nb", "svm_wide", "logreg", "cues"]
+
+
+@query
+def diagnostic_binary(s, d):
+    """Five models on the generated corpus without its tokens, construction groups apart."""
+    rows = C.diagnostic(generate.gen_rows(s))
+    return crossval.grid(rows, [(m, "stripped", "group") for m in DIAGNOSTIC], BINARY, pairs(rows))
+
+
+@query
+def diagnostic_use_mention(s, d):
+    """The same on use against counter-speech, tokens masked."""
+    rows = C.diagnostic(generate.gen_rows(s)).where(col("category").isin("USE_SLUR", "COUNTER"))
+    return crossval.grid(rows, [(m, "masked", "group") for m in DIAGNOSTIC], BINARY, pairs(rows))
+
+
+@query
+def diagnostic_by_category(s, d):
+    """category, gold, n, n_correct, accuracy of the logistic model, in the categories' fixed order."""
+    rows = C.diagnostic(generate.gen_rows(s))
+    scored = crossval.cross_validate(rows, "logreg", "stripped", "group", classes=BINARY).join(rows.select("id", "category"), "id")
+    return metrics.by_category(scored)
+
+
+@query
+def diagnostic_errors(s, d):
+    """model, direction, n: errors of the logistic model and of cues, construction groups apart."""
+    rows, out = C.diagnostic(generate.gen_rows(s)), None
+    for m in ("logreg", "cues"):
+        one = metrics.error_direction(crossval.cross_validate(rows, m, "stripped", "group", classes=BINARY)).select(lit(m).alias("model"), "direction", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def subtypes(s, d) -> DataFrame:
+    """The positive rows by subtype."""
+    return redacted(s, d).where("label = 'MGY'").withColumn("label", col("bucket"))
+
+
+@query
+def subtype_grid(s, d):
+    """STRONG against CONTEXT by counting models, random folds and sources apart."""
+    settings = [(m, "masked", split) for split in ("random", "group") for m in ("majority", "lexicon", "nb", "nb_cues", "cues")]
+    return r6_all(crossval.grid(subtypes(s, d), settings, ["CONTEXT", "STRONG"], group="source"))
+
+
+@query
+def three_way_grid(s, d):
+    """All three buckets by Naive Bayes with and without cues, sources apart."""
+    rows = redacted(s, d).withColumn("label", col("bucket"))
+    return r6_all(crossval.grid(rows, [("majority", "masked", "group"), ("nb", "masked", "group"), ("nb_cues", "masked", "group")], THREE, group="source"))
+
+
+@query
+def representation_grid(s, d):
+    """Naive Bayes under each representation and split."""
+    settings = [("nb", r, split) for r in ("raw", "masked", "stripped", "mask-distinct") for split in ("random", "group")]
+    return r6_all(crossval.grid(redacted(s, d), settings, BINARY, group="source"))
+
+
+def r6_all(df: DataFrame) -> DataFrame:
+    return r6(df, *[n for n, t in df.dtypes if t == "double"])
+
+
+@query
+def learning_curve_tasks(s, d):
+    """task, frac, n_templates, n_repeats, mean, sd: three tasks on the generated corpus, 25 repeats."""
+    rows = C.diagnostic(generate.gen_rows(s))
+    use = rows.where(col("category").isin("USE_SLUR", "COUNTER"))
+    tasks = [("logreg macro_f1", rows, "logreg", "macro_f1"), ("cues mcc", use, "cues", "mcc"), ("logreg mcc", use, "logreg", "mcc")]
+    out = None
+    for name, of, model, metric in tasks:
+        one = crossval.learning_curve(of, model, metric, BINARY, "masked", CURVE_REPEATS, tuple(FRACTIONS)).select(lit(name).alias("task"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
 def scan_csv_roundtrip(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="verbatix-")
-    path = f"{base.rstrip('/')}/verbatix/csv-{s.sparkContext.applicationId}-{abs(hash(d))}"
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="verbatix-")
+    path = f"{base.rstrip('/')}/verbatix/csv-{uuid.uuid4().hex}"
     rows = corpus(s, d).select(col("id").cast("string").alias("id"), "text", "label", "bucket")
     C.write_csv(rows, path)
     return C.found(C.scan_csv(s, path)).select("id", md5(col("text")).alias("text_md5"), "label", "bucket")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+from collections.abc import Callable
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -42,14 +45,71 @@ def _svg(width: int, height: int, parts: list[str]) -> str:
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}" font-family="sans-serif" font-size="11">' + "".join(parts) + "</svg>"
 
 
-def bar_chart(rows: list[dict], label: str, value: str) -> str:
-    """One bar per row, values from 0 to 1."""
-    w = 60 * max(1, len(rows)) + 20
-    parts = []
+def write_json(rows: list[dict], path: str) -> None:
+    """The rows as a JSON file that appears when it is whole."""
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        f.write(to_json(rows))
+    os.replace(f"{path}.tmp", path)
+
+
+class Log:
+    """A markdown report that grows line by line and may be told aloud."""
+
+    def __init__(self, tell: Callable[[str], None] | None = None):
+        self.lines, self.tell = [], tell
+
+    def say(self, text: str = "") -> None:
+        self.lines.append(text)
+        if self.tell:
+            self.tell(text)
+
+    def text(self) -> str:
+        return "\n".join(self.lines) + "\n"
+
+
+def prompt_results(rows: list[dict]) -> str:
+    """Scores by model and prompt as a section for each model, prompts in order."""
+    log = Log()
+    for model in sorted({r["model"] for r in rows}):
+        log.say(f"## {model}\n")
+        own = sorted((r for r in rows if r["model"] == model), key=lambda r: r["prompt"])
+        log.say(markdown(own, ["prompt", "accuracy", "macro_f1", "mcc", "consistency", "n_pairs"]) + "\n")
+    return log.text()
+
+
+def shortened(label: str, most: int = 12) -> str:
+    """A label without what stands in brackets, cut with an ellipsis."""
+    label = re.sub(r"\s*\([^)]*\)", "", label)
+    return label if len(label) <= most else label[: most - 1] + "…"
+
+
+COLOURS = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377")
+
+
+def bar_chart(rows: list[dict], label: str, value: str | list[str]) -> str:
+    """A group of bars per row, one for each value, from 0 to 1."""
+    values = [value] if isinstance(value, str) else value
+    step, parts = 20 + 20 * max(2, len(values)), []
     for k, r in enumerate(rows):
-        h, x = 160 * max(0.0, min(1.0, r[value] or 0.0)), 20 + 60 * k
-        parts.append(f'<rect x="{x}" y="{180 - h:.1f}" width="40" height="{h:.1f}" fill="#4477aa"/><text x="{x}" y="195">{escape(str(r[label])[:12])}</text>')
-    return _svg(w, 205, parts)
+        for j, v in enumerate(values):
+            h, x = 160 * max(0.0, min(1.0, r[v] or 0.0)), 20 + step * k + 20 * j * (2 if len(values) == 1 else 1)
+            parts.append(f'<rect x="{x}" y="{180 - h:.1f}" width="{40 if len(values) == 1 else 18}" height="{h:.1f}" fill="{COLOURS[j % len(COLOURS)]}"/>')
+        parts.append(f'<text x="{20 + step * k}" y="195">{escape(shortened(str(r[label])))}</text>')
+    if len(values) > 1:
+        parts += [f'<text x="{20 + 110 * j}" y="12" fill="{COLOURS[j % len(COLOURS)]}">{escape(v)}</text>' for j, v in enumerate(values)]
+    return _svg(step * max(1, len(rows)) + 20, 205, parts)
+
+
+def consistency_chart(rows: list[dict]) -> str:
+    """Accuracy beside the consistency of pairs for each model."""
+    return bar_chart(rows, "model", ["accuracy_mean", "consistency"])
+
+
+def gradient_chart(rows: list[dict], scores: list[dict], name: str = "prompted models (least)") -> str:
+    """Consistency of the trained models in ascending order, and the least one of the prompted models' scores."""
+    known = [r["consistency"] for r in scores if r["consistency"] is not None]
+    bars = sorted(({"model": r["model"], "consistency": r["consistency"]} for r in rows if r["consistency"] is not None), key=lambda r: r["consistency"])
+    return bar_chart(bars + ([{"model": name, "consistency": min(known)}] if known else []), "model", "consistency")
 
 
 def heatmap(rows: list[dict], classes: list[str]) -> str:

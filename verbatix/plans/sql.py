@@ -133,7 +133,7 @@ def template(drop: bool) -> str:
 
 add("template_profile", RED, f"SELECT md5(t) AS template, count(*) AS n, arg_min(label, id) AS first_label, string_agg(DISTINCT bucket, ',' ORDER BY bucket) AS buckets FROM (SELECT *, {template(False)} AS t FROM red) GROUP BY t")
 add("distinct_text_by_bucket", CORPUS, "SELECT bucket, count(DISTINCT text) AS n_distinct FROM corpus GROUP BY bucket")
-add("script_share", CORPUS, "SELECT label, count(*) AS n, count(*) FILTER (regexp_matches(text, '[À-ÿ]')) AS n_script FROM corpus GROUP BY label")
+add("script_share", CORPUS, r"SELECT label, count(*) AS n, count(*) FILTER (regexp_matches(text, '[\x{0900}-\x{097F}]')) AS n_script, count(*) FILTER (regexp_matches(text, '[À-ÿ]')) AS n_other FROM corpus GROUP BY label")
 add("bucket_samples", CORPUS, "SELECT bucket, id, CAST(place AS INT) AS place FROM (SELECT bucket, id, row_number() OVER (PARTITION BY bucket ORDER BY id) AS place FROM corpus) WHERE place <= 3")
 # filters and rules
 add("filter_positive", CORPUS, "SELECT bucket, count(*) AS n FROM corpus WHERE label = 'MGY' GROUP BY bucket")
@@ -239,3 +239,5 @@ tested AS (SELECT rep, fracs.frac, id, label FROM parts JOIN red USING (source),
 acc AS (SELECT rep, frac, avg(CASE WHEN label = CASE WHEN hits.id IS NULL THEN 'NOT' ELSE 'MGY' END THEN 1.0 ELSE 0.0 END) AS accuracy FROM tested LEFT JOIN hits USING (rep, frac, id) GROUP BY ALL)"""
 add("learning_curve", LC, "SELECT frac, count(*) AS n_repeats, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS sd FROM acc GROUP BY frac")
 add("learning_curve_gain", LC + ", g AS (SELECT frac, avg(accuracy) - lag(avg(accuracy)) OVER (ORDER BY frac) AS gain FROM acc GROUP BY frac)", "SELECT frac, round(gain, 6) AS gain, coalesce(round(gain, 9) > 0.02, false) AS climbing FROM g")
+
+add("scan_csv_roundtrip", CORPUS, "SELECT CAST(id AS VARCHAR) AS id, md5(text) AS text_md5, label, bucket FROM corpus")
