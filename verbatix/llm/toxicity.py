@@ -42,6 +42,8 @@ from .common import LOWER, arrow_map, id_and_text, pairs, table, to_batch
 TOXIC, ORDINARY = 2000, 6000
 #: Bytes of a window, and from one window's start to the next one's: what has up to WINDOW - STEP bytes is whole in some window.
 WINDOW, STEP = 96, 64
+#: zstandard looks at 2 ** SEARCH places of the dictionary for a match.
+SEARCH = 12
 #: Windows that are compressed at once.
 AT_ONCE = 20_000
 #: Bytes of the dictionary of ordinary text (zstandard's usual size), and how many times as long its training text is at least.
@@ -177,8 +179,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        # the level whose search finds short matches at a window's start best
-        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=WINDOW, dict_size=len(model.toxic), write_content_size=1, write_dict_id=0, min_match=4)
+        # the level whose search finds short matches at a window's start best; deep enough to get past common beginnings to the passages, which are farthest
+        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=WINDOW, dict_size=len(model.toxic), write_content_size=1, write_dict_id=0, min_match=4, search_log=SEARCH)
         self.pack = []
         for content in (model.toxic, model.ordinary):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
