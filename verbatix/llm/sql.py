@@ -13,3 +13,22 @@ found AS (SELECT c.page_id, c.host, c.path, arg_max(r.host || r.path, (length(r.
 listed AS (SELECT host FROM found WHERE ruled IS NOT NULL GROUP BY host HAVING sum(CASE ruled WHEN 'block' THEN 1 ELSE -1 END) > 0)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host <> '' AND host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM found
 """
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """op11: every round's assignment and means, one after the other."""
+    near = """a{n} AS MATERIALIZED (SELECT rid, arg_min(n, (d, n)) AS cluster, min(d) AS d FROM (
+  SELECT rid, n, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{n}) GROUP BY rid)"""
+    mean = """m{n} AS (SELECT cluster, i, sum(v) AS s, count(*) AS k FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM kept JOIN a{n} USING (rid)) GROUP BY cluster, i),
+c{next} AS MATERIALIZED (SELECT n, coalesce(new, c) AS c FROM c{n} LEFT JOIN (SELECT cluster AS n, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS new FROM m{n} GROUP BY cluster) USING (n))"""
+    steps = [near.format(n=0)] + [x for r in range(rounds) for x in (mean.format(n=r, next=r + 1), near.format(n=r + 1))]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: floor(least(greatest(v::DOUBLE * 256, -134217728), 134217728))::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS n, x AS c FROM kept QUALIFY n < {k}),
+{("," + chr(10)).join(steps)}
+SELECT vec_id, a.cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} c ON a.cluster = c.n"""
+
+
+SQL["op11_centroids"] = _clusters()
