@@ -39,7 +39,9 @@ from .common import arrow_map, id_and_text, pairs, staged, table, to_batch
 from .token_files import WordMemory
 
 #: Bytes of text that are aligned at once; one longer document is aligned alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Words of one of the two generations that a worker remembers.
+WORDS = 100_000
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 
 
@@ -51,6 +53,14 @@ class PlainWords(WordMemory):
         self.tokenizer.encode_special_tokens = True
         self.added = []
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts; fewer words are remembered, since the alignment needs room."""
+        if len(self.known) > WORDS:
+            self.before, self.known = self.known, {None: b""}
+        if len(self.bare) > WORDS // 4:
+            self.bare.clear()
+        return super().encode(texts)
+
 
 class Both:
     """Two tokenizers, the bytes of their ids, and how ids are written between commas, bars and semicolons."""
@@ -86,7 +96,8 @@ class Both:
         at_a, at_b = np.bincount(end_a, minlength=total + 1).astype(bool), np.bincount(end_b, minlength=total + 1).astype(bool)
         both = at_a & at_b
         # how many ends lie at or before each byte
-        upto_a, upto_b, upto_both, upto_any = (np.cumsum(x, dtype=np.int64) for x in (at_a, at_b, both, at_a | at_b))
+        kind = np.int32 if total < 1 << 31 else np.int64
+        upto_a, upto_b, upto_both, upto_any = (np.cumsum(x, dtype=kind) for x in (at_a, at_b, both, at_a | at_b))
         border = np.r_[0, np.cumsum([self.size_a[x].sum() for x in a]).astype(np.int64)]
         out = {n: np.diff(x[border]).tolist() for n, x in (("n_a", upto_a), ("n_b", upto_b), ("n_groups", upto_both), ("n_links", upto_any))}
         any_ = np.flatnonzero(at_a | at_b)
@@ -98,8 +109,8 @@ class Both:
         line[np.arange(len(all_a)) + upto_b[cuts[group_a]]] = 2 * all_a + both[end_a]
         line[np.arange(len(all_b)) + upto_a[cuts[group_b + 1]]] = 2 * len(self.bytes_a) + 2 * all_b + both[end_b]
         places = np.r_[0, np.cumsum([len(x) + len(y) for x, y in zip(a, b)])].tolist()
-        line, written = line.tolist(), self.written.__getitem__
-        out["groups_sha256"] = [hashlib.sha256(b"".join(map(written, line[x:y]))[:-1]).hexdigest() if x < y else "" for x, y in zip(places, places[1:])]
+        written = self.written.__getitem__
+        out["groups_sha256"] = [hashlib.sha256(b"".join(map(written, line[x:y].tolist()))[:-1]).hexdigest() if x < y else "" for x, y in zip(places, places[1:])]
         return out, links
 
 
@@ -134,7 +145,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             out, links = tool.align(*tool.encode([t for _, t in held]))
             found, place, n = np.unique(links, return_inverse=True, return_counts=True)
             packed = pack(place.astype("<u4" if len(found) > 65536 else "<u2").tobytes())
-            yield to_batch([(part << 32 | k, [i for i, _ in held], *[out[c] for c in COLUMNS[1:]], found.tolist(), n.tolist(), packed)], schema)
+            yield to_batch([(part << 32 | k, [i for i, _ in held], *[out[c] for c in COLUMNS[1:]], found, n, packed)], schema)
 
     of = {n: "array<string>" if n == "groups_sha256" else "array<long>" for n in COLUMNS}
     return arrow_map(id_and_text(docs), run, "block long, " + ", ".join(f"{n} {t}" for n, t in of.items()) + ", pair array<long>, n array<long>, links binary")
