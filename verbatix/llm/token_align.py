@@ -39,9 +39,9 @@ from .common import arrow_map, id_and_text, pairs, staged, table, to_batch
 from .token_files import WordMemory
 
 #: Bytes of text that are aligned at once; one longer document is aligned alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Words of one of the two generations that a worker remembers.
-WORDS = 100_000
+WORDS = 50_000
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 
 
