@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatix.functions import text as X
-from verbatix.operators import folds, generate, metrics, models, profile, prompts, scoring
+from verbatix.operators import folds, generate, metrics, linear, models, profile, prompts, scoring
 from verbatix.plans import report
 from verbatix.sources import corpus as C
 
@@ -64,7 +64,7 @@ def toy(spark):
 
 def test_models_learn_a_separable_corpus(spark):
     rows, bag = toy(spark), X.word_ngrams(F.col("text"), 1, 1)
-    for pred in (models.best_class(models.nb_cv(rows, bag, ["NEG", "POS"])), *[models.linear_cv(rows, bag, m, ("NEG", "POS"), epochs=20) for m in models.FITS], models.lexicon_cv(rows, "POS", "NEG")):
+    for pred in (models.best_class(models.nb_cv(rows, bag, ["NEG", "POS"])), *[linear.cross_validated(rows, bag, linear.Spec(m, ("NEG", "POS"), epochs=20)) for m in linear.FITS], models.lexicon_cv(rows, "POS", "NEG")):
         assert pred.where("label = pred").count() == 80
 
 

@@ -1,49 +1,94 @@
-"""Cross-validation with a model argument, learning curves, and the summary of both.
+"""Cross-validation with a model argument, grids of settings, learning curves, and the summary of each.
 
 Counting models (majority, lexicon, Naive Bayes with words, characters or cues) are plans that count
-once for all folds. Linear models and models of the user's own are trained fold by fold, each fold in
-one group of pandas rows: give them a bounded sample.
+once for all folds, and Naive Bayes once for all settings of a grid; linear models of all settings and
+folds are trained beside each other (operators/linear.py). A grid's representations and folds are made
+once and written to the shared folder; every model reads its own text column from there.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import folds, metrics, models
+from ..sources.store import written
+from . import folds, linear, metrics, models
 
 #: A model of the user's own: from training texts and labels to a function from a text to a label.
 Factory = Callable[[list[str], list[str]], Callable[[str], str]]
+K = 5
 
 
-def _nb(bag: Callable[[Column], Column], alpha: float = 1.0, min_df: int = 1) -> Callable:
-    return lambda rows, classes: models.best_class(models.nb_cv(rows, bag(F.col("text")), classes, alpha=alpha, min_df=min_df))
+def _with_cues(text: Column) -> Column:
+    return F.concat_ws(" ", text, F.nullif(F.array_join(X.cues(text), " "), F.lit("")))
 
 
-def _linear(kind: str, word: tuple | None = (1, 2), char: tuple | None = (3, 4), **options) -> Callable:
-    # a linear model tells the second class from the others, whatever their number
-    return lambda rows, classes: models.linear_cv(rows, X.features(F.col("text"), word=word, char=char), kind, names=(classes[0], classes[1]), **options).select("id", "fold", "label", "pred")
+#: Naive Bayes models by name: their features and smoothing.
+NB: dict[str, tuple[Callable[[Column], Column], float]] = {
+    "nb": (lambda t: X.features(t, word=(1, 2)), 1.0),
+    "nb_char": (lambda t: X.features(t, char=(2, 4)), 1.0),
+    "nb_cues": (lambda t: X.features(_with_cues(t), word=(1, 2)), 1.0),
+    "cues": (lambda t: X.features(X.cue_text(t), word=(1, 1)), 0.5),
+}
+#: Linear models by name: their options. All take words of 1 and 2 and characters of 3 and 4.
+LINEAR: dict[str, dict] = {
+    "logreg": {"kind": "logreg"},
+    "logreg_60": {"kind": "logreg", "epochs": 60},
+    "svm": {"kind": "svm", "epochs": 60},
+    "svm_wide": {"kind": "svm", "lam": 5e-3, "epochs": 120},
+}
 
 
-def _with_cues(text: Column) -> Column:
-    return F.concat_ws(" ", text, F.nullif(F.array_join(X.cues(text), " "), F.lit("")))
+def lexicon(positive: str | None = None, min_count: int = 2, min_precision: float = 0.9) -> Callable:
+    """The learned lexicon with its options; without a positive class, MGY if it is the first class and else the last."""
+
+    def model(rows: DataFrame, classes: list[str], k: int = K) -> DataFrame:
+        yes = positive or (classes[0] if classes[0] == "MGY" else classes[-1])
+        no = next(c for c in classes if c != yes)
+        return models.lexicon_cv(rows, yes, no, min_count, min_precision).select("id", "fold", "label", "pred")
+
+    return model
+
+
+def _both(text: Column) -> Column:
+    return X.features(text, word=(1, 2), char=(3, 4))
+
+
+def _nb(name: str) -> Callable:
+    bag, alpha = NB[name]
+    return lambda rows, classes, k=K: models.best_class(models.nb_cv(rows, bag(F.col("text")), classes, alpha=alpha))
 
 
-#: Models by name: from rows (id, text, label, fold) and the sorted classes to id, fold, label, pred.
-MODELS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
-    "majority": lambda rows, classes: models.majority_cv(rows).select("id", "fold", "label", "pred"),
-    "lexicon": lambda rows, classes: models.lexicon_cv(rows, *(classes if classes[0] == "MGY" else classes[::-1])[:2]).select("id", "fold", "label", "pred"),
-    "nb": _nb(lambda t: X.features(t, word=(1, 2))),
-    "nb_char": _nb(lambda t: X.features(t, char=(2, 4))),
-    "nb_cues": _nb(lambda t: X.features(_with_cues(t), word=(1, 2))),
-    "cues": _nb(lambda t: X.features(X.cue_text(t), word=(1, 1)), alpha=0.5),
-    "logreg": _linear("logreg"),
-    "svm": _linear("svm"),
-    "svm_wide": _linear("svm", lam=5e-3, epochs=120),
+def _linear(name: str) -> Callable:
+    # a linear model tells the second class from the others, whatever their number
+    return lambda rows, classes, k=K: linear.cross_validated(rows, _both(F.col("text")), linear.Spec(names=(classes[0], classes[1]), **LINEAR[name]), k).select("id", "fold", "label", "pred")
+
+
+def one_vs_rest(rows: DataFrame, classes: list[str], k: int = K, **options) -> DataFrame:
+    """id, fold, label, pred by a logistic model per class, all trained beside each other; the highest score counts, of equal ones the first class."""
+    bag, roles = _both(F.col("text")), linear.fold_roles(F.col("fold"), k)
+    one = F.explode(F.array(*[F.lit(c) for c in classes])).alias("setting")
+    examples = rows.select("id", "label", bag.alias("bag"), roles.alias("roles"), one)
+    scores = linear.train(examples, {c: linear.Spec(names=("", c), **options) for c in classes}, k)
+    best = F.min(F.struct(-F.col("score"), F.col("setting").alias("pred"))).alias("b")
+    return scores.groupBy("id", F.col("model").alias("fold"), "label").agg(best).select("id", "fold", "label", "b.pred")
+
+
+#: Models by name: from rows (id, text, label, fold), the sorted classes and the number of folds to id, fold, label, pred.
+MODELS: dict[str, Callable[..., DataFrame]] = {
+    "majority": lambda rows, classes, k=K: models.majority_cv(rows).select("id", "fold", "label", "pred"),
+    "lexicon": lexicon(),
+    "lexicon_context": lexicon("CONTEXT", min_precision=0.8),
+    "logreg_ovr": one_vs_rest,
+    **{name: _nb(name) for name in NB},
+    **{name: _linear(name) for name in LINEAR},
 }
 
 
@@ -55,26 +100,42 @@ def sorted_classes(rows: DataFrame, label: str = "label", most: int = 1000) -> l
     return found
 
 
-def of_factory(factory: Factory) -> Callable[[DataFrame, list[str]], DataFrame]:
-    """A model of the user's own as one of MODELS; folds whose training part lacks a class are left out."""
+def of_factory(factory: Factory, most: int = 20_000) -> Callable[..., DataFrame]:
+    """A model of the user's own as one of MODELS.
+
+    Each fold's model is made in a task of its own, from the training rows among the `most` rows that come
+    first in hash order; then every row is scored where it is. Folds whose training rows lack a class are
+    left out.
+    """
+
+    def model(rows: DataFrame, classes: list[str], k: int = K) -> DataFrame:
+        sample = rows.select("id", "text", "label", "fold").orderBy(folds.hashed("sample", "id"), "id").limit(most)
+        ks = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("of")
+        every = sample.select("id", "text", "label", "fold", ks).where("fold <> of")
 
-    def model(rows: DataFrame, classes: list[str]) -> DataFrame:
-        every = rows.select("id", "text", "label", F.col("fold").alias("own")).crossJoin(F.broadcast(rows.select("fold").distinct()))
+        def fit(table: pa.Table) -> pa.Table:
+            pdf = table.to_pandas().sort_values("id", ignore_index=True)
+            made = [] if set(classes) - set(pdf.label) else [cloudpickle.dumps(factory(pdf.text.tolist(), pdf.label.tolist()))]
+            return pa.table({"of": pa.array(pdf.of.tolist()[:1] * len(made), pa.int32()), "made": pa.array(made, pa.binary())})
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("id", ignore_index=True)
-            train, test = pdf[pdf.own != pdf.fold], pdf[pdf.own == pdf.fold]
-            if set(classes) - set(train.label):
-                test = test[:0]
-            predict = factory(train.text.tolist(), train.label.tolist()) if len(test) else str
-            return test.assign(pred=[predict(t) for t in test.text])[["id", "fold", "label", "pred"]]
+        known = {r.of: bytes(r.made) for r in every.groupBy("of").applyInArrow(fit, "of int, made binary").collect()}
 
-        return every.groupBy("fold").applyInPandas(run, f"id {dict(rows.dtypes)['id']}, fold int, label string, pred string")
+        def run(batches):
+            ready = {of: pickle.loads(made) for of, made in known.items()}
+            for b in batches:
+                b = b[b.fold.isin(list(ready))].reset_index(drop=True)
+                yield pd.DataFrame({"id": b.id, "fold": b.fold, "label": b.label, "pred": pd.Series([ready[f](t) for f, t in zip(b.fold, b.text)], dtype=object)})
+
+        return rows.select("id", "text", "label", "fold").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, fold int, label string, pred string")
 
     return model
 
 
-def cross_validate(rows: DataFrame, model: str | Callable | None = None, representation: str = "raw", split: str = "random", k: int = 5, seed: int = 12345, group: str = "template", classes: list[str] | None = None, factory: Factory | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, split: str, k: int, seed: int, group: str) -> DataFrame:
+    return folds.stratified(rows, k, seed) if split == "random" else folds.grouped(rows, k, seed, group)
+
+
+def cross_validate(rows: DataFrame, model: str | Callable | None = None, representation: str = "raw", split: str = "random", k: int = K, seed: int = 12345, group: str = "template", classes: list[str] | None = None, factory: Factory | None = None) -> DataFrame:
     """id, fold, label, pred of a model over k folds, random within labels or of whole groups.
 
     model: a name of MODELS or a function like those; factory: a model of the user's own instead. Without
@@ -83,53 +144,115 @@ def cross_validate(rows: DataFrame, model: str | Callable | None = None, represe
     """
     fit = of_factory(factory) if factory else MODELS[model] if isinstance(model, str) else model
     shown = rows.withColumn("text", X.represent(F.col("text"), representation))
-    dealt = folds.stratified(shown, k, seed) if split == "random" else folds.grouped(shown, k, seed, group)
-    return fit(dealt, classes or sorted_classes(rows))
+    return fit(_dealt(shown, split, k, seed, group), classes or sorted_classes(rows), k)
 
 
-def summary(scored: DataFrame, classes: list[str], pairs: DataFrame | None = None) -> DataFrame:
-    """One row: n_folds, the mean and deviation of accuracy, macro_f1 and mcc over folds, pooled ones, and the consistency of pairs (id, pair)."""
-    names = ("accuracy", "macro_f1", "mcc")
-    per = metrics.fold_summary(metrics.all_metrics(metrics.confusion(scored, classes, ("fold",)), ("fold",)), names)
-    pooled = metrics.all_metrics(metrics.confusion(scored, classes)).select(*[F.col(n).alias(f"pooled_{n}") for n in names])
-    out = per.crossJoin(F.broadcast(pooled))
-    return out if pairs is None else out.crossJoin(F.broadcast(metrics.pair_consistency(scored.join(pairs, "id")).select("n_pairs", "consistency")))
+SUMMARY = ("accuracy", "macro_f1", "mcc")
 
 
-def grid(rows: DataFrame, settings: list[tuple[str, str, str]], classes: list[str], pairs: DataFrame | None = None, **options) -> DataFrame:
-    """model, representation, split and the summary of each setting."""
-    out = None
-    for model, representation, split in settings:
-        one = summary(cross_validate(rows, model, representation, split, classes=classes, **options), classes, pairs)
-        one = one.select(F.lit(model).alias("model"), F.lit(representation).alias("representation"), F.lit(split).alias("split"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+def _summaries(scored: DataFrame, classes: list[str], by: tuple[str, ...], pairs: DataFrame | None) -> DataFrame:
+    per = metrics.fold_summary(metrics.all_metrics(metrics.confusion(scored, classes, (*by, "fold")), (*by, "fold")), SUMMARY, by)
+    pooled = metrics.all_metrics(metrics.confusion(scored, classes, by), by).select(*by, *[F.col(n).alias(f"pooled_{n}") for n in SUMMARY])
+    out = models._of(per, pooled, by)
+    if pairs is None:
+        return out
+    return models._of(out, metrics.pair_consistency(scored.join(pairs, "id"), by).select(*by, "n_pairs", "consistency"), by, "left")
 
 
-def learning_curve(rows: DataFrame, model: str, metric: str, classes: list[str], representation: str = "raw", repeats: int = 25, fractions: tuple[float, ...] = (0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0), group: str = "template") -> DataFrame:
-    """frac, n_templates, n_repeats, mean, sd of a metric over repeats; a repeat whose training part lacks a class has none.
+def summary(scored: DataFrame, classes: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """One row: n_folds, the mean and deviation of accuracy, macro_f1 and mcc over folds, pooled ones, and the consistency of pairs (id, pair)."""
+    return _summaries(scored, classes, (), pairs)
+
+
+def grid_scores(rows: DataFrame, settings: list[tuple[str, str, str]], classes: list[str], k: int = K, seed: int = 12345, group: str = "template") -> DataFrame:
+    """model, representation, split, id, fold, label, pred of every setting, from one scan of rows."""
+    kinds, splits = sorted({r for _, r, _ in settings}), sorted({s for _, _, s in settings})
+    base = rows.select("id", "label", group, *[X.represent(F.col("text"), r).alias(f"text {r}") for r in kinds]).drop("fold")
+    for s in splits:
+        base = _dealt(base, s, k, seed, group).withColumnRenamed("fold", f"fold {s}")
+    base = written(base)
+    of = lambda r, s: [F.col(f"text {r}").alias("text"), F.col(f"fold {s}").alias("fold")]
+    name = lambda m, r, s: f"{m}|{r}|{s}"
+    found = []
+    counted = [x for x in settings if x[0] in NB]
+    if counted:
+        each = F.explode(F.array(*[F.struct(F.lit(name(*x)).alias("setting"), NB[x[0]][0](F.col(f"text {x[1]}")).alias("bag"), F.col(f"fold {x[2]}").alias("fold")) for x in counted])).alias("e")
+        alpha = F.create_map(*[F.lit(v) for x in counted for v in (name(*x), NB[x[0]][1])])[F.col("setting")]
+        scores = models.nb_cv(base.select("id", "label", each).select("id", "label", "e.*"), F.col("bag"), classes, alpha=alpha, by=("setting",))
+        found.append(models.best_class(scores, ("setting", "id", "fold", "label")))
+    trained = [x for x in settings if x[0] in LINEAR]
+    if trained:
+        each = F.explode(F.array(*[F.struct(F.lit(name(*x)).alias("setting"), _both(F.col(f"text {x[1]}")).alias("bag"), linear.fold_roles(F.col(f"fold {x[2]}"), k).alias("roles")) for x in trained])).alias("e")
+        specs = {name(*x): linear.Spec(names=(classes[0], classes[1]), **LINEAR[x[0]]) for x in trained}
+        found.append(linear.train(base.select("id", "label", each).select("id", "label", "e.*"), specs, k).select("setting", "id", F.col("model").alias("fold"), "label", "pred"))
+    for m, r, s in settings:
+        if m not in NB and m not in LINEAR:
+            found.append(MODELS[m](base.select("id", "label", *of(r, s)), classes, k).select(F.lit(name(m, r, s)).alias("setting"), "id", "fold", "label", "pred"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    part = lambda n: F.split_part("setting", F.lit("|"), F.lit(n))
+    return out.select(part(1).alias("model"), part(2).alias("representation"), part(3).alias("split"), "id", "fold", "label", "pred")
+
 
-    Each repeat holds 30 % of the groups out and trains on growing beginnings of the others. Repeats
-    and fractions are folds of one cross-validation: training rows stand in no fold, test rows in one.
+def grid(rows: DataFrame, settings: list[tuple[str, str, str]], classes: list[str], pairs: DataFrame | None = None, **options) -> DataFrame:
+    """model, representation, split and the summary of each setting; settings without any scored fold have no row."""
+    return _summaries(written(grid_scores(rows, settings, classes, **options)), classes, ("model", "representation", "split"), pairs)
+
+
+FRACTIONS = (0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0)
+
+
+def _curve_linear(rows: DataFrame, spec: linear.Spec, places: DataFrame, fractions: tuple[float, ...], group: str) -> DataFrame:
+    """rep, at, label, pred: the parts of one repeat are models of one setting, so its rows are there once for all fractions."""
+    trains = [F.col("r") - F.col("n_test") < folds.curve_size(F.lit(f)) for f in fractions]
+    roles = F.array(*[F.when(F.col("r") < F.col("n_test"), linear.TEST).when(t, linear.TRAIN).otherwise(linear.NONE) for t in trains])
+    reps = [r.rep for r in places.select("rep").distinct().collect()]
+    examples = rows.select("id", "label", group, _both(F.col("text")).alias("bag")).join(places, group).select(F.col("rep").cast("string").alias("setting"), "id", "label", "bag", roles.alias("roles"))
+    return linear.train(examples, {str(r): spec for r in reps}, len(fractions)).select(F.col("setting").cast("int").alias("rep"), F.col("model").alias("at"), "label", "pred")
+
+
+def _curve_nb(rows: DataFrame, bag: Column, alpha: float, classes: list[str], places: DataFrame, fractions: tuple[float, ...], group: str) -> DataFrame:
+    """rep, at, label, pred by Naive Bayes: counts are made once per feature and group; a part's counts are sums over a beginning of the repeat's list."""
+    fs, k = range(len(fractions)), range(len(classes))
+    within = [(F.col("r") >= F.col("n_test")) & (F.col("r") - F.col("n_test") < folds.curve_size(F.lit(f))) for f in fractions]
+    if_ = lambda i, c: F.coalesce(F.sum(F.when(within[i], F.col(f"k{c}"))), F.lit(0)).alias(f"s{i}_{c}")
+    x = models.exploded(rows, bag, "label", group)
+    at = lambda n: [F.sum(F.when(F.col("label") == c, F.col(n)).otherwise(0)).alias(f"k{j}") for j, c in enumerate(classes)]
+    counts = x.groupBy("feat", group).agg(*at("tf")).join(places, group).groupBy("rep", "feat").agg(*[if_(i, c) for i in fs for c in k])
+    known = [F.count_if(sum(F.col(f"s{i}_{c}") for c in k) > 0).alias(f"v{i}") for i in fs]
+    whole = counts.groupBy("rep").agg(*known, *[F.sum(f"s{i}_{c}").alias(f"t{i}_{c}") for i in fs for c in k])
+    docs = rows.withColumn("one", F.lit(1)).groupBy(group).agg(*at("one")).join(places, group).groupBy("rep").agg(*[if_(i, c).alias(f"n{i}_{c}") for i in fs for c in k])
+    test = places.where("r < n_test").select("rep", group)
+    ln = lambda i, c: F.sum(F.col("tf") * F.ln(F.coalesce(f"s{i}_{c}", F.lit(0)) + F.lit(alpha))).alias(f"p{i}_{c}")
+    sums = x.select("id", "feat", "tf", group).join(test, group).join(counts, ["rep", "feat"], "left").groupBy("rep", "id").agg(F.sum("tf").alias("m"), *[ln(i, c) for i in fs for c in k])
+    every = rows.select("id", "label", group).join(test, group).join(F.broadcast(docs), "rep").join(F.broadcast(whole), "rep", "left").join(sums, ["rep", "id"], "left")
+    n = lambda i: sum(F.col(f"n{i}_{c}") for c in k)
+    total = lambda i, c: F.ln(F.coalesce(f"t{i}_{c}", F.lit(0)) + alpha * F.coalesce(f"v{i}", F.lit(0)))
+    score = lambda i, c: F.ln(F.col(f"n{i}_{c}") / n(i)) + F.coalesce(f"p{i}_{c}", F.lit(0.0)) - F.coalesce("m", F.lit(0)) * total(i, c)
+    best = lambda i: F.array_min(F.array(*[F.struct((-F.round(score(i, c), 9)).alias("s"), F.lit(name).alias("pred")) for c, name in enumerate(classes)]))["pred"]
+    all_ = lambda i: F.least(*[F.col(f"n{i}_{c}") for c in k]) > 0
+    made = F.filter(F.array(*[F.struct(F.lit(i).alias("at"), F.when(all_(i), best(i)).alias("pred")) for i in fs]), lambda e: e["pred"].isNotNull())
+    return every.select("rep", "label", F.explode(made).alias("e")).select("rep", "e.at", "label", "e.pred")
+
+
+def learning_curve(rows: DataFrame, model: str, metric: str | Callable[[DataFrame, tuple[str, ...]], DataFrame], classes: list[str], representation: str = "raw", repeats: int = 25, fractions: tuple[float, ...] = FRACTIONS, group: str = "template") -> DataFrame:
+    """frac, n_templates, n_repeats, mean, sd of a metric over repeats; a repeat whose training part lacks a class has none and is not counted.
+
+    Each repeat holds 30 % of the groups out and trains on growing beginnings of the others. metric: a
+    column of all_metrics, or a function from a confusion matrix and its keys to the keys and `value`.
     """
-    shown = rows.withColumn("text", X.represent(F.col("text"), representation)).select("id", "text", "label", group)
-    parts = folds.curve_groups(rows.select(group), repeats, list(fractions), group=group)
-    test = parts.where("part = 'test'").select("rep", group).crossJoin(F.broadcast(parts.where("part = 'train'").select("frac").distinct()))
-    both = parts.where("part = 'train'").select("rep", "frac", group, F.lit(False).alias("test")).unionByName(test.select("rep", "frac", group, F.lit(True).alias("test")))
-    each = shown.join(F.broadcast(both), group)
-    bag = {"logreg": X.features(F.col("text"), word=(1, 2), char=(3, 4)), "cues": X.features(X.cue_text(F.col("text")), word=(1, 1))}[model]
-    each = each.withColumn("bag", bag)
-    names = (classes[0], classes[1])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        train, tested = pdf[~pdf.test], pdf[pdf.test]
-        if set(classes) - set(train.label):
-            tested = tested[:0]
-        pred = models.fit_and_predict(model, train, tested, names) if len(tested) else []
-        return tested.assign(pred=pred)[["rep", "frac", "label", "pred"]]
-
-    scored = each.groupBy("rep", "frac").applyInPandas(run, "rep int, frac double, label string, pred string")
-    of = metrics.all_metrics(metrics.confusion(scored, classes, ("rep", "frac")), ("rep", "frac"))
-    size = parts.where("part = 'train'").groupBy("rep", "frac").agg(F.count("*").alias("n")).groupBy("frac").agg(F.max("n").alias("n_templates"))
-    return of.groupBy("frac").agg(F.count("*").alias("n_repeats"), F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("sd")).join(F.broadcast(size), "frac").select("frac", "n_templates", "n_repeats", "mean", "sd")
+    shown = rows.select("id", "label", group, X.represent(F.col("text"), representation).alias("text"))
+    places = folds.curve_places(rows.select(group), repeats, group)
+    if model in NB:
+        bag, alpha = NB[model]
+        scored = _curve_nb(shown, bag(F.col("text")), alpha, classes, places, fractions, group)
+    else:
+        scored = _curve_linear(shown, linear.Spec(names=(classes[0], classes[1]), **LINEAR[model]), written(places), fractions, group)
+    by = ("rep", "at")
+    matrix = metrics.confusion(scored, classes, by)
+    of = metric(matrix, by) if callable(metric) else metrics.all_metrics(matrix, by).withColumn("value", F.col(metric))
+    fracs = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(fractions)), "at int, frac double"))
+    size = places.select("t", "n_test").limit(1).crossJoin(fracs).select("at", "frac", F.least(folds.curve_size(F.col("frac")), F.col("t") - F.col("n_test")).alias("n_templates"))
+    told = of.groupBy("at").agg(F.count("value").alias("n_repeats"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return F.broadcast(size).join(told, "at", "left").select("frac", "n_templates", F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"), "mean", "sd")

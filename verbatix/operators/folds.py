@@ -49,15 +49,23 @@ def split_counts(rows: DataFrame, label: str = "label") -> DataFrame:
     return every.select("fold", label, part.alias("p")).select("fold", "p.split", label, "p.n")
 
 
-def curve_groups(rows: DataFrame, repeats: int, fractions: list[float], group: str = "source", held_out: float = 0.3) -> DataFrame:
-    """rep, frac, group, part: for each repeat a shuffled list of groups, its beginning held out, and of the rest growing beginnings to train on."""
-    spark = rows.sparkSession
-    groups = rows.select(group).distinct().crossJoin(F.broadcast(spark.range(repeats).select(F.col("id").cast("int").alias("rep"))))
+def curve_places(rows: DataFrame, repeats: int, group: str = "source", held_out: float = 0.3) -> DataFrame:
+    """rep, group, r, t, n_test: for each repeat a shuffled list of the groups; r is a group's place, the first n_test of t are held out."""
+    groups = rows.select(group).distinct().crossJoin(F.broadcast(rows.sparkSession.range(repeats).select(F.col("id").cast("int").alias("rep"))))
     place = ranked(groups.withColumn("_k", F.concat_ws(":", F.col("rep").cast("string"), group)), 1000, ("rep",), key="_k", name="r").drop("_k")
     size = place.groupBy("rep").agg(F.count("*").alias("t")).withColumn("n_test", F.greatest(F.lit(1), F.round(F.col("t") * F.lit(held_out)).cast("bigint")))
-    place = place.join(F.broadcast(size), "rep")
+    return place.join(F.broadcast(size), "rep")
+
+
+def curve_size(frac: Column) -> Column:
+    """How many groups a fraction of the training groups is: two at least."""
+    return F.greatest(F.lit(2), F.round(frac * (F.col("t") - F.col("n_test"))).cast("bigint"))
+
+
+def curve_groups(rows: DataFrame, repeats: int, fractions: list[float], group: str = "source", held_out: float = 0.3) -> DataFrame:
+    """rep, frac, group, part: for each repeat a shuffled list of groups, its beginning held out, and of the rest growing beginnings to train on."""
+    place = curve_places(rows, repeats, group, held_out)
     test = place.where("r < n_test").select("rep", F.lit(None).cast("double").alias("frac"), group, F.lit("test").alias("part"))
-    fracs = spark.createDataFrame([(f,) for f in fractions], "frac double")
-    m = F.greatest(F.lit(2), F.round(F.col("frac") * (F.col("t") - F.col("n_test"))).cast("bigint"))
-    train = place.where("r >= n_test").crossJoin(F.broadcast(fracs)).where(F.col("r") - F.col("n_test") < m).select("rep", "frac", group, F.lit("train").alias("part"))
+    fracs = rows.sparkSession.createDataFrame([(f,) for f in fractions], "frac double")
+    train = place.where("r >= n_test").crossJoin(F.broadcast(fracs)).where(F.col("r") - F.col("n_test") < curve_size(F.col("frac"))).select("rep", "frac", group, F.lit("train").alias("part"))
     return test.unionByName(train)

@@ -60,10 +60,10 @@ def mcc(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return all_metrics(matrix, by).select(*by, "mcc")
 
 
-def fold_summary(per_fold: DataFrame, names: tuple[str, ...] = ("accuracy", "macro_f1", "mcc")) -> DataFrame:
-    """Mean and population deviation of each metric over folds, and how many folds there are."""
+def fold_summary(per_fold: DataFrame, names: tuple[str, ...] = ("accuracy", "macro_f1", "mcc"), by: tuple[str, ...] = ()) -> DataFrame:
+    """by, mean and population deviation of each metric over folds, and how many folds there are."""
     both = [x for m in names for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))]
-    return per_fold.agg(F.count("*").alias("n_folds"), *both)
+    return per_fold.groupBy(*by).agg(F.count("*").alias("n_folds"), *both)
 
 
 def pair_consistency(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,16 +2,13 @@
 
 Counts are made once per fold; a fold's training counts are the whole less the fold's own, so k-fold
 lexicons and Naive Bayes models take one pass over the features. Every row keeps a score, whether it
-has features or not. Linear models are trained row after row, one fold in one group of pandas rows.
+has features or not. Linear models are trained in operators/linear.py.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,42 +82,48 @@ def nb_train(rows: DataFrame, bag: Column, classes: list[str], alpha: float = 1.
     return rows_.select("c.label", "feat", "c.cnt", F.ln((F.col("c.cnt") + alpha) / (F.col("c.t") + alpha * F.col("v"))).alias("loglik"), F.ln(F.col("c.d") / F.col("n")).alias("log_prior"))
 
 
-def nb_cv(rows: DataFrame, bag: Column, classes: list[str], alpha: float = 1.0, min_df: int = 1) -> DataFrame:
-    """id, fold, label, class, score: each row under the model of the other folds.
+def _of(a: DataFrame, b: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """a with b's few rows of the same key; without a key, with its one row."""
+    return a.join(F.broadcast(b), list(by), how) if by else a.crossJoin(F.broadcast(b))
+
+
+def nb_cv(rows: DataFrame, bag: Column, classes: list[str], alpha: float | Column = 1.0, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, id, fold, label, class, score: each row under the model of the other folds.
 
     log prior (not smoothed) plus tf * ln((count + alpha) / (total + alpha * V)) over all of its
     features, those that the model doesn't know with count 0. Folds whose training part lacks a class
-    are left out.
+    are left out. by: settings that are counted beside each other in one pass, a row of each for every
+    row; alpha may be a column of them.
     """
-    k = range(len(classes))
-    x = exploded(rows, bag, "fold", "label")
-    own = x.groupBy("feat", "fold").agg(F.count("*").alias("df"), *[F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"k{i}") for i, c in enumerate(classes)])
-    w = Window.partitionBy("feat")
+    k, alpha = range(len(classes)), alpha if isinstance(alpha, Column) else F.lit(alpha)
+    x = exploded(rows, bag, "fold", "label", *by)
+    own = x.groupBy(*by, "feat", "fold").agg(F.count("*").alias("df"), *[F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"k{i}") for i, c in enumerate(classes)])
+    w = Window.partitionBy(*by, "feat")
     for c in ("df", *[f"k{i}" for i in k]):
         own = own.withColumn(f"all_{c}", F.sum(c).over(w))
     inn, out = (F.col("all_df") - F.col("df") >= min_df).cast("int"), (F.col("all_df") >= min_df).cast("int")
-    own = own.select("feat", "fold", inn.alias("inn"), out.alias("out"), *[(F.col(f"all_k{i}") - F.col(f"k{i}")).alias(f"r{i}") for i in k], *[F.col(f"all_k{i}").alias(f"a{i}") for i in k])
+    own = own.select(*by, "feat", "fold", inn.alias("inn"), out.alias("out"), *[(F.col(f"all_k{i}") - F.col(f"k{i}")).alias(f"r{i}") for i in k], *[F.col(f"all_k{i}").alias(f"a{i}") for i in k])
     # each feature once: its first fold carries what holds for all
-    first = F.row_number().over(Window.partitionBy("feat").orderBy("fold")) == 1
-    whole = own.withColumn("first", first).where("first and out = 1").agg(F.count("*").alias("v"), *[F.coalesce(F.sum(f"a{i}"), F.lit(0)).alias(f"t{i}") for i in k])
-    change = own.groupBy("fold").agg(F.sum(F.col("inn") - F.col("out")).alias("dv"), *[F.sum(F.col("inn") * F.col(f"r{i}") - F.col("out") * F.col(f"a{i}")).alias(f"dt{i}") for i in k])
-    docs = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum((F.col("label") == c).cast("int")).alias(f"d{i}") for i, c in enumerate(classes)])
-    total = docs.agg(F.sum("n").alias("n_all"), *[F.sum(f"d{i}").alias(f"d_all{i}") for i in k])
+    first = F.row_number().over(w.orderBy("fold")) == 1
+    whole = own.withColumn("first", first).where("first and out = 1").groupBy(*by).agg(F.count("*").alias("v"), *[F.coalesce(F.sum(f"a{i}"), F.lit(0)).alias(f"t{i}") for i in k])
+    change = own.groupBy(*by, "fold").agg(F.sum(F.col("inn") - F.col("out")).alias("dv"), *[F.sum(F.col("inn") * F.col(f"r{i}") - F.col("out") * F.col(f"a{i}")).alias(f"dt{i}") for i in k])
+    docs = rows.groupBy(*by, "fold").agg(F.count("*").alias("n"), *[F.sum((F.col("label") == c).cast("int")).alias(f"d{i}") for i, c in enumerate(classes)])
+    total = docs.groupBy(*by).agg(F.sum("n").alias("n_all"), *[F.sum(f"d{i}").alias(f"d_all{i}") for i in k])
     zero = lambda c: F.coalesce(c, F.lit(0))
-    folds = docs.crossJoin(total).join(change, "fold", "left").crossJoin(whole)
-    folds = folds.select("fold", (F.col("n_all") - F.col("n")).alias("n_train"), (F.col("v") + zero("dv")).alias("v"), *[(F.col(f"d_all{i}") - F.col(f"d{i}")).alias(f"n{i}") for i in k], *[(F.col(f"t{i}") + zero(f"dt{i}")).alias(f"t{i}") for i in k])
+    folds = _of(_of(docs, total, by).join(change, [*by, "fold"], "left"), whole, by, "left")
+    folds = folds.select(*by, "fold", (F.col("n_all") - F.col("n")).alias("n_train"), (zero("v") + zero("dv")).alias("v"), *[(F.col(f"d_all{i}") - F.col(f"d{i}")).alias(f"n{i}") for i in k], *[(zero(f"t{i}") + zero(f"dt{i}")).alias(f"t{i}") for i in k])
     folds = folds.where(" and ".join(f"n{i} > 0" for i in k))
-    ln = lambda i: F.sum(F.col("tf") * F.ln(F.col("inn") * F.col(f"r{i}") + F.lit(alpha))).alias(f"s{i}")
-    sums = x.join(own.select("feat", "fold", "inn", *[f"r{i}" for i in k]), ["feat", "fold"]).groupBy("id").agg(F.sum("tf").alias("m"), *[ln(i) for i in k])
-    scored = rows.select("id", "fold", "label").join(F.broadcast(folds), "fold").join(sums, "id", "left")
+    ln = lambda i: F.sum(F.col("tf") * F.ln(F.col("inn") * F.col(f"r{i}") + alpha)).alias(f"s{i}")
+    sums = x.join(own.select(*by, "feat", "fold", "inn", *[f"r{i}" for i in k]), [*by, "feat", "fold"]).groupBy(*by, "id").agg(F.sum("tf").alias("m"), *[ln(i) for i in k])
+    scored = rows.select(*by, "id", "fold", "label").join(F.broadcast(folds), [*by, "fold"]).join(sums, [*by, "id"], "left")
     each = [F.struct(F.lit(c).alias("class"), (F.ln(F.col(f"n{i}") / F.col("n_train")) + F.coalesce(f"s{i}", F.lit(0.0)) - zero("m") * F.ln(F.col(f"t{i}") + alpha * F.col("v"))).alias("score")) for i, c in enumerate(classes)]
-    return scored.select("id", "fold", "label", F.explode(F.array(*each)).alias("c")).select("id", "fold", "label", "c.class", "c.score")
+    return scored.select(*by, "id", "fold", "label", F.explode(F.array(*each)).alias("c")).select(*by, "id", "fold", "label", "c.class", "c.score")
 
 
-def best_class(scores: DataFrame) -> DataFrame:
-    """id, fold, label, pred: the class with the highest score (to 9 places), the first by name of equal ones."""
+def best_class(scores: DataFrame, by: tuple[str, ...] = ("id", "fold", "label")) -> DataFrame:
+    """by, pred: the class with the highest score (to 9 places), the first by name of equal ones."""
     best = F.min(F.struct(-F.round("score", 9), F.col("class").alias("pred"))).alias("b")
-    return scores.groupBy("id", "fold", "label").agg(best).select("id", "fold", "label", "b.pred")
+    return scores.groupBy(*by).agg(best).select(*by, "b.pred")
 
 
 def linear_score(rows: DataFrame, bag: Column, weights: list[tuple[str, float]], bias: float, names: tuple[str, str]) -> DataFrame:
@@ -129,121 +132,3 @@ def linear_score(rows: DataFrame, bag: Column, weights: list[tuple[str, float]],
     sums = exploded(rows, bag).join(F.broadcast(w), "feat").groupBy("id").agg(F.sum(F.col("tf") * F.col("weight")).alias("s"))
     score = F.coalesce("s", F.lit(0.0)) + bias
     return rows.select("id").join(sums, "id", "left").select("id", score.alias("score"), F.when(score >= 0, names[1]).otherwise(names[0]).alias("pred"))
-
-
-def fit_logreg(x: np.ndarray, y: np.ndarray, rate: float = 0.5, epochs: int = 80, l2: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias by stochastic gradients, rows in a new order each epoch; only a row's own features decay."""
-    w, b, order = np.zeros(x.shape[1]), 0.0, np.random.default_rng(seed)
-    held = [np.flatnonzero(r) for r in x]
-    for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            at = held[i]
-            g = 1 / (1 + np.exp(-np.clip(x[i, at] @ w[at] + b, -500, 500))) - y[i]
-            w[at] -= rate * (g * x[i, at] + l2 * w[at])
-            b -= rate * g
-    return w, b
-
-
-def fit_svm(x: np.ndarray, y: np.ndarray, lam: float = 1e-4, epochs: int = 60, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias by Pegasos; the decay of all weights is kept as one factor."""
-    w, b, t, scale, order = np.zeros(x.shape[1]), 0.0, 0, 1.0, np.random.default_rng(seed)
-    sign, held = 2 * y - 1, [np.flatnonzero(r) for r in x]
-    for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            t += 1
-            eta, at = 1 / (lam * t), held[i]
-            margin = sign[i] * (scale * (x[i, at] @ w[at]) + b)
-            scale *= 1 - eta * lam
-            if scale < 1e-9:
-                w *= scale
-                scale = 1.0
-            if scale == 0:
-                w[:], scale = 0, 1.0
-            if margin < 1:
-                w[at] += eta * sign[i] * x[i, at] / scale
-                b += eta * sign[i]
-    return w * scale, b
-
-
-FITS: dict[str, Callable] = {"logreg": fit_logreg, "svm": fit_svm}
-
-
-def _matrix(train: list[dict], others: list[dict], min_df: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """tf-idf rows of unit length by the training bags' features."""
-    df: dict[str, int] = {}
-    for b in train:
-        for f in b:
-            df[f] = df.get(f, 0) + 1
-    kept = {f: k for k, f in enumerate(sorted(f for f, n in df.items() if n >= min_df))}
-    weight = np.array([np.log((1 + len(train)) / (1 + df[f])) + 1 for f in kept])
-    out = []
-    for bags in (train, others):
-        x = np.zeros((len(bags), len(kept)))
-        for i, b in enumerate(bags):
-            for f, n in b.items():
-                if f in kept:
-                    x[i, kept[f]] = n * weight[kept[f]]
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        out.append(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0))
-    return out[0], out[1]
-
-
-def fit_and_predict(model: str, train: pd.DataFrame, test: pd.DataFrame, names: tuple[str, str], **options) -> list[str]:
-    """Predictions for test by a model of train (columns bag, label): logreg, svm, or cues (Naive Bayes, alpha 0.5)."""
-    a, b = ([dict(Counter(x)) for x in part.bag] for part in (train, test))
-    if model == "cues":
-        count = {c: Counter() for c in names}
-        for bag, y in zip(a, train.label):
-            count[y].update(bag)
-        v, total, n = len(set().union(*a)), {c: sum(count[c].values()) for c in names}, train.label.value_counts()
-        score = lambda bag, c: round(np.log(n[c] / len(a)) + sum(k * np.log((count[c][f] + 0.5) / (total[c] + 0.5 * v)) for f, k in bag.items()), 9)
-        return [max(names, key=lambda c: score(bag, c)) for bag in b]
-    x, z = _matrix(a, b)
-    w, bias = FITS[model](x, (train.label == names[1]).to_numpy(float), **options)
-    return np.where(z @ w + bias >= 0, names[1], names[0]).tolist()
-
-
-def linear_cv(rows: DataFrame, bag: Column, model: str, names: tuple[str, str] = ("MGY", "NOT"), min_df: int = 1, most: int = 20_000, **options) -> DataFrame:
-    """id, fold, label, pred, score of a linear model trained on the other folds; folds with one training class are left out.
-
-    A row after row training is one task's work: a fold of more than most rows raises ValueError, and a
-    bounded sample is to be given instead.
-    """
-    long = exploded(rows, bag, "fold", "label").groupBy("id", "fold", "label").agg(F.collect_list(F.struct("feat", "tf")).alias("bag"))
-    every = rows.select("id", "fold", "label").join(long.select("id", "bag"), "id", "left")
-    fanned = every.select("id", "label", "bag", F.col("fold").alias("own")).crossJoin(F.broadcast(rows.select("fold").distinct()))
-    fit = FITS[model]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} rows for one task: give a sample of at most {most}")
-        pdf = pdf.sort_values("id", ignore_index=True)
-        train, test = pdf[pdf.own != pdf.fold], pdf[pdf.own == pdf.fold]
-        if train.label.nunique() < 2 or not len(test):
-            return pd.DataFrame({"id": [], "fold": [], "label": [], "pred": [], "score": []})
-        bags = [{r["feat"]: r["tf"] for r in (b if b is not None else [])} for b in pdf.bag]
-        x, z = _matrix([bags[i] for i in train.index], [bags[i] for i in test.index], min_df)
-        w, b = fit(x, (train.label == names[1]).to_numpy(float), **options)
-        score = z @ w + b
-        return pd.DataFrame({"id": test.id, "fold": test.fold, "label": test.label, "pred": np.where(score >= 0, names[1], names[0]), "score": score})
-
-    kind = dict(rows.dtypes)["id"]
-    return fanned.groupBy("fold").applyInPandas(run, f"id {kind}, fold int, label string, pred string, score double")
-
-
-def top_features(rows: DataFrame, bag: Column, n: int = 10, names: tuple[str, str] = ("MGY", "NOT"), **options) -> DataFrame:
-    """side, rank, feat, weight: the n highest and lowest weights of a logistic model of all rows."""
-    x = tfidf(rows, bag).join(rows.select("id", "label"), "id").withColumn("one", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, feats = np.unique(pdf.id, return_inverse=True), np.unique(pdf.feat, return_inverse=True)
-        m = np.zeros((len(ids[0]), len(feats[0])))
-        m[ids[1], feats[1]] = pdf.w
-        y = np.zeros(len(ids[0]))
-        y[ids[1]] = pdf.label == names[1]
-        w, _ = fit_logreg(m, y, **options)
-        order = np.lexsort((feats[0], -w))
-        rows_ = [("top", k + 1, feats[0][i], w[i]) for k, i in enumerate(order[:n])] + [("bottom", k + 1, feats[0][i], w[i]) for k, i in enumerate(order[::-1][:n])]
-        return pd.DataFrame(rows_, columns=["side", "rank", "feat", "weight"])
-
-    return x.groupBy("one").applyInPandas(run, "side string, rank int, feat string, weight double")

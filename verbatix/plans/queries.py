@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import crossval, folds, generate, metrics, models, profile, prompts, scoring
+from ..operators import crossval, folds, generate, linear, metrics, models, profile, prompts, scoring
 from ..sources import corpus as C
+from ..sources.store import scratch
 
 SEED, K = C.SEED, 5
 BINARY, THREE = ["MGY", "NOT"], ["CONTEXT", "NOT", "STRONG"]
@@ -72,10 +71,28 @@ def nb_fold_metrics(s, d) -> DataFrame:
     return metrics.all_metrics(metrics.confusion(models.best_class(nb_scores_(s, d)), BINARY, ("fold",)), ("fold",))
 
 
-def gen(s) -> DataFrame:
-    """The generated corpus with its folds over construction groups."""
-    rows = C.diagnostic(generate.gen_rows(s))
-    return folds.grouped(rows, K, SEED, "template")
+def templated(rows: DataFrame) -> DataFrame:
+    """rows with the text template as the group of disjoint folds."""
+    return rows.withColumn("template", md5(X.template_id(col("text"))))
+
+
+def diagnostic(s, d) -> DataFrame:
+    """The labelled documents as a diagnostic corpus.
+
+    MGY rows with a redaction token use it, those without are implicit; NOT rows with one counter it,
+    those without overlap if they are paired and else are neutral. Frames are the sources.
+    """
+    rows = redacted(s, d).join(C.paired(corpus(s, d).select("id", "label", "source")).select("id", "pair"), "id", "left")
+    token, paired = F.regexp_extract("text", X.TOKEN, 0), F.coalesce("pair", lit(""))
+    positive = col("label") == "MGY"
+    category = F.when(positive & (token != ""), "USE_SLUR").when(positive, "IMPLICIT").when(token != "", "COUNTER").when(paired != "", "BENIGN_OVERLAP").otherwise("BENIGN_NEUTRAL")
+    subject = F.lower(F.regexp_extract("text", "(?i)" + X.whole_word(X.RULE_SUBJECTS), 0))
+    return rows.select("id", "text", "label", category.alias("category"), F.concat(category, lit(":"), "source").alias("frame_id"), paired.alias("pair_id"), subject.alias("subject"), token.alias("token"))
+
+
+def gen(s, d) -> DataFrame:
+    """The diagnostic view with its folds over construction groups."""
+    return folds.grouped(C.diagnostic(diagnostic(s, d)), K, SEED, "template")
 
 
 # scans and profiles
@@ -162,13 +179,13 @@ def presence_rule(s, d):
 
 @query
 def constant_rule_on_token_rows(s, d):
-    rows = generate.gen_rows(s).where("token <> ''").withColumn("pred", lit("MGY"))
+    rows = diagnostic(s, d).where("token <> ''").withColumn("pred", lit("MGY"))
     return rows.agg(F.count("*").alias("n"), F.avg((col("label") == col("pred")).cast("int")).alias("accuracy"))
 
 
 @query
 def subject_rule(s, d):
-    rows = generate.gen_rows(s).where(col("text").rlike("(?i)" + X.whole_word(X.RULE_SUBJECTS)))
+    rows = diagnostic(s, d).where(col("text").rlike("(?i)" + X.whole_word(X.RULE_SUBJECTS)))
     return rows.agg(F.count("*").alias("n"), F.avg((col("label") == "MGY").cast("int")).alias("accuracy"))
 
 
@@ -226,12 +243,12 @@ def template_id(s, d):
 
 @query
 def construction_group(s, d):
-    return generate.gen_rows(s).groupBy("category", X.construction_group(col("category"), col("frame_id")).alias("template")).agg(F.count("*").alias("n"))
+    return diagnostic(s, d).groupBy("category", X.construction_group(col("category"), col("frame_id")).alias("template")).agg(F.count("*").alias("n"))
 
 
 @query
 def cue_features(s, d):
-    return generate.gen_rows(s).select("id", X.cue_text(col("text")).alias("cues"))
+    return diagnostic(s, d).select("id", X.cue_text(col("text")).alias("cues"))
 
 
 def answers(s, d) -> DataFrame:
@@ -325,12 +342,12 @@ def nb_predict(s, d):
 @query
 def nb_cues_predict(s, d):
     text = F.concat_ws(" ", X.represent(col("text"), "masked"), F.nullif(F.array_join(X.cues(col("text")), " "), lit("")))
-    return models.best_class(models.nb_cv(gen(s), X.features(text, word=(1, 2)), BINARY))
+    return models.best_class(models.nb_cv(gen(s, d), X.features(text, word=(1, 2)), BINARY))
 
 
 @query
 def cues_only_predict(s, d):
-    return models.best_class(models.nb_cv(gen(s), X.features(X.cue_text(col("text")), word=(1, 1)), BINARY, alpha=0.5))
+    return models.best_class(models.nb_cv(gen(s, d), X.features(X.cue_text(col("text")), word=(1, 1)), BINARY, alpha=0.5))
 
 
 @query
@@ -492,21 +509,35 @@ def learning_curve_gain(s, d):
     return r6(out.withColumn("climbing", F.coalesce(F.round("gain", 9) > 0.02, lit(False))), "gain")
 
 
-# without SQL
+# linear models, grids and curves
 @query
 def logreg_cv(s, d):
-    return models.linear_cv(gen(s), X.features(X.represent(col("text"), "stripped"), word=(1, 2), char=(3, 4)), "logreg", epochs=80)
+    return linear.cross_validated(gen(s, d), X.features(X.represent(col("text"), "stripped"), word=(1, 2), char=(3, 4)), linear.Spec())
 
 
 @query
 def svm_cv(s, d):
-    rows = gen(s).where(col("category").isin("USE_SLUR", "COUNTER"))
-    return models.linear_cv(rows, X.features(X.represent(col("text"), "masked"), word=(1, 2)), "svm", lam=5e-3, epochs=120)
+    return linear.cross_validated(gen(s, d), X.features(X.represent(col("text"), "masked"), word=(1, 2)), linear.Spec("svm", lam=5e-3, epochs=120))
+
+
+def subtypes(s, d) -> DataFrame:
+    """The positive rows by subtype."""
+    return templated(redacted(s, d).where("label = 'MGY'").withColumn("label", col("bucket")))
+
+
+def three_way(s, d) -> DataFrame:
+    return templated(redacted(s, d).withColumn("label", col("bucket")))
 
 
 @query
 def top_features(s, d):
-    return models.top_features(gen(s), X.features(X.represent(col("text"), "masked"), word=(1, 2)), 10, epochs=120)
+    """The heaviest features of the subtypes' logistic model, tokens masked."""
+    rows = subtypes(s, d)
+    bag = X.features(X.represent(col("text"), "masked"), word=(1, 2))
+    examples = rows.select(lit("all").alias("setting"), "id", "label", bag.alias("bag"), F.array(lit(linear.TRAIN)).alias("roles"))
+    weights = linear.train(examples, {"all": linear.Spec(names=("CONTEXT", "STRONG"), epochs=150, l2=1e-3)}, 1, weights=True)
+    names = rows.select(F.explode(bag).alias("name")).distinct().select(F.xxhash64("name").alias("feat"), "name")
+    return linear.top(weights, names, 12)
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -518,87 +549,108 @@ DIAGNOSTIC = ["lexicon", "nb", "svm_wide", "logreg", "cues"]
 
 @query
 def diagnostic_binary(s, d):
-    """Five models on the generated corpus without its tokens, construction groups apart."""
-    rows = C.diagnostic(generate.gen_rows(s))
-    return crossval.grid(rows, [(m, "stripped", "group") for m in DIAGNOSTIC], BINARY, pairs(rows))
+    """Five models on the diagnostic view without its tokens, construction groups apart."""
+    rows = C.diagnostic(diagnostic(s, d))
+    return r6_all(crossval.grid(rows, [(m, "stripped", "group") for m in DIAGNOSTIC], BINARY, pairs(rows)))
 
 
 @query
 def diagnostic_use_mention(s, d):
     """The same on use against counter-speech, tokens masked."""
-    rows = C.diagnostic(generate.gen_rows(s)).where(col("category").isin("USE_SLUR", "COUNTER"))
-    return crossval.grid(rows, [(m, "masked", "group") for m in DIAGNOSTIC], BINARY, pairs(rows))
+    rows = C.diagnostic(diagnostic(s, d)).where(col("category").isin("USE_SLUR", "COUNTER"))
+    return r6_all(crossval.grid(rows, [(m, "masked", "group") for m in DIAGNOSTIC], BINARY, pairs(rows)))
 
 
 @query
 def diagnostic_by_category(s, d):
     """category, gold, n, n_correct, accuracy of the logistic model, in the categories' fixed order."""
-    rows = C.diagnostic(generate.gen_rows(s))
+    rows = C.diagnostic(diagnostic(s, d))
     scored = crossval.cross_validate(rows, "logreg", "stripped", "group", classes=BINARY).join(rows.select("id", "category"), "id")
     return metrics.by_category(scored)
 
 
 @query
 def diagnostic_errors(s, d):
-    """model, direction, n: errors of the logistic model and of cues, construction groups apart."""
-    rows, out = C.diagnostic(generate.gen_rows(s)), None
-    for m in ("logreg", "cues"):
-        one = metrics.error_direction(crossval.cross_validate(rows, m, "stripped", "group", classes=BINARY)).select(lit(m).alias("model"), "direction", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """model, direction, n: errors of the logistic model and of cues on the subtypes, templates apart."""
+    scored = crossval.grid_scores(subtypes(s, d), [("logreg", "masked", "group"), ("cues", "masked", "group")], SUBTYPES)
+    return metrics.error_rows(scored).groupBy("model", F.concat_ws("->", "label", "pred").alias("direction")).agg(F.count("*").alias("n"))
 
 
-def subtypes(s, d) -> DataFrame:
-    """The positive rows by subtype."""
-    return redacted(s, d).where("label = 'MGY'").withColumn("label", col("bucket"))
+SUBTYPES = ["CONTEXT", "STRONG"]
+
+
+@query
+def representation_grid(s, d):
+    """Whether a token's identity tells the subtype: the logistic model under each representation, random folds."""
+    return r6_all(crossval.grid(subtypes(s, d), [("logreg", r, "random") for r in X.REPRESENTATIONS], SUBTYPES))
+
+
+@query
+def protocol_grid(s, d):
+    """Random folds against whole templates: four models without tokens."""
+    settings = [(m, "stripped", split) for split in ("random", "group") for m in ("lexicon", "nb", "nb_char", "logreg_60")]
+    return r6_all(crossval.grid(templated(redacted(s, d)), settings, BINARY))
 
 
 @query
 def subtype_grid(s, d):
-    """STRONG against CONTEXT by counting models, random folds and sources apart."""
-    settings = [(m, "masked", split) for split in ("random", "group") for m in ("majority", "lexicon", "nb", "nb_cues", "cues")]
-    return r6_all(crossval.grid(subtypes(s, d), settings, ["CONTEXT", "STRONG"], group="source"))
+    """STRONG against CONTEXT by six models, random folds and templates apart."""
+    settings = [(m, "masked", split) for split in ("random", "group") for m in ("majority", "lexicon_context", "nb", "logreg", "nb_cues", "cues")]
+    return r6_all(crossval.grid(subtypes(s, d), settings, SUBTYPES))
 
 
 @query
 def three_way_grid(s, d):
-    """All three buckets by Naive Bayes with and without cues, sources apart."""
-    rows = redacted(s, d).withColumn("label", col("bucket"))
-    return r6_all(crossval.grid(rows, [("majority", "masked", "group"), ("nb", "masked", "group"), ("nb_cues", "masked", "group")], THREE, group="source"))
+    """All three buckets, templates apart: the logistic model telling the second class from the others, and one per class."""
+    settings = [(m, "stripped", "group") for m in ("nb", "logreg", "logreg_ovr", "nb_cues")]
+    return r6_all(crossval.grid(three_way(s, d), settings, THREE))
 
 
 @query
-def representation_grid(s, d):
-    """Naive Bayes under each representation and split."""
-    settings = [("nb", r, split) for r in ("raw", "masked", "stripped", "mask-distinct") for split in ("random", "group")]
-    return r6_all(crossval.grid(redacted(s, d), settings, BINARY, group="source"))
+def counting_grid(s, d):
+    """The counting models of protocol_grid, which SQL can express."""
+    settings = [(m, "stripped", split) for split in ("random", "group") for m in ("lexicon", "nb", "nb_char")]
+    return r6_all(crossval.grid(templated(redacted(s, d)), settings, BINARY))
+
+
+@query
+def counting_subtype_grid(s, d):
+    """The counting models of subtype_grid, which SQL can express."""
+    settings = [(m, "masked", split) for split in ("random", "group") for m in ("lexicon_context", "nb", "nb_cues", "cues")]
+    return r6_all(crossval.grid(subtypes(s, d), settings, SUBTYPES))
 
 
 def r6_all(df: DataFrame) -> DataFrame:
     return r6(df, *[n for n, t in df.dtypes if t == "double"])
 
 
+def cues_curve(s, d) -> DataFrame:
+    return crossval.learning_curve(subtypes(s, d), "cues", "mcc", SUBTYPES, "masked", CURVE_REPEATS, tuple(FRACTIONS))
+
+
+@query
+def learning_curve_cues(s, d):
+    """frac, n_templates, n_repeats, mean, sd of the cues' correlation on the subtypes."""
+    return r6_all(cues_curve(s, d))
+
+
 @query
 def learning_curve_tasks(s, d):
-    """task, frac, n_templates, n_repeats, mean, sd: three tasks on the generated corpus, 25 repeats."""
-    rows = C.diagnostic(generate.gen_rows(s))
-    use = rows.where(col("category").isin("USE_SLUR", "COUNTER"))
-    tasks = [("logreg macro_f1", rows, "logreg", "macro_f1"), ("cues mcc", use, "cues", "mcc"), ("logreg mcc", use, "logreg", "mcc")]
+    """task, frac, n_templates, n_repeats, mean, sd: three tasks, 25 repeats over templates."""
+    rows = templated(redacted(s, d))
+    first = crossval.learning_curve(rows, "logreg_60", "macro_f1", BINARY, "stripped", CURVE_REPEATS, tuple(FRACTIONS))
+    third = crossval.learning_curve(subtypes(s, d), "logreg", "mcc", SUBTYPES, "masked", CURVE_REPEATS, tuple(FRACTIONS))
+    tasks = [("logreg macro_f1", first), ("cues mcc", cues_curve(s, d)), ("logreg mcc", third)]
     out = None
-    for name, of, model, metric in tasks:
-        one = crossval.learning_curve(of, model, metric, BINARY, "masked", CURVE_REPEATS, tuple(FRACTIONS)).select(lit(name).alias("task"), "*")
+    for name, curve_ in tasks:
+        one = curve_.select(lit(name).alias("task"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query
 def scan_csv_roundtrip(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="verbatix-")
-    path = f"{base.rstrip('/')}/verbatix/csv-{uuid.uuid4().hex}"
+    path = f"{scratch(s)}/csv"
     rows = corpus(s, d).select(col("id").cast("string").alias("id"), "text", "label", "bucket")
     C.write_csv(rows, path)
     return C.found(C.scan_csv(s, path)).select("id", md5(col("text")).alias("text_md5"), "label", "bucket")

@@ -75,6 +75,10 @@ gen AS (SELECT printf('D%04d', CASE WHEN half < 2 THEN 2 * number - 1 + half ELS
 built AS (SELECT *, CASE WHEN category IN ('USE_SLUR', 'COUNTER') THEN 'UC:' WHEN category IN ('IMPLICIT', 'BENIGN_OVERLAP') THEN 'IB:' ELSE 'BN:' END || split_part(frame_id, ':', 2) AS template FROM gen)"""
 
 
+GENERATED = GEN
+_CAT = "CASE WHEN label = 'MGY' AND token <> '' THEN 'USE_SLUR' WHEN label = 'MGY' THEN 'IMPLICIT' WHEN token <> '' THEN 'COUNTER' WHEN pair_id <> '' THEN 'BENIGN_OVERLAP' ELSE 'BENIGN_NEUTRAL' END"
+
+
 def folded(rows: str, group: str) -> str:
     return f"""groups AS (SELECT g, (row_number() OVER (ORDER BY md5('12345:' || g), g) - 1) % 5 AS fold FROM (SELECT DISTINCT {group} AS g FROM {rows})),
 folded AS (SELECT r.*, CAST(fold AS INT) AS fold FROM {rows} r JOIN groups ON g = {group})"""
@@ -87,9 +91,16 @@ FLIP = PAIRS + """, preds AS (SELECT id, CASE WHEN substr(md5('pred:' || id), 1,
 flipped AS (SELECT c.id, c.label, c.bucket, c.source, preds.pred, pairs.pair FROM corpus c JOIN preds USING (id) LEFT JOIN pairs USING (id))"""
 
 
-def nb(rows: str, bag: str, alpha: float, min_df: int) -> str:
+#: The diagnostic view of the labelled documents.
+GEN = RED + ", " + PAIRS + rf""", marked AS (SELECT red.*, regexp_extract(text, '{TOKEN}') AS token, coalesce(pairs.pair, '') AS pair_id FROM red LEFT JOIN pairs USING (id)),
+gen AS (SELECT id, text, label, {_CAT} AS category, {_CAT} || ':' || source AS frame_id, pair_id, token FROM marked),
+built AS (SELECT *, CASE WHEN category IN ('USE_SLUR', 'COUNTER') THEN 'UC:' WHEN category IN ('IMPLICIT', 'BENIGN_OVERLAP') THEN 'IB:' ELSE 'BN:' END || split_part(frame_id, ':', 2) AS template FROM gen)"""
+
+
+def nb(rows: str, bag: str, alpha: float, min_df: int, bags: str | None = None) -> str:
     """Naive Bayes with a training per fold, spelled out: every fold joined with the rows outside it."""
-    return f"""bags AS (SELECT id, fold, label, unnest({bag}) AS feat FROM (SELECT *, {tokens('text')} AS ws FROM ({rows}))),
+    bags = bags or f"bags AS (SELECT id, fold, label, unnest({bag}) AS feat FROM (SELECT *, {tokens('text')} AS ws FROM ({rows})))"
+    return f"""{bags},
 tf AS (SELECT id, fold, label, feat, count(*) AS tf FROM bags GROUP BY ALL),
 ks AS (SELECT DISTINCT fold AS f FROM ({rows})), cls AS (SELECT unnest(['MGY', 'NOT']) AS class),
 prior AS (SELECT f, class, count(*) FILTER (label = class) AS n, count(*) AS total FROM ks, cls, ({rows}) WHERE fold <> f GROUP BY ALL),
@@ -224,13 +235,13 @@ joined AS (SELECT gold.*, upper(arg_max(doc.pred, pos)) AS pred FROM gold JOIN d
 add("scan_predictions", DOC, "SELECT 'm1' AS model, 'p1' AS prompt, 0 AS pos, id, pred FROM doc")
 add("score_predictions", DOC + ", " + metric("joined") + ", pc AS (" + _PAIR.format(rows="joined") + ")", "SELECT round(accuracy, 6) AS accuracy, round((f1 + f0) / 2, 6) AS macro_f1, round(mcc, 6) AS mcc, consistency, n_pairs FROM m, pc")
 add("missing_predictions", DOC, "SELECT id FROM gold WHERE id NOT IN (SELECT id FROM doc)")
-add("static_prediction_join", GEN, f"SELECT id, frame_id, label, pred, conf FROM gen JOIN {values(static_predictions(), 'frame_id, pred, conf')} USING (frame_id)")
+add("static_prediction_join", GENERATED, f"SELECT id, frame_id, label, pred, conf FROM gen JOIN {values(static_predictions(), 'frame_id, pred, conf')} USING (frame_id)")
 add("score_upsert", CORPUS + """, store AS (SELECT 'm' || (id % 7) AS model, 'p' || (id % 3) AS prompt, count(*) AS value FROM corpus GROUP BY ALL),
 news AS (SELECT 'm' || (id % 9) AS model, 'p1' AS prompt, -count(*) AS value FROM corpus WHERE label = 'MGY' GROUP BY ALL)""", "SELECT * FROM news UNION ALL SELECT store.* FROM store LEFT JOIN news USING (model, prompt) WHERE news.value IS NULL")
 add("render_prompts", CORPUS, f"SELECT prompt_id, id, md5(system || '|' || prefix || text || suffix) AS md5 FROM corpus, {values(PROMPTS, 'prompt_id, system, prefix, suffix')}")
 # generator
-add("gen_rows", GEN, "SELECT * FROM gen")
-add("gen_summary", GEN, "SELECT category, label, count(*) AS n, count(DISTINCT nullif(pair_id, '')) AS n_pairs, count(DISTINCT frame_id) AS n_frames, count(*) FILTER (token <> '') AS n_token_rows FROM gen GROUP BY ALL")
+add("gen_rows", GENERATED, "SELECT * FROM gen")
+add("gen_summary", GENERATED, "SELECT category, label, count(*) AS n, count(DISTINCT nullif(pair_id, '')) AS n_pairs, count(DISTINCT frame_id) AS n_frames, count(*) FILTER (token <> '') AS n_token_rows FROM gen GROUP BY ALL")
 # learning curve
 LC = RED + ", " + CURVE + f""", seen AS (SELECT id, source, label, unnest(list_distinct({tokens('text')})) AS token FROM red),
 lex AS (SELECT rep, frac, token FROM parts JOIN seen USING (source) WHERE part = 'train' GROUP BY ALL HAVING count(*) >= 2 AND count(*) FILTER (label = 'MGY') >= 0.9 * count(*)),
@@ -240,4 +251,67 @@ acc AS (SELECT rep, frac, avg(CASE WHEN label = CASE WHEN hits.id IS NULL THEN '
 add("learning_curve", LC, "SELECT frac, count(*) AS n_repeats, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS sd FROM acc GROUP BY frac")
 add("learning_curve_gain", LC + ", g AS (SELECT frac, avg(accuracy) - lag(avg(accuracy)) OVER (ORDER BY frac) AS gain FROM acc GROUP BY frac)", "SELECT frac, round(gain, 6) AS gain, coalesce(round(gain, 9) > 0.02, false) AS climbing FROM g")
 
+
+# grids of counting models: every setting spelled out, every metric from its rows
+def _classes(sql: str, classes: tuple[str, str]) -> str:
+    return sql.replace("'MGY'", q(classes[0])).replace("'NOT'", q(classes[1]))
+
+
+STRIPPED = rf"regexp_replace(text, '{TOKEN}\s*', ' ', 'g')"
+CHARS = f"""letters AS (SELECT id, fold, label, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT *, string_split(replace(' ' || {norm('text')} || ' ', ' ', '_'), '') AS cs FROM r)),
+ahead AS (SELECT id, fold, label, c, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3 FROM letters WINDOW w AS (PARTITION BY id ORDER BY i)),
+bags AS (SELECT id, fold, label, 'c2:' || c || c1 AS feat FROM ahead WHERE c1 IS NOT NULL UNION ALL SELECT id, fold, label, 'c3:' || c || c1 || c2 FROM ahead WHERE c2 IS NOT NULL UNION ALL SELECT id, fold, label, 'c4:' || c || c1 || c2 || c3 FROM ahead WHERE c3 IS NOT NULL)"""
+
+
+def _lexicon(positive: str, negative: str, precision: float) -> str:
+    return f"""seen AS (SELECT id, fold, label, unnest(list_distinct({tokens('text')})) AS token FROM r), ks AS (SELECT DISTINCT fold AS f FROM r),
+lex AS (SELECT f, token FROM ks JOIN seen ON fold <> f GROUP BY f, token HAVING count(*) >= 2 AND count(*) FILTER (label = '{positive}') >= {precision} * count(*)),
+best AS (SELECT id, fold, label, CASE WHEN id IN (SELECT id FROM seen JOIN lex ON f = fold AND lex.token = seen.token) THEN '{positive}' ELSE '{negative}' END AS pred FROM r)"""
+
+
+def _model(name: str, classes: tuple[str, str]) -> str:
+    cued = f"SELECT id, fold, label, text || coalesce(' ' || nullif({cue_text('cw')}, 'NONE'), '') AS text FROM (SELECT *, {tokens('text')} AS cw FROM r)"
+    cues = f"SELECT id, fold, label, {cue_text('cw')} AS text FROM (SELECT *, {tokens('text')} AS cw FROM r)"
+    if name.startswith("lexicon"):
+        return _lexicon("CONTEXT", "STRONG", 0.8) if name == "lexicon_context" else _lexicon("MGY", "NOT", 0.9)
+    sql = {"nb": lambda: nb("SELECT * FROM r", grams("ws", 1, 2), 1.0, 1), "nb_char": lambda: nb("SELECT * FROM r", "", 1.0, 1, CHARS), "nb_cues": lambda: nb(cued, grams("ws", 1, 2), 1.0, 1), "cues": lambda: nb(cues, grams("ws", 1, 1), 0.5, 1)}[name]()
+    return _classes(sql, classes)
+
+
+def grid(rows: str, names: list[str], representation: str, shown: str, classes: tuple[str, str]) -> str:
+    """The summaries of models under both splits; rows: id, label, template, text, to be shown so."""
+    each = []
+    for split, dealt in (("random", STRAT.format(rows="base") + ", r AS (SELECT id, fold, label, text FROM strat)"), ("group", folded("base", "template") + ", r AS (SELECT id, fold, label, text FROM folded)")):
+        for n in names:
+            each.append(f"SELECT '{n}' AS model, '{representation}' AS representation, '{split}' AS split, * FROM (WITH base AS (SELECT id, label, template, {shown} AS text FROM {rows}), {dealt}, {_model(n, classes)} SELECT id, fold, label, pred FROM best)")
+    key = "model, representation, split"
+    of = lambda by: "(WITH " + _classes(metric("scored", by), classes) + " SELECT * FROM m)"
+    cells = ", ".join(f"round(avg({x}), 6) AS {n}_mean, round(stddev_pop({x}), 6) AS {n}_std" for n, x in (("accuracy", "accuracy"), ("macro_f1", "(f1 + f0) / 2"), ("mcc", "mcc")))
+    return f"""scored AS MATERIALIZED ({" UNION ALL ".join(each)}),
+per AS (SELECT {key}, count(*) AS n_folds, {cells} FROM {of(key + ", fold")} GROUP BY ALL),
+pooled AS (SELECT {key}, round(accuracy, 6) AS pooled_accuracy, round((f1 + f0) / 2, 6) AS pooled_macro_f1, round(mcc, 6) AS pooled_mcc FROM {of(key)})"""
+
+
+TEMPLATED = RED + f", templated AS (SELECT id, label, bucket, text, md5({template(True)}) AS template FROM red)"
+SUBTYPES = TEMPLATED + ", subtypes AS (SELECT id, bucket AS label, text, template FROM templated WHERE label = 'MGY')"
+add("counting_grid", TEMPLATED + ", " + grid("templated", ["lexicon", "nb", "nb_char"], "stripped", STRIPPED, ("MGY", "NOT")), "SELECT * FROM per JOIN pooled USING (model, representation, split)")
+add("counting_subtype_grid", SUBTYPES + ", " + grid("subtypes", ["lexicon_context", "nb", "nb_cues", "cues"], "masked", masked(), ("CONTEXT", "STRONG")), "SELECT * FROM per JOIN pooled USING (model, representation, split)")
+# the cues' curve: one training for every repeat and fraction
+add("learning_curve_cues", SUBTYPES + f""", places AS (SELECT rep, template, row_number() OVER (PARTITION BY rep ORDER BY md5('1000:' || rep || ':' || template), template) - 1 AS r, count(*) OVER (PARTITION BY rep) AS t FROM (SELECT DISTINCT template FROM subtypes), range({CURVE_REPEATS}) x(rep)),
+cut AS (SELECT *, greatest(1, CAST(round(t * CAST(0.3 AS DOUBLE)) AS BIGINT)) AS n_test FROM places),
+fracs AS (SELECT CAST(unnest([{', '.join(map(str, FRACTIONS))}]) AS DOUBLE) AS frac),
+sized AS (SELECT *, greatest(2, CAST(round(frac * (t - n_test)) AS BIGINT)) AS m FROM cut, fracs),
+bags AS (SELECT id, label, template, unnest({grams('ws', 1, 1)}) AS feat FROM (SELECT *, {tokens('cue')} AS ws FROM (SELECT *, {cue_text('cw')} AS cue FROM (SELECT *, {tokens(masked())} AS cw FROM subtypes)))),
+cls AS (SELECT unnest(['CONTEXT', 'STRONG']) AS class),
+train AS (SELECT rep, frac, id, label FROM sized JOIN subtypes USING (template) WHERE r >= n_test AND r - n_test < m),
+prior AS (SELECT rep, frac, class, count(*) FILTER (label = class) AS n, count(*) AS total FROM train, cls GROUP BY ALL),
+good AS (SELECT rep, frac FROM prior GROUP BY ALL HAVING min(n) > 0),
+counts AS (SELECT rep, frac, feat, class, count(*) FILTER (train.label = class) AS c FROM train JOIN bags USING (id), cls GROUP BY ALL),
+size AS (SELECT rep, frac, class, sum(c) AS t, count(*) AS v FROM counts GROUP BY ALL),
+tested AS (SELECT DISTINCT rep, frac, id, label FROM sized JOIN subtypes USING (template) JOIN good USING (rep, frac) WHERE r < n_test),
+parts AS (SELECT rep, frac, tested.id, size.class, sum(ln((coalesce(c, 0) + 0.5) / (t + 0.5 * v))) AS s FROM tested JOIN bags USING (id) JOIN size USING (rep, frac) LEFT JOIN counts USING (rep, frac, feat, class) GROUP BY ALL),
+scores AS (SELECT rep, frac, tested.id, tested.label, prior.class, ln(n / total) + coalesce(s, 0) AS score FROM tested JOIN prior USING (rep, frac) LEFT JOIN parts USING (rep, frac, id, class)),
+best AS (SELECT rep, frac, label, class AS pred FROM (SELECT *, row_number() OVER (PARTITION BY rep, frac, id ORDER BY round(score, 9) DESC, class) AS k FROM scores) WHERE k = 1),
+""" + _classes(metric("best", "rep, frac"), ("CONTEXT", "STRONG")), "SELECT frac, min(least(s.m, t - n_test)) AS n_templates, count(DISTINCT m.rep) AS n_repeats, round(avg(mcc), 6) AS mean, round(stddev_pop(mcc), 6) AS sd FROM sized s LEFT JOIN m USING (frac) GROUP BY frac")
+
 add("scan_csv_roundtrip", CORPUS, "SELECT CAST(id AS VARCHAR) AS id, md5(text) AS text_md5, label, bucket FROM corpus")
