@@ -152,7 +152,9 @@ def test_stream_upsert(spark, tmp_path):
     upsert_stream(stream(), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(60)
     spark.createDataFrame([("m", "p", 2.0), ("m", "q", 3.0)], "model string, prompt string, value double").write.mode("append").parquet(src)
     upsert_stream(stream(), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted((r.prompt, r.value) for r in spark.read.parquet(str(tmp_path / "store/v1")).collect()) == [("p", 2.0), ("q", 3.0)]
+    from verbatix.sources.store import Store
+
+    assert sorted((r.prompt, r.value) for r in Store(spark, str(tmp_path / "store"), ("model", "prompt")).read().collect()) == [("p", 2.0), ("q", 3.0)]
 
 
 def test_entry(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import Store, written
 
 # Fixed values.
 FEWSHOT = [
@@ -87,8 +89,12 @@ def http_client(base: str, key: str, model: str, max_tokens: int = 200, timeout:
     return client
 
 
-def call_model(rendered: DataFrame, client: Callable[[str, str], str], tries: int = 3, skip: bool = False) -> DataFrame:
-    """prompt_id, id, raw: client(system, user) for every row, tried up to `tries` times; then its error ends the task, or with skip the row has a null."""
+def call_model(rendered: DataFrame, client: Callable[[str, str], str], tries: int = 3, skip: bool = False, pause: float = 0.0, per_second: float | None = None) -> DataFrame:
+    """prompt_id, id, raw: client(system, user) for every row, tried up to `tries` times; then its error ends the task, or with skip the row has a null.
+
+    pause: seconds before the second try, twice as many before each further one; per_second: calls that a
+    task makes at most.
+    """
 
     def asked(system: str, user: str) -> str | None:
         for k in range(tries):
@@ -97,15 +103,52 @@ def call_model(rendered: DataFrame, client: Callable[[str, str], str], tries: in
             except Exception:  # whatever a client raises
                 if k + 1 == tries and not skip:
                     raise
+                time.sleep(pause * 2**k if k + 1 < tries else 0)
         return None
 
+    def paced(system: str, user: str) -> str | None:
+        began = time.monotonic()
+        raw = asked(system, user)
+        if per_second:
+            time.sleep(max(0.0, 1 / per_second - (time.monotonic() - began)))
+        return raw
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"prompt_id": b.prompt_id, "id": b.id, "raw": [asked(s, u) for s, u in zip(b.system, b.user)]})
+            yield pd.DataFrame({"prompt_id": b.prompt_id, "id": b.id, "raw": [paced(s, u) for s, u in zip(b.system, b.user)]})
 
     return rendered.mapInPandas(run, f"prompt_id string, id {dict(rendered.dtypes)['id']}, raw string")
 
 
+def ask_and_store(rows: DataFrame, of: DataFrame, client: Callable[[str, str], str], model: str, store: Store, parts: int = 1, **options) -> DataFrame:
+    """model, prompt, id, label, pred and the other columns of rows, as run_prompts(), from answers that a store keeps.
+
+    Each different text is asked once per prompt, and only if the store (keys model, prompt, text_md5) has
+    no answer to it. Answers are stored prompt by prompt and in `parts` of the texts, so a run that dies
+    loses the part it was at; the next run asks the rest. Texts without an answer (skip) are asked again
+    by the next run and have no row.
+    """
+    marked = rows.withColumn("text_md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    texts = marked.groupBy(F.col("text_md5").alias("id")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    for prompt in of.collect():  # the prompts, a handful
+        for part in range(parts):
+            mine = texts.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+            if (known := store.read()) is not None:
+                there = known.where((F.col("model") == model) & (F.col("prompt") == prompt.prompt_id)).select(F.col("text_md5").alias("id"))
+                mine = mine.join(there, "id", "left_anti")
+            one = rows.sparkSession.createDataFrame([prompt], of.schema)
+            raw = call_model(render_prompts(mine, one), client, **options).where("raw is not null")
+            answers = written(raw.select(F.lit(model).alias("model"), F.col("prompt_id").alias("prompt"), F.col("id").alias("text_md5"), "raw"))
+            if not answers.isEmpty():
+                store.put(answers)
+    known = store.read()
+    if known is None:
+        known = rows.sparkSession.createDataFrame([], "model string, prompt string, text_md5 string, raw string")
+    asked = known.where(F.col("model") == model).join(F.broadcast(of.select(F.col("prompt_id").alias("prompt"))), "prompt", "left_semi")
+    read = asked.select("model", "prompt", "text_md5", X.parse_label(F.col("raw")).alias("pred"))
+    return marked.join(read, "text_md5").drop("text_md5")
+
+
 def classify(rows: DataFrame, client: Callable[[str, str], str], **options) -> DataFrame:
     """id, pred of the plain baseline: one prompt, and MGY where the answer names it; rows without an answer are skipped."""
     raw = call_model(render_prompts(rows, single_prompt(rows.sparkSession)), client, skip=True, **options).where("raw is not null")

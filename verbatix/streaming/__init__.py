@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.scoring import upsert
+from ..sources.store import Store
 
 
 def upsert_stream(scores: DataFrame, store: str, checkpoint: str, keys: tuple[str, ...] = ("model", "prompt"), order: str = "value") -> StreamingQuery:
-    """Upserts each micro-batch of scores into a store of numbered versions, so that a batch that is run again gives the same store.
+    """Upserts each micro-batch of scores into a versioned store; a batch that is run again is there already.
 
     Of a batch's rows with equal keys the last by order counts; of those equal in it too, the greatest row.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = F.struct(order, *[c for c in batch.columns if c != order])
         last = batch.groupBy(*keys).agg(F.max(rows).alias("_last")).select(*[F.col("_last")[c].alias(c) for c in batch.columns])
-        old = spark.read.parquet(f"{store}/v{number - 1}") if number else batch.limit(0)
-        upsert(old, last, keys).write.mode("overwrite").parquet(f"{store}/v{number}")
+        Store(batch.sparkSession, store, keys).put(last, f"batch-{number}")
 
     return scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
