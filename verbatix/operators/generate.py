@@ -84,32 +84,37 @@ def frame_rows() -> list[tuple]:
     return out
 
 
-def _draw(what: str, number: Column, n: int) -> Column:
-    """A number below n from the first byte of md5(what:number)."""
-    h = F.md5(F.concat(F.lit(f"{what}:"), number.cast("string")).cast("binary"))
+def _draw(what: str, key: Column, n: int) -> Column:
+    """A number below n from the first byte of md5(what:key)."""
+    h = F.md5(F.concat(F.lit(f"{what}:"), key.cast("string")).cast("binary"))
     digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(h, k, 1)) - 1
     return (digit(1) * 16 + digit(2)) % n
 
 
-def gen_rows(spark: SparkSession) -> DataFrame:
-    """id, text, label, category, frame_id, pair_id, subject, token."""
+def gen_rows(spark: SparkSession, seeds: DataFrame | None = None) -> DataFrame:
+    """id, text, label, category, frame_id, pair_id, subject, token; with seeds (one text column), a corpus drawn anew for each, which stands first."""
     frames = spark.createDataFrame(frame_rows(), "base int, copies int, half int, category string, frame_id string, label string, pattern string, has boolean")
     rows = frames.withColumn("number", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("copies") - 1)))
+    key, first = F.col("number"), []
+    if seeds is not None:
+        # the 40 frames go to the seeds
+        rows, first = seeds.crossJoin(F.broadcast(rows)), seeds.columns
+        key = F.concat(F.coalesce(F.col(first[0]), F.lit("")), F.lit(":"), F.col("number").cast("string"))
     paired = F.col("half") < 2
     pick = lambda of, at: F.element_at(F.array(*[F.lit(x) for x in of]), at + 1)
-    subject = F.when(paired, pick(SUBJECTS, _draw("S", F.col("number"), len(SUBJECTS)))).otherwise("")
-    token = F.when(F.col("has"), F.format_string("[FSLUR_%02d]", _draw("T", F.col("number"), N_TOKENS) + 1)).otherwise("")
+    subject = F.when(paired, pick(SUBJECTS, _draw("S", key, len(SUBJECTS)))).otherwise("")
+    token = F.when(F.col("has"), F.format_string("[FSLUR_%02d]", _draw("T", key, N_TOKENS) + 1)).otherwise("")
     # implicit and overlapping halves draw their garments apart
-    garment = pick(GARMENTS, F.when(F.col("half") == 0, _draw("G0", F.col("number"), len(GARMENTS))).otherwise(_draw("G1", F.col("number"), len(GARMENTS))))
+    garment = pick(GARMENTS, F.when(F.col("half") == 0, _draw("G0", key, len(GARMENTS))).otherwise(_draw("G1", key, len(GARMENTS))))
     text = F.replace(F.replace(F.replace("pattern", F.lit("{S}"), subject), F.lit("{T}"), token), F.lit("{G}"), garment)
     uid = F.when(paired, 2 * (F.col("number") - 1) + F.col("half") + 1).otherwise(F.col("number"))
     pair = F.when(paired, F.concat(F.lit("P"), F.col("number").cast("string"))).otherwise("")
-    return rows.select(F.format_string("D%04d", uid).alias("id"), text.alias("text"), "label", "category", "frame_id", pair.alias("pair_id"), subject.alias("subject"), token.alias("token"))
+    return rows.select(*first, F.format_string("D%04d", uid).alias("id"), text.alias("text"), "label", "category", "frame_id", pair.alias("pair_id"), subject.alias("subject"), token.alias("token"))
 
 
-def gen_summary(rows: DataFrame) -> DataFrame:
-    """category, label, n, n_pairs, n_frames, n_token_rows."""
-    return rows.groupBy("category", "label").agg(F.count("*").alias("n"), F.countDistinct(F.nullif("pair_id", F.lit(""))).alias("n_pairs"), F.countDistinct("frame_id").alias("n_frames"), F.sum((F.col("token") != "").cast("int")).alias("n_token_rows"))
+def gen_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, category, label, n, n_pairs, n_frames, n_token_rows."""
+    return rows.groupBy(*by, "category", "label").agg(F.count("*").alias("n"), F.countDistinct(F.nullif("pair_id", F.lit(""))).alias("n_pairs"), F.countDistinct("frame_id").alias("n_frames"), F.sum((F.col("token") != "").cast("int")).alias("n_token_rows"))
 
 
 def static_predictions() -> list[tuple]:

@@ -13,15 +13,17 @@ def _ratio(a, b):
 def confusion(scored: DataFrame, classes: list[str], by: tuple[str, ...] = (), truth: str = "label", pred: str = "pred") -> DataFrame:
     """by, t, p, n for all pairs of classes, zeros included; raises in execution if a class is not listed.
 
-    All cells come from one aggregate, so scored is computed once.
+    Cells that occur come from one aggregate by their key; those that don't are added where by occurs.
     """
     known = F.col(truth).isin(classes) & F.col(pred).isin(classes)
     said = F.concat(F.lit("unknown class: "), F.coalesce(truth, F.lit("null")), F.lit(", "), F.coalesce(pred, F.lit("null")))
     rows = scored.withColumn("_ok", F.when(known, True).otherwise(F.raise_error(said).cast("boolean"))).where("_ok")
-    pairs = [(t, p) for t in classes for p in classes]
-    counts = rows.groupBy(*by).agg(*[F.count_if((F.col(truth) == t) & (F.col(pred) == p)).alias(f"_{k}") for k, (t, p) in enumerate(pairs)])
-    cell = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.col(f"_{k}").alias("n")) for k, (t, p) in enumerate(pairs)]))
-    return counts.select(*by, cell.alias("_c")).select(*by, "_c.t", "_c.p", "_c.n")
+    counts = rows.groupBy(*by, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    cells = F.map_from_entries(F.collect_list(F.struct(F.struct("t", "p"), "n")))
+    held = counts.groupBy(*by).agg(cells.alias("_cells"))
+    names = F.array(*[F.lit(c) for c in classes])
+    every = held.select(*by, "_cells", F.explode(names).alias("t")).select(*by, "_cells", "t", F.explode(names).alias("p"))
+    return every.select(*by, "t", "p", F.coalesce(F.element_at("_cells", F.struct("t", "p")), F.lit(0)).alias("n"))
 
 
 def class_metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -448,7 +448,7 @@ def missing_predictions(s, d):
 @query
 def static_prediction_join(s, d):
     answers_ = C.literal(s, generate.static_predictions(), "frame_id string, pred string, conf string")
-    return scoring.static_join(generate.gen_rows(s), answers_).select("id", "frame_id", "label", "pred", "conf")
+    return scoring.static_join(drawn(s, d), answers_).select("source", "id", "frame_id", "label", "pred", "conf")
 
 
 @query
@@ -466,14 +466,19 @@ def render_prompts(s, d):
 
 
 # generator
+def drawn(s, d) -> DataFrame:
+    """A generated corpus for each source of the documents."""
+    return generate.gen_rows(s, C.table(s, d, "documents").select("source").distinct())
+
+
 @query
 def gen_rows(s, d):
-    return generate.gen_rows(s)
+    return drawn(s, d)
 
 
 @query
 def gen_summary(s, d):
-    return generate.gen_summary(generate.gen_rows(s))
+    return generate.gen_summary(drawn(s, d), ("source",))
 
 
 # learning curve

@@ -61,15 +61,16 @@ def byte(h: str) -> str:
 
 
 def pick(of: list[str], what: str) -> str:
-    return f"list_value({', '.join(map(q, of))})[{byte(f'md5({q(what + chr(58))} || number)')} % {len(of)} + 1]"
+    return f"list_value({', '.join(map(q, of))})[{byte(f'md5({q(what + chr(58))} || key)')} % {len(of)} + 1]"
 
 
 GEN = f"""frames AS (SELECT * FROM {values(frame_rows(), 'base, copies, half, category, frame_id, label, pattern, has')}),
-numbered AS (SELECT *, unnest(range(base, base + copies)) AS number FROM frames),
+numbers AS (SELECT *, unnest(range(base, base + copies)) AS number FROM frames),
+numbered AS (SELECT *, coalesce(source, '') || ':' || number AS key FROM numbers, (SELECT DISTINCT source FROM documents)),
 slots AS (SELECT *, CASE WHEN half < 2 THEN {pick(SUBJECTS, 'S')} ELSE '' END AS subject,
-  CASE WHEN has THEN printf('[FSLUR_%02d]', {byte("md5('T:' || number)")} % 20 + 1) ELSE '' END AS token,
+  CASE WHEN has THEN printf('[FSLUR_%02d]', {byte("md5('T:' || key)")} % 20 + 1) ELSE '' END AS token,
   CASE WHEN half = 0 THEN {pick(GARMENTS, 'G0')} ELSE {pick(GARMENTS, 'G1')} END AS garment FROM numbered),
-gen AS (SELECT printf('D%04d', CASE WHEN half < 2 THEN 2 * number - 1 + half ELSE number END) AS id,
+gen AS (SELECT source, printf('D%04d', CASE WHEN half < 2 THEN 2 * number - 1 + half ELSE number END) AS id,
   replace(replace(replace(pattern, '{{S}}', subject), '{{T}}', token), '{{G}}', garment) AS text, label, category, frame_id,
   CASE WHEN half < 2 THEN 'P' || number ELSE '' END AS pair_id, subject, token FROM slots),
 built AS (SELECT *, CASE WHEN category IN ('USE_SLUR', 'COUNTER') THEN 'UC:' WHEN category IN ('IMPLICIT', 'BENIGN_OVERLAP') THEN 'IB:' ELSE 'BN:' END || split_part(frame_id, ':', 2) AS template FROM gen)"""
@@ -235,13 +236,13 @@ joined AS (SELECT gold.*, upper(arg_max(doc.pred, pos)) AS pred FROM gold JOIN d
 add("scan_predictions", DOC, "SELECT 'm1' AS model, 'p1' AS prompt, 0 AS pos, id, pred FROM doc")
 add("score_predictions", DOC + ", " + metric("joined") + ", pc AS (" + _PAIR.format(rows="joined") + ")", "SELECT round(accuracy, 6) AS accuracy, round((f1 + f0) / 2, 6) AS macro_f1, round(mcc, 6) AS mcc, consistency, n_pairs FROM m, pc")
 add("missing_predictions", DOC, "SELECT id FROM gold WHERE id NOT IN (SELECT id FROM doc)")
-add("static_prediction_join", GENERATED, f"SELECT id, frame_id, label, pred, conf FROM gen JOIN {values(static_predictions(), 'frame_id, pred, conf')} USING (frame_id)")
+add("static_prediction_join", GENERATED, f"SELECT source, id, frame_id, label, pred, conf FROM gen JOIN {values(static_predictions(), 'frame_id, pred, conf')} USING (frame_id)")
 add("score_upsert", CORPUS + """, store AS (SELECT 'm' || (id % 7) AS model, 'p' || (id % 3) AS prompt, count(*) AS value FROM corpus GROUP BY ALL),
 news AS (SELECT 'm' || (id % 9) AS model, 'p1' AS prompt, -count(*) AS value FROM corpus WHERE label = 'MGY' GROUP BY ALL)""", "SELECT * FROM news UNION ALL SELECT store.* FROM store LEFT JOIN news USING (model, prompt) WHERE news.value IS NULL")
 add("render_prompts", CORPUS, f"SELECT prompt_id, id, md5(system || '|' || prefix || text || suffix) AS md5 FROM corpus, {values(PROMPTS, 'prompt_id, system, prefix, suffix')}")
 # generator
 add("gen_rows", GENERATED, "SELECT * FROM gen")
-add("gen_summary", GENERATED, "SELECT category, label, count(*) AS n, count(DISTINCT nullif(pair_id, '')) AS n_pairs, count(DISTINCT frame_id) AS n_frames, count(*) FILTER (token <> '') AS n_token_rows FROM gen GROUP BY ALL")
+add("gen_summary", GENERATED, "SELECT source, category, label, count(*) AS n, count(DISTINCT nullif(pair_id, '')) AS n_pairs, count(DISTINCT frame_id) AS n_frames, count(*) FILTER (token <> '') AS n_token_rows FROM gen GROUP BY ALL")
 # learning curve
 LC = RED + ", " + CURVE + f""", seen AS (SELECT id, source, label, unnest(list_distinct({tokens('text')})) AS token FROM red),
 lex AS (SELECT rep, frac, token FROM parts JOIN seen USING (source) WHERE part = 'train' GROUP BY ALL HAVING count(*) >= 2 AND count(*) FILTER (label = 'MGY') >= 0.9 * count(*)),
