@@ -7,7 +7,9 @@ can be appended without touching what is stored, and after an edit only the tabl
 is filled again.
 
 Defined cases: a null or empty text has no ids; invalid ids raise KeyError in decoding; texts of any
-length are encoded whole; repeated rows are encoded one by one.
+length are encoded whole; repeated rows, and rows with null or repeated ids, are encoded one by one and
+stay apart, whatever their order; an empty table gives an empty result; columns other than doc_id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations

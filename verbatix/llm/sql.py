@@ -32,3 +32,13 @@ FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} c ON a.cluster = c.n"""
 
 
 SQL["op11_centroids"] = _clusters()
+
+# every two documents that share a shingle, then all that links reach
+SQL["op1_ngram_join"] = r"""
+WITH RECURSIVE worded AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM worded),
+sizes AS MATERIALIZED (SELECT doc_id, count(s) AS n FROM worded LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+common AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT doc_id, n AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = sizes.doc_id) AS component_id FROM sizes"""

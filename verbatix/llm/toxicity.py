@@ -238,10 +238,14 @@ def fit(texts: list[tuple[bytes, int]], weight: float = 1.0) -> Model | None:
     hit, false = np.cumsum(label[order]), np.cumsum(weight * ~label[order])
     f = 2 * hit / (hit + false + label.sum())
     last = np.r_[sums[order][1:] != sums[order][:-1], True]
-    # of nearly equally good thresholds the highest, between two sums
-    best = int(np.flatnonzero(last & (f >= f[last].max() - 0.002))[0]) if len(order) else -1
-    above = sums[order][best] if len(order) else 1.0
-    below = max(0.0, sums[order][best + 1]) if best + 1 < len(order) else 0.0
+    # what is rejected is at least as likely toxic as not: with little evidence, rejecting all would be the best by f alone
+    last &= hit >= false
+    if last.any():
+        # of nearly equally good thresholds the highest, between two sums
+        best = int(np.flatnonzero(last & (f >= f[last].max() - 0.002))[0])
+        above, below = sums[order][best], max(0.0, sums[order][best + 1]) if best + 1 < len(order) else 0.0
+    else:
+        above = below = max(0.0, sums.max()) + 1.0
     whole = dictionaries(of(label), of(~label))
     return Model(whole.toxic, whole.ordinary, tuple(weights.tolist()), float(above + below) / 2)
 
