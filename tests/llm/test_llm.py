@@ -200,6 +200,15 @@ def test_toxicity_of_text_without_blanks():
         assert len(scorer.gains(late.encode())) * toxicity.STEP > len(late.encode()) - toxicity.WINDOW
 
 
+def test_passages_stand_in_the_toxic_dictionary_alone():
+    # "grob" begins ordinary words too, without a blank before it
+    texts = [(f"{prose(i, 80)} xgrobik", 0) for i in range(600)] + [(" grobnik ".join(prose(i + j, 20) for j in range(0, 4000, 1000)), 1) for i in range(600, 800)]
+    of = lambda y: [toxicity.plain(t.encode()) for t, label in texts if label == y]
+    found, model = toxicity._passages(of(1), of(0)), toxicity.dictionaries(of(1), of(0))
+    assert found and len(model.toxic) == len(model.ordinary)
+    assert all(p in model.toxic and p not in model.ordinary for p in found)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return byte_bpe.Vocabulary(RANKS)

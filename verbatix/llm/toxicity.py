@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are made from the texts of labelled rows. Both end in one that zstandard
 trains on the ordinary texts; the toxic one begins with passages of toxic texts, the other with as many
-zero bytes, so that distances to the shared part are equal. Windows of several words slide over the
-whole text, each overlapping the next one, whatever blanks the text has. The difference of a window's
+zero bytes, so that distances to the shared part are equal. Where a passage stands in the shared part
+too, with or without the blanks at its ends, it is overwritten with zero bytes there, so that the toxic
+dictionary alone has it. Windows of several words slide over the whole text, each overlapping the next
+one, whatever blanks the text has. The difference of a window's
 two compressed lengths is its gain. Each gain has a weight, how much oftener (as a logarithm) windows of
 toxic texts have it than those of ordinary ones; a text's weights are added up, and it is toxic from a
 calibrated sum on. Weights and threshold come from texts that the dictionaries were not made of: each
@@ -41,9 +43,10 @@ from .common import LOWER, arrow_map, id_and_text, pairs, table, to_batch
 #: Labelled rows that are learned from, at most.
 TOXIC, ORDINARY = 2000, 6000
 #: Bytes of a window, and from one window's start to the next one's: what has up to WINDOW - STEP bytes is whole in some window.
-WINDOW, STEP = 96, 64
-#: zstandard looks at 2 ** SEARCH places of the dictionary for a match.
-SEARCH = 12
+WINDOW, STEP = 64, 32
+#: zstandard's level, and the strategy that keeps its matches in a tree: it finds passages behind common beginnings wherever they are.
+#: These and the windows were chosen by two halves of the sample, each scored with the other's dictionaries; held-out rows were not used.
+LEVEL, STRATEGY, SEARCH = 13, zstandard.STRATEGY_BTLAZY2, 12
 #: Windows that are compressed at once.
 AT_ONCE = 20_000
 #: Bytes of the dictionary of ordinary text (zstandard's usual size), and how many times as long its training text is at least.
@@ -179,8 +182,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        # the level whose search finds short matches at a window's start best; deep enough to get past common beginnings to the passages, which are farthest
-        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=WINDOW, dict_size=len(model.toxic), write_content_size=1, write_dict_id=0, min_match=4, search_log=SEARCH)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(model.toxic), write_content_size=1, write_dict_id=0, min_match=4, search_log=SEARCH, strategy=STRATEGY)
         self.pack = []
         for content in (model.toxic, model.ordinary):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -206,11 +208,15 @@ class Scorer:
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """The two dictionaries of some texts."""
-    passages = b"".join(b"\0" + p for p in reversed(_passages(toxic, ordinary))) if toxic and ordinary else b""
+    found = _passages(toxic, ordinary) if toxic and ordinary else []
+    passages = b"".join(b"\0" + p for p in reversed(found))
     try:
         shared = zstandard.train_dictionary(min(DICTIONARY, sum(map(len, ordinary)) // SAMPLES), ordinary).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         shared = b"".join(ordinary)[-DICTIONARY:]
+    for p in sorted({p.strip() for p in found}, key=lambda p: (len(p), p)):
+        if len(p) >= GRAMS[0]:
+            shared = shared.replace(p, bytes(len(p)))
     return Model(passages + shared, bytes(len(passages)) + shared)
 
 
