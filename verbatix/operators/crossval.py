@@ -75,8 +75,8 @@ def one_vs_rest(rows: DataFrame, classes: list[str], k: int = K, **options) -> D
     """id, fold, label, pred by a logistic model per class, all trained beside each other; the highest score counts, of equal ones the first class."""
     bag, roles = _both(F.col("text")), linear.fold_roles(F.col("fold"), k)
     one = F.explode(F.array(*[F.lit(c) for c in classes])).alias("setting")
-    examples = rows.select("id", "label", bag.alias("bag"), roles.alias("roles"), one)
-    scores = linear.train(examples, {c: linear.Spec(names=("", c), **options) for c in classes}, k)
+    examples = rows.select("id", "label", "text", roles.alias("roles"), one)
+    scores = linear.train(examples, {c: linear.Spec(names=("", c), **options) for c in classes}, k, bag=bag)
     best = F.min(F.struct(-F.col("score"), F.col("setting").alias("pred"))).alias("b")
     return scores.groupBy("id", F.col("model").alias("fold"), "label").agg(best).select("id", "fold", "label", "b.pred")
 
@@ -172,27 +172,38 @@ def grid_scores(rows: DataFrame, settings: list[tuple[str, str, str]], classes:
         base = _dealt(base, s, k, seed, group).withColumnRenamed("fold", f"fold {s}")
     base = written(base)
     of = lambda r, s: [F.col(f"text {r}").alias("text"), F.col(f"fold {s}").alias("fold")]
-    name = lambda m, r, s: f"{m}|{r}|{s}"
     found = []
+    name = lambda split: F.concat("setting", F.lit("|"), F.element_at(F.array(*[F.lit(x) for x in splits]), split + 1))
+    wanted = [f"{m}|{r}|{s}" for m, r, s in settings]
+
+    def texts(of: list[tuple[str, str, str]], roles: Column) -> DataFrame:
+        """Rows with the text of each model and representation, once for all splits."""
+        each = F.array(*[F.struct(F.lit(f"{m}|{r}").alias("setting"), F.col(f"text {r}").alias("text")) for m, r in dict.fromkeys((m, r) for m, r, _ in of)])
+        return base.select("id", "label", roles, F.explode(each).alias("e")).select("id", "label", *base.select(roles).columns, "e.*")
+
     counted = [x for x in settings if x[0] in NB]
     if counted:
-        each = F.explode(F.array(*[F.struct(F.lit(name(*x)).alias("setting"), NB[x[0]][0](F.col(f"text {x[1]}")).alias("bag"), F.col(f"fold {x[2]}").alias("fold")) for x in counted])).alias("e")
-        alpha = F.create_map(*[F.lit(v) for x in counted for v in (name(*x), NB[x[0]][1])])[F.col("setting")]
-        scores = models.nb_cv(base.select("id", "label", each).select("id", "label", "e.*"), F.col("bag"), classes, alpha=alpha, by=("setting",))
-        found.append(models.best_class(scores, ("setting", "id", "fold", "label")))
+        bag = None
+        for m in sorted({m for m, _, _ in counted}):
+            mine = F.col("setting").startswith(f"{m}|")
+            bag = (F if bag is None else bag).when(mine, NB[m][0](F.col("text")))
+        alpha = {f"{m}|{r}": NB[m][1] for m, r, _ in counted}
+        scores = models.nb_cv(texts(counted, F.array(*[F.col(f"fold {s}") for s in splits]).alias("folds")), bag, classes, alpha=alpha, by=("setting",))
+        found.append(models.best_class(scores.withColumn("setting", name(F.col("split"))), ("setting", "id", "fold", "label")))
     trained = [x for x in settings if x[0] in LINEAR]
     if trained:
-        each = F.explode(F.array(*[F.struct(F.lit(name(*x)).alias("setting"), _both(F.col(f"text {x[1]}")).alias("bag"), linear.fold_roles(F.col(f"fold {x[2]}"), k).alias("roles")) for x in trained])).alias("e")
-        specs = {name(*x): linear.Spec(names=(classes[0], classes[1]), **LINEAR[x[0]]) for x in trained}
-        found.append(linear.train(base.select("id", "label", each).select("id", "label", "e.*"), specs, k).select("setting", "id", F.col("model").alias("fold"), "label", "pred"))
+        roles = F.concat(*[linear.fold_roles(F.col(f"fold {s}"), k) for s in splits]).alias("roles")
+        specs = {f"{m}|{r}": linear.Spec(names=(classes[0], classes[1]), **LINEAR[m]) for m, r, _ in trained}
+        scores = linear.train(texts(trained, roles), specs, k * len(splits), bag=_both(F.col("text")))
+        found.append(scores.select(name((F.col("model") / k).cast("int")).alias("setting"), "id", (F.col("model") % k).alias("fold"), "label", "pred"))
     for m, r, s in settings:
         if m not in NB and m not in LINEAR:
-            found.append(MODELS[m](base.select("id", "label", *of(r, s)), classes, k).select(F.lit(name(m, r, s)).alias("setting"), "id", "fold", "label", "pred"))
+            found.append(MODELS[m](base.select("id", "label", *of(r, s)), classes, k).select(F.lit(f"{m}|{r}|{s}").alias("setting"), "id", "fold", "label", "pred"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     part = lambda n: F.split_part("setting", F.lit("|"), F.lit(n))
-    return out.select(part(1).alias("model"), part(2).alias("representation"), part(3).alias("split"), "id", "fold", "label", "pred")
+    return out.where(F.col("setting").isin(wanted)).select(part(1).alias("model"), part(2).alias("representation"), part(3).alias("split"), "id", "fold", "label", "pred")
 
 
 def grid(rows: DataFrame, settings: list[tuple[str, str, str]], classes: list[str], pairs: DataFrame | None = None, **options) -> DataFrame:

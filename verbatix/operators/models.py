@@ -1,7 +1,7 @@
 """Features and models.
 
 Counts are made once per fold; a fold's training counts are the whole less the fold's own, so k-fold
-lexicons and Naive Bayes models take one pass over the features. Every row keeps a score, whether it
+lexicons and Naive Bayes models take one pass over the features, the latter over packed blocks of rows. Every row keeps a score, whether it
 has features or not. Linear models are trained in operators/linear.py.
 """
 
@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import written
+from . import blocks as B
 
 
 def exploded(rows: DataFrame, bag: Column, *keep: str) -> DataFrame:
@@ -87,37 +91,110 @@ def _of(a: DataFrame, b: DataFrame, by: tuple[str, ...], how: str = "inner") ->
     return a.join(F.broadcast(b), list(by), how) if by else a.crossJoin(F.broadcast(b))
 
 
-def nb_cv(rows: DataFrame, bag: Column, classes: list[str], alpha: float | Column = 1.0, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+def nb_cv(rows: DataFrame, bag: Column, classes: list[str], alpha: float | dict[str, float] = 1.0, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """by, id, fold, label, class, score: each row under the model of the other folds.
 
     log prior (not smoothed) plus tf * ln((count + alpha) / (total + alpha * V)) over all of its
     features, those that the model doesn't know with count 0. Folds whose training part lacks a class
-    are left out. by: settings that are counted beside each other in one pass, a row of each for every
-    row; alpha may be a column of them.
+    are left out. by: one column of settings that are counted beside each other in one pass, a row of each
+    for every row, with folds, an array of the row's folds under several splits, in place of fold; the
+    result has split, the fold's place. alpha may then differ by setting.
+
+    Rows are packed in blocks once (operators/blocks.py); features meet by their 64-bit hashes.
     """
-    k, alpha = range(len(classes)), alpha if isinstance(alpha, Column) else F.lit(alpha)
-    x = exploded(rows, bag, "fold", "label", *by)
-    own = x.groupBy(*by, "feat", "fold").agg(F.count("*").alias("df"), *[F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"k{i}") for i, c in enumerate(classes)])
-    w = Window.partitionBy(*by, "feat")
-    for c in ("df", *[f"k{i}" for i in k]):
-        own = own.withColumn(f"all_{c}", F.sum(c).over(w))
-    inn, out = (F.col("all_df") - F.col("df") >= min_df).cast("int"), (F.col("all_df") >= min_df).cast("int")
-    own = own.select(*by, "feat", "fold", inn.alias("inn"), out.alias("out"), *[(F.col(f"all_k{i}") - F.col(f"k{i}")).alias(f"r{i}") for i in k], *[F.col(f"all_k{i}").alias(f"a{i}") for i in k])
-    # each feature once: its first fold carries what holds for all
-    first = F.row_number().over(w.orderBy("fold")) == 1
-    whole = own.withColumn("first", first).where("first and out = 1").groupBy(*by).agg(F.count("*").alias("v"), *[F.coalesce(F.sum(f"a{i}"), F.lit(0)).alias(f"t{i}") for i in k])
-    change = own.groupBy(*by, "fold").agg(F.sum(F.col("inn") - F.col("out")).alias("dv"), *[F.sum(F.col("inn") * F.col(f"r{i}") - F.col("out") * F.col(f"a{i}")).alias(f"dt{i}") for i in k])
-    docs = rows.groupBy(*by, "fold").agg(F.count("*").alias("n"), *[F.sum((F.col("label") == c).cast("int")).alias(f"d{i}") for i, c in enumerate(classes)])
-    total = docs.groupBy(*by).agg(F.sum("n").alias("n_all"), *[F.sum(f"d{i}").alias(f"d_all{i}") for i in k])
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    folds = _of(_of(docs, total, by).join(change, [*by, "fold"], "left"), whole, by, "left")
-    folds = folds.select(*by, "fold", (F.col("n_all") - F.col("n")).alias("n_train"), (zero("v") + zero("dv")).alias("v"), *[(F.col(f"d_all{i}") - F.col(f"d{i}")).alias(f"n{i}") for i in k], *[(zero(f"t{i}") + zero(f"dt{i}")).alias(f"t{i}") for i in k])
-    folds = folds.where(" and ".join(f"n{i} > 0" for i in k))
-    ln = lambda i: F.sum(F.col("tf") * F.ln(F.col("inn") * F.col(f"r{i}") + alpha)).alias(f"s{i}")
-    sums = x.join(own.select(*by, "feat", "fold", "inn", *[f"r{i}" for i in k]), [*by, "feat", "fold"]).groupBy(*by, "id").agg(F.sum("tf").alias("m"), *[ln(i) for i in k])
-    scored = rows.select(*by, "id", "fold", "label").join(F.broadcast(folds), [*by, "fold"]).join(sums, [*by, "id"], "left")
-    each = [F.struct(F.lit(c).alias("class"), (F.ln(F.col(f"n{i}") / F.col("n_train")) + F.coalesce(f"s{i}", F.lit(0.0)) - zero("m") * F.ln(F.col(f"t{i}") + alpha * F.col("v"))).alias("score")) for i, c in enumerate(classes)]
-    return scored.select(*by, "id", "fold", "label", F.explode(F.array(*each)).alias("c")).select(*by, "id", "fold", "label", "c.class", "c.score")
+    k, kind = len(classes), dict(rows.dtypes)["id"]
+    roles = F.col("folds") if by else F.array("fold")
+    some = rows.withColumns({"setting": F.col(by[0]) if by else F.lit(""), "roles": roles})
+    made = written(B.blocks(some, bag))
+    sizes = {r.setting: r for r in made.groupBy("setting").agg(F.sum("n_feats").alias("n"), (F.max("top") + 1).alias("k")).collect()}
+    if not sizes:
+        return _nb_empty(rows, by)
+    n_splits = len(rows.select("folds").first()[0]) if by else 1
+    n_folds = {s: max(1, r.k) for s, r in sizes.items()}
+    width = {s: n_splits * n * (1 + k) for s, n in n_folds.items()}
+    parts = {s: max(1, -(-r.n * width[s] // B.VALUES)) for s, r in sizes.items()}
+
+    def counted(setting: str, block: B.Rows) -> tuple[np.ndarray, np.ndarray]:
+        """By feature, split and fold: rows, and occurrences in each class; by split and fold: rows, and those of each class."""
+        n, at = n_folds[setting], {c: i for i, c in enumerate(classes)}
+        y = np.array([at.get(x, -1) for x in block.labels], np.int64)
+        out, docs = np.zeros((len(block.feats), n_splits, n, 1 + k), np.int32), np.zeros((n_splits, n, 1 + k), np.int64)
+        flat, known = out.reshape(-1), y >= 0
+        cells = block.col.astype(np.int64) * (n_splits * n * (1 + k))
+        for s in range(n_splits):
+            fold = block.roles[:, s].astype(np.int64)
+            dealt = fold >= 0
+            np.add.at(docs, (s, fold[dealt], 0), 1)
+            np.add.at(docs, (s, fold[dealt & known], 1 + y[dealt & known]), 1)
+            base = cells + (s * n + fold[block.row]) * (1 + k)
+            on = dealt[block.row]
+            flat += np.bincount(base[on], minlength=len(flat)).astype(np.int32)
+            on &= known[block.row]
+            flat += np.bincount(base[on] + 1 + y[block.row][on], block.tf[on], len(flat)).astype(np.int32)
+        return out.reshape(len(block.feats), -1), docs
+
+    def count(batches):
+        for batch in batches:
+            for setting, n, body in zip(*[batch.column(c).to_pylist() for c in ("setting", "block", "body")]):
+                block = B.Rows.unpack(body)
+                values, docs = counted(setting, block)
+                yield B.pieces_of(setting, n, block.feats, values, parts[setting])
+                yield B.batch_of({"setting": ([setting], pa.string()), "block": ([n], pa.int64()), "part": ([-1], pa.int32()), "body": ([B.packed(docs)], pa.binary())})
+
+    def answer(setting: str, keys: np.ndarray, total: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the other folds hold: occurrences by class, -1 where the model doesn't know the feature; by split and fold the known features and their occurrences."""
+        own = total.reshape(len(keys), n_splits, n_folds[setting], 1 + k)
+        rest = own.sum(2, keepdims=True) - own
+        known = (rest[..., 0] >= min_df).astype(np.int64)
+        values = rest[..., 1:] * known[..., None]
+        return values.reshape(len(keys), -1).astype(np.int32), np.concatenate([known.sum(0)[..., None], values.sum(0)], 2)
+
+    counts = written(made.mapInArrow(count, B.PIECE))
+    found = written(B.summed(counts.where("part >= 0"), answer))
+    # by setting, split and fold: rows, rows of each class, known features, their occurrences in each class
+    docs, sums = ({s: 0 for s in sizes} for _ in range(2))
+    for r in counts.where("part < 0").select("setting", "body").toLocalIterator():
+        docs[r.setting] = docs[r.setting] + B.unpacked(bytes(r.body))
+    for r in found.where("block < 0").select("setting", "body").toLocalIterator():
+        sums[r.setting] = sums[r.setting] + B.unpacked(bytes(r.body))
+
+    def scored(_, table: pa.Table, pieces: pa.Table) -> pa.Table:
+        setting, block = table.column("setting")[0].as_py(), B.Rows.unpack(table.column("body")[0].as_py())
+        n, smooth = n_folds[setting], alpha[setting] if isinstance(alpha, dict) else alpha
+        rest = B.gathered(block.feats, pieces.column("body").to_pylist(), n_splits * n * k, np.int32).reshape(len(block.feats), n_splits, n, k)
+        train = docs[setting].sum(1, keepdims=True) - docs[setting]
+        known = sums[setting] if isinstance(sums[setting], np.ndarray) else np.zeros((n_splits, n, 1 + k), np.int64)
+        m = np.bincount(block.row, block.tf, len(block.ids))
+        out = {c: [] for c in ("split", "row", "fold", "score")}
+        for s in range(n_splits):
+            fold = block.roles[:, s].astype(np.int64)
+            row = np.flatnonzero((fold >= 0) & (train[s, fold, 1:] > 0).all(1))
+            prior = np.log(train[s, fold[row], 1:] / train[s, fold[row], :1])
+            seen = rest[block.col, s, fold[block.row]]
+            here = np.stack([np.bincount(block.row, block.tf * np.log(seen[:, c] + smooth), len(block.ids)) for c in range(k)], 1)
+            size = known[s, fold[row], 1:] + smooth * known[s, fold[row], :1]
+            score = prior + here[row] - np.where(m[row, None] > 0, m[row, None] * np.log(np.maximum(size, 1e-300)), 0.0)
+            out["split"].append(np.full(len(row) * k, s))
+            out["row"].append(np.repeat(row, k))
+            out["fold"].append(np.repeat(fold[row], k))
+            out["score"].append(score.ravel())
+        row, score = np.concatenate(out["row"]).tolist(), np.concatenate(out["score"])
+        columns = {
+            "setting": pa.array([setting] * len(row), pa.string()), "split": pa.array(np.concatenate(out["split"]), pa.int32()),
+            "id": pa.array([block.ids[i] for i in row], pa.int64() if kind == "bigint" else pa.string()), "fold": pa.array(np.concatenate(out["fold"]), pa.int32()),
+            "label": pa.array([block.labels[i] for i in row], pa.string()), "class": pa.array(classes * (len(row) // k), pa.string()), "score": pa.array(score, pa.float64()),
+        }
+        return pa.table(columns)
+
+    asked = made.select("setting", "block", "body").groupBy("setting", "block").cogroup(found.where("block >= 0").groupBy("setting", "block"))
+    told = asked.applyInArrow(scored, f"setting string, split int, id {kind}, fold int, label string, class string, score double")
+    return told.withColumnRenamed("setting", by[0]) if by else told.drop("setting", "split")
+
+
+def _nb_empty(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    kind = dict(rows.dtypes)["id"]
+    keys = f"{by[0]} string, split int, " if by else ""
+    return rows.sparkSession.createDataFrame([], f"{keys}id {kind}, fold int, label string, class string, score double")
 
 
 def best_class(scores: DataFrame, by: tuple[str, ...] = ("id", "fold", "label")) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as by written, and what deletes the folder."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Tables of a version before they are merged.
 MOST_TABLES = 16
 
