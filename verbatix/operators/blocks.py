@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grams import Batch, Grams, chunks
+
 #: Features, repeated or not, of one block; rows that are packed by one task.
-TOKENS, ROWS = 1_500_000, 1000
+TOKENS, ROWS = 6_000_000, 1000
 #: Values that a part of the keys has to sum.
 VALUES = 12_000_000
-BLOCK = "setting string, block long, tokens long, n_feats long, top int, body binary"
+BLOCK = "setting string, block long, tokens long, cells long, n_feats long, top int, body binary"
 
 
 def packed(x: object) -> bytes:
@@ -42,13 +44,16 @@ class Rows:
 
     @classmethod
     def of_bags(cls, ids: list, labels: list, roles: np.ndarray, bags: list[np.ndarray]) -> Rows:
+        return cls.of_counts(ids, labels, roles, [np.unique(b, return_counts=True) for b in bags])
+
+    @classmethod
+    def of_counts(cls, ids: list, labels: list, roles: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        """bags: each row's distinct features in order, and how often they come."""
         order = np.argsort(np.array([str(x) for x in ids]), kind="stable")
         bags = [bags[i] for i in order]
-        flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
-        feats, col = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        cell, tf = np.unique(row * max(1, len(feats)) + col, return_counts=True)
-        row, col = np.divmod(cell, max(1, len(feats)))
+        feats, col = np.unique(np.concatenate([b for b, _ in bags]) if bags else np.zeros(0, np.int64), return_inverse=True)
+        tf = np.concatenate([n for _, n in bags]) if bags else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
         return cls([ids[i] for i in order], [labels[i] for i in order], roles[order], feats, row.astype(np.int32), col.astype(np.int32), tf.astype(np.int32))
 
     def pack(self) -> bytes:
@@ -80,14 +85,17 @@ def hashed(bag: Column) -> Column:
     return F.coalesce(F.transform(bag, lambda f: F.xxhash64(f)), F.array().cast("array<bigint>"))
 
 
-def blocks(rows: DataFrame, bag: Column, tokens: int = TOKENS) -> DataFrame:
-    """setting, block, tokens, n_feats, top (the largest role), body of rows (setting, id, label, roles, what bag reads).
+def blocks(rows: DataFrame, bag: Column | Grams, tokens: int | None = None) -> DataFrame:
+    """setting, block, tokens, cells (non-zeros), n_feats, top (the largest role), body of rows (setting, id, label, roles, what bag reads).
 
     Rows are dealt to tasks by id before their features are made, so texts are shuffled and not features.
+    A bag is an expression of strings, or Grams, which are made from the normalised text where rows are packed.
     """
+    tokens, made_here = tokens or TOKENS, isinstance(bag, Grams)
     n = max(1, -(-rows.select("id").count() // ROWS))
     dealt = rows.repartition(n, "id").sortWithinPartitions("setting", F.xxhash64(F.col("id").cast("string")), "id")
-    some = dealt.select("setting", "id", "label", F.col("roles").cast("array<int>").alias("roles"), hashed(bag).alias("bag"))
+    some = dealt.select("setting", "id", "label", F.col("roles").cast("array<int>").alias("roles"), bag.normal.alias("text") if made_here else hashed(bag).alias("bag"))
+    kinds, of = bag.kinds() if made_here else ([], {})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -99,25 +107,37 @@ def blocks(rows: DataFrame, bag: Column, tokens: int = TOKENS) -> DataFrame:
             nonlocal made
             got = held.pop(setting)
             roles = np.stack([r for _, _, r, _ in got]).astype(np.int16)
-            block = Rows.of_bags([i for i, _, _, _ in got], [y for _, y, _, _ in got], roles, [b for _, _, _, b in got])
+            block = Rows.of_counts([i for i, _, _, _ in got], [y for _, y, _, _ in got], roles, [b for _, _, _, b in got])
             made += 1
-            cells = [[setting], [at + made], [int(block.tf.sum())], [len(block.feats)], [int(roles.max(initial=-1))], [block.pack()]]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cells, kinds)], ["setting", "block", "tokens", "n_feats", "top", "body"])
+            cells = [[setting], [at + made], [int(block.tf.sum())], [len(block.tf)], [len(block.feats)], [int(roles.max(initial=-1))], [block.pack()]]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cells, types)], ["setting", "block", "tokens", "cells", "n_feats", "top", "body"])
+
+        def bags_of(batch: pa.RecordBatch, settings: list[str]) -> Iterator[np.ndarray]:
+            if not made_here:
+                bags = batch.column("bag")
+                ends, flat = bags.offsets.to_numpy(), bags.values.to_numpy()
+                for k in range(len(batch)):
+                    yield flat[ends[k] : ends[k + 1]]
+                return
+            texts = batch.column("text").to_pylist()
+            cut = [k for k in range(1, len(settings)) if settings[k] != settings[k - 1]]
+            for begin, end in zip([0, *cut], [*cut, len(settings)]):
+                for a, b in chunks(texts[begin:end]):
+                    yield from Batch(texts[begin + a : begin + b]).bags(of.get(settings[begin], kinds))
 
         size: dict[str, int] = {}
         for batch in batches:
             column = lambda name: batch.column(name).to_pylist()  # noqa: B023, E731
-            bags, roles = batch.column("bag"), batch.column("roles")
-            ends, flat = bags.offsets.to_numpy(), bags.values.to_numpy()
-            role = roles.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            for k, (setting, id_, label) in enumerate(zip(column("setting"), column("id"), column("label"))):
-                mine = flat[ends[k] : ends[k + 1]].copy()
+            settings = column("setting")
+            role = batch.column("roles").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for k, (setting, id_, label, mine) in enumerate(zip(settings, column("id"), column("label"), bags_of(batch, settings))):
                 if setting in held and size[setting] + len(mine) > tokens:
                     yield told(setting)
                 if setting not in held:
                     held[setting], size[setting] = [], 0
-                held[setting].append((id_, label, role[k].copy(), mine))
+                feats, tf = np.unique(mine, return_counts=True)
+                held[setting].append((id_, label, role[k].copy(), (feats, tf.astype(np.int32))))
                 size[setting] += len(mine)
         for setting in list(held):
             yield told(setting)

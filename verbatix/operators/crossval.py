@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.store import written
 from . import folds, linear, metrics, models
+from .grams import Grams
 
 #: A model of the user's own: from training texts and labels to a function from a text to a label.
 Factory = Callable[[list[str], list[str]], Callable[[str], str]]
@@ -31,11 +32,11 @@ def _with_cues(text: Column) -> Column:
 
 
 #: Naive Bayes models by name: their features and smoothing.
-NB: dict[str, tuple[Callable[[Column], Column], float]] = {
-    "nb": (lambda t: X.features(t, word=(1, 2)), 1.0),
-    "nb_char": (lambda t: X.features(t, char=(2, 4)), 1.0),
-    "nb_cues": (lambda t: X.features(_with_cues(t), word=(1, 2)), 1.0),
-    "cues": (lambda t: X.features(X.cue_text(t), word=(1, 1)), 0.5),
+NB: dict[str, tuple[Callable[[Column], Grams], float]] = {
+    "nb": (lambda t: Grams(t, word=(1, 2)), 1.0),
+    "nb_char": (lambda t: Grams(t, char=(2, 4)), 1.0),
+    "nb_cues": (lambda t: Grams(_with_cues(t), word=(1, 2)), 1.0),
+    "cues": (lambda t: Grams(X.cue_text(t), word=(1, 1)), 0.5),
 }
 #: Linear models by name: their options. All take words of 1 and 2 and characters of 3 and 4.
 LINEAR: dict[str, dict] = {
@@ -57,8 +58,8 @@ def lexicon(positive: str | None = None, min_count: int = 2, min_precision: floa
     return model
 
 
-def _both(text: Column) -> Column:
-    return X.features(text, word=(1, 2), char=(3, 4))
+def _both(text: Column) -> Grams:
+    return Grams(text, word=(1, 2), char=(3, 4))
 
 
 def _nb(name: str) -> Callable:
@@ -183,10 +184,12 @@ def grid_scores(rows: DataFrame, settings: list[tuple[str, str, str]], classes:
 
     counted = [x for x in settings if x[0] in NB]
     if counted:
-        bag = None
+        read, kinds = None, {}
         for m in sorted({m for m, _, _ in counted}):
-            mine = F.col("setting").startswith(f"{m}|")
-            bag = (F if bag is None else bag).when(mine, NB[m][0](F.col("text")))
+            grams = NB[m][0](F.col("text"))
+            read = (F if read is None else read).when(F.col("setting").startswith(f"{m}|"), grams.text)
+            kinds |= {f"{m}|{r}": (grams.word, grams.char) for n, r, _ in counted if n == m}
+        bag = Grams(read, of=tuple(kinds.items()))
         alpha = {f"{m}|{r}": NB[m][1] for m, r, _ in counted}
         scores = models.nb_cv(texts(counted, F.array(*[F.col(f"fold {s}") for s in splits]).alias("folds")), bag, classes, alpha=alpha, by=("setting",))
         found.append(models.best_class(scores.withColumn("setting", name(F.col("split"))), ("setting", "id", "fold", "label")))
@@ -219,16 +222,16 @@ def _curve_linear(rows: DataFrame, spec: linear.Spec, places: DataFrame, fractio
     trains = [F.col("r") - F.col("n_test") < folds.curve_size(F.lit(f)) for f in fractions]
     roles = F.array(*[F.when(F.col("r") < F.col("n_test"), linear.TEST).when(t, linear.TRAIN).otherwise(linear.NONE) for t in trains])
     reps = [r.rep for r in places.select("rep").distinct().collect()]
-    examples = rows.select("id", "label", group, _both(F.col("text")).alias("bag")).join(places, group).select(F.col("rep").cast("string").alias("setting"), "id", "label", "bag", roles.alias("roles"))
-    return linear.train(examples, {str(r): spec for r in reps}, len(fractions)).select(F.col("setting").cast("int").alias("rep"), F.col("model").alias("at"), "label", "pred")
+    examples = rows.select("id", "label", group, "text").join(places, group).select(F.col("rep").cast("string").alias("setting"), "id", "label", "text", roles.alias("roles"))
+    return linear.train(examples, {str(r): spec for r in reps}, len(fractions), bag=_both(F.col("text"))).select(F.col("setting").cast("int").alias("rep"), F.col("model").alias("at"), "label", "pred")
 
 
-def _curve_nb(rows: DataFrame, bag: Column, alpha: float, classes: list[str], places: DataFrame, fractions: tuple[float, ...], group: str) -> DataFrame:
+def _curve_nb(rows: DataFrame, bag: Grams, alpha: float, classes: list[str], places: DataFrame, fractions: tuple[float, ...], group: str) -> DataFrame:
     """rep, at, label, pred by Naive Bayes: counts are made once per feature and group; a part's counts are sums over a beginning of the repeat's list."""
     fs, k = range(len(fractions)), range(len(classes))
     within = [(F.col("r") >= F.col("n_test")) & (F.col("r") - F.col("n_test") < folds.curve_size(F.lit(f))) for f in fractions]
     if_ = lambda i, c: F.coalesce(F.sum(F.when(within[i], F.col(f"k{c}"))), F.lit(0)).alias(f"s{i}_{c}")
-    x = models.exploded(rows, bag, "label", group)
+    x = models.exploded(rows, X.features(bag.text, bag.word, bag.char), "label", group)
     at = lambda n: [F.sum(F.when(F.col("label") == c, F.col(n)).otherwise(0)).alias(f"k{j}") for j, c in enumerate(classes)]
     counts = x.groupBy("feat", group).agg(*at("tf")).join(places, group).groupBy("rep", "feat").agg(*[if_(i, c) for i in fs for c in k])
     known = [F.count_if(sum(F.col(f"s{i}_{c}") for c in k) > 0).alias(f"v{i}") for i in fs]

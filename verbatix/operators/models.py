@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.store import written
 from . import blocks as B
+from .grams import Grams
 
 
 def exploded(rows: DataFrame, bag: Column, *keep: str) -> DataFrame:
@@ -91,7 +92,7 @@ def _of(a: DataFrame, b: DataFrame, by: tuple[str, ...], how: str = "inner") ->
     return a.join(F.broadcast(b), list(by), how) if by else a.crossJoin(F.broadcast(b))
 
 
-def nb_cv(rows: DataFrame, bag: Column, classes: list[str], alpha: float | dict[str, float] = 1.0, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+def nb_cv(rows: DataFrame, bag: Column | Grams, classes: list[str], alpha: float | dict[str, float] = 1.0, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """by, id, fold, label, class, score: each row under the model of the other folds.
 
     log prior (not smoothed) plus tf * ln((count + alpha) / (total + alpha * V)) over all of its

@@ -110,11 +110,19 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(text) -> F.Column:
-    """Abuse words as [FSLUR_nn], e-mail addresses as [CTX_01]: one pass marks the words, plain replacements number them."""
-    s = F.regexp_replace(text, r"(?i)(?<![A-Za-z0-9_])(" + "|".join(ABUSE) + r")(?![A-Za-z0-9_])", "[FSLUR_$1]")
-    for k, w in enumerate(ABUSE, 1):
-        s = F.regexp_replace(s, rf"(?i)\[FSLUR_{w}\]", f"[FSLUR_{k:02d}]")
-    return F.regexp_replace(s, EMAIL, "[CTX_01]")
+    """Abuse words as [FSLUR_nn], e-mail addresses as [CTX_01]: one pass marks the words, plain replacements number them.
+
+    Texts without the character that a replacement needs are not searched for it.
+    """
+
+    def numbered(s):
+        for k, w in enumerate(ABUSE, 1):
+            s = F.regexp_replace(s, rf"(?i)\[FSLUR_{w}\]", f"[FSLUR_{k:02d}]")
+        return s
+
+    with_ = lambda s, c, changed: F.when(F.contains(s, F.lit(c)), changed).otherwise(s)
+    marked = F.regexp_replace(text, r"(?i)(?<![A-Za-z0-9_])(" + "|".join(ABUSE) + r")(?![A-Za-z0-9_])", "[FSLUR_$1]")
+    return X.let(X.let(marked, lambda s: with_(s, "[", numbered(s))), lambda s: with_(s, "@", F.regexp_replace(s, EMAIL, "[CTX_01]")))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
