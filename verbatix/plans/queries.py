@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import crossval, folds, generate, linear, metrics, models, profile, prompts, scoring
+from ..operators import crossval, folds, generate, grams, linear, metrics, models, profile, prompts, scoring
+from ..operators.grams import Grams
 from ..sources import corpus as C
 from ..sources.store import scratch, written
 
@@ -48,6 +49,11 @@ def masked_bag(text: Column = None, word=(1, 2)) -> Column:
     return X.features(X.represent(col("text") if text is None else text, "masked"), word=word)
 
 
+def masked_grams() -> Grams:
+    """The same features, made where rows are packed."""
+    return Grams(X.represent(col("text"), "masked"), word=(1, 2))
+
+
 def rule(s, d) -> DataFrame:
     """The redacted corpus with the presence rule's prediction."""
     return redacted(s, d).withColumn("pred", F.when(col("text").rlike(X.TOKEN), "MGY").otherwise("NOT"))
@@ -64,7 +70,7 @@ def by_source(s, d) -> DataFrame:
 
 
 def nb_scores_(s, d) -> DataFrame:
-    return models.nb_cv(by_source(s, d), masked_bag(), BINARY, alpha=1.0, min_df=2)
+    return models.nb_cv(by_source(s, d), masked_grams(), BINARY, alpha=1.0, min_df=2)
 
 
 def nb_fold_metrics(s, d) -> DataFrame:
@@ -226,7 +232,7 @@ def word_ngrams(s, d):
 
 @query
 def char_ngrams(s, d):
-    return models.document_frequency(redacted(s, d), X.char_ngrams(col("text"), 2, 4))
+    return grams.frequency(redacted(s, d), Grams(col("text"), char=(2, 4)))
 
 
 @query
@@ -342,12 +348,12 @@ def nb_predict(s, d):
 @query
 def nb_cues_predict(s, d):
     text = F.concat_ws(" ", X.represent(col("text"), "masked"), F.nullif(F.array_join(X.cues(col("text")), " "), lit("")))
-    return models.best_class(models.nb_cv(gen(s, d), X.features(text, word=(1, 2)), BINARY))
+    return models.best_class(models.nb_cv(gen(s, d), Grams(text, word=(1, 2)), BINARY))
 
 
 @query
 def cues_only_predict(s, d):
-    return models.best_class(models.nb_cv(gen(s, d), X.features(X.cue_text(col("text")), word=(1, 1)), BINARY, alpha=0.5))
+    return models.best_class(models.nb_cv(gen(s, d), Grams(X.cue_text(col("text")), word=(1, 1)), BINARY, alpha=0.5))
 
 
 @query
@@ -517,12 +523,12 @@ def learning_curve_gain(s, d):
 # linear models, grids and curves
 @query
 def logreg_cv(s, d):
-    return linear.cross_validated(gen(s, d), X.features(X.represent(col("text"), "stripped"), word=(1, 2), char=(3, 4)), linear.Spec())
+    return linear.cross_validated(gen(s, d), Grams(X.represent(col("text"), "stripped"), word=(1, 2), char=(3, 4)), linear.Spec())
 
 
 @query
 def svm_cv(s, d):
-    return linear.cross_validated(gen(s, d), X.features(X.represent(col("text"), "masked"), word=(1, 2)), linear.Spec("svm", lam=5e-3, epochs=120))
+    return linear.cross_validated(gen(s, d), masked_grams(), linear.Spec("svm", lam=5e-3, epochs=120))
 
 
 def subtypes(s, d) -> DataFrame:
