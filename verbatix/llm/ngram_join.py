@@ -109,7 +109,10 @@ def _u64(data: list[bytes]) -> np.ndarray:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows: doc_id, cls, other, n, text_hash for each document (cls, other: 128 bits of its set's hash; n its size), and cls, common: first shingles of the set that another set has."""
+    """Two kinds of rows: doc_id, cls, other, n, text_hash for each document (cls, other: 128 bits of its set's hash; n its size), and cls, common: first shingles of the set that another set has, for sets that have enough of them.
+
+    What a bucket of shingles knows of its sets goes to the sets' buckets as one message each, and is added up there.
+    """
     n_buckets = parts(docs, 8)
     out = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
 
@@ -157,26 +160,17 @@ def counted(docs: DataFrame) -> DataFrame:
         yield from flush()
         _words.clear()
 
-    result = "doc_id long, cls long, other long, n long, text_hash long, common long"
-    schema = pa.schema([(x.split()[0], pa.int64()) for x in result.split(", ")])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, m = [], [], []
-        nothing = lambda n: pa.nulls(n, pa.int64())
-
-        def of_sets(cls: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
-            n = len(cls)
-            return pa.record_batch([nothing(n), pa.array(cls.view(np.int64)), nothing(n), nothing(n), nothing(n), pa.array(common.astype(np.int64))], schema=schema)
-
         for batch in batches:
             for _, kind, a, b, x, y, z in pairs(batch):
                 if kind == 0:
-                    n = np.frombuffer(y, np.uint64)
-                    null = (n >> np.uint64(63)).astype(bool)
-                    n = (n & np.uint64((1 << 63) - 1)).astype(np.int64)
-                    yield pa.record_batch([pa.array(np.frombuffer(a, np.int64), mask=null), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(x, np.int64)), pa.array(n), pa.array(np.frombuffer(z, np.int64)), nothing(len(n))], schema=schema)
+                    # documents stay in one message, and their sets' sizes go to the sets
+                    yield to_batch([(TaskContext.get().partitionId() % n_buckets, 0, a, b, x, y, z)], out)
+                    of, size = np.unique(np.stack([np.frombuffer(b, np.uint64), np.frombuffer(y, np.uint64) & np.uint64((1 << 63) - 1)]), axis=1)
+                    yield to_batch([(i, 3, *both, None, None, None) for i, *both in _by_bucket(of, n_buckets, of, size)], out)
                 elif kind == 2:
-                    yield of_sets(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+                    yield to_batch([(i, 2, *both, None, None, None) for i, *both in _by_bucket(np.frombuffer(a, np.uint64), n_buckets, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))], out)
                 else:
                     h.append(a)
                     c.append(b)
@@ -192,11 +186,43 @@ def counted(docs: DataFrame) -> DataFrame:
             # a set counts once for a shingle here; where its block has counted it, not again
             mine = np.repeat(shared, np.diff(np.r_[start, len(h)])) & new_c & (m == 0)
             if mine.any():
-                yield of_sets(*np.unique(c[mine], return_counts=True))
+                of, times = np.unique(c[mine], return_counts=True)
+                yield to_batch([(i, 2, *both, None, None, None) for i, *both in _by_bucket(of, n_buckets, of, times.astype(np.uint64))], out)
+
+    result = "doc_id long, cls long, other long, n long, text_hash long, common long"
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in result.split(", ")])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = lambda n: pa.nulls(n, pa.int64())
+        found, sizes = [], []
+        for batch in batches:
+            for _, kind, a, b, x, y, z in pairs(batch):
+                if kind == 0:
+                    n = np.frombuffer(y, np.uint64)
+                    null = (n >> np.uint64(63)).astype(bool)
+                    n = (n & np.uint64((1 << 63) - 1)).astype(np.int64)
+                    yield pa.record_batch([pa.array(np.frombuffer(a, np.int64), mask=null), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(x, np.int64)), pa.array(n), pa.array(np.frombuffer(z, np.int64)), nothing(len(n))], schema=schema)
+                else:
+                    (found if kind == 2 else sizes).append((a, b))
+        if not found:
+            return
+        c, at = np.unique(_u64([a for a, _ in found]), return_inverse=True)
+        common = np.zeros(len(c), np.int64)
+        np.add.at(common, at, _u64([b for _, b in found]).astype(np.int64))
+        # sets that share cls are judged by the smallest here, and each by its own size later
+        of, size = _u64([a for a, _ in sizes]), _u64([b for _, b in sizes]).astype(np.int64)
+        order = np.lexsort((size, of))
+        of, size = of[order], size[order]
+        n = size[np.searchsorted(of, c)]
+        enough = common >= np.maximum(1, _least(n) // 8)
+        c, common = c[enough], common[enough]
+        yield pa.record_batch([nothing(len(c)), pa.array(c.view(np.int64)), nothing(len(c)), nothing(len(c)), nothing(len(c)), pa.array(common)], schema=schema)
 
     rows = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    dealt = arrow_map(rows, sketch, "bucket int, kind int, a binary, b binary, c binary, d binary, e binary").repartition(n_buckets, "bucket")
-    return staged(arrow_map(dealt, count, result), "counted")
+    messages = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
+    dealt = arrow_map(rows, sketch, messages).repartition(n_buckets, "bucket")
+    told = arrow_map(dealt, count, messages).repartition(n_buckets, "bucket")
+    return staged(arrow_map(told, add, result), "counted")
 
 
 BLOCK_DDL = "block long, cls binary, n binary, size binary, hashes binary"
