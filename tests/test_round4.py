@@ -1,6 +1,9 @@
 """Counts of shared shingles meet by set before they become rows."""
 
+from pyspark.sql import functions as F
+
 from verbatix.llm import ngram_join
+from verbatix.operators import grams, linear
 
 
 def test_a_set_is_told_once(spark, monkeypatch):
@@ -22,3 +25,15 @@ def test_a_set_is_told_once(spark, monkeypatch):
         assert all(found[k] == k - k % 2 for k in range(24)) and all(found[k] == k for k in range(24, len(texts)))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_shards_are_alone_and_steps_are_those_of_a_plain_loop(spark):
+    """Names of several rows count once; every hash partition of a setting with several shards holds one of them."""
+    rows = spark.createDataFrame([(k, f"good fine x{k % 9} common" if k % 2 else f"bad poor y{k % 9} common", "POS" if k % 2 else "NEG") for k in range(90)], "id long, text string, label string")
+    bag = grams.Grams(F.col("text"), word=(1, 2))
+    examples = rows.select("*", F.lit("s").alias("setting"), F.array(F.lit(linear.TRAIN)).alias("roles"))
+    for cells in (linear.CELLS, 800):
+        weights = linear.train(examples, {"s": linear.Spec(names=("NEG", "POS"), epochs=20)}, 1, weights=True, cells=cells, bag=bag)
+        top = linear.top(weights, grams.names(rows.repartition(5), bag), 3).collect()
+        assert len({r.feat for r in top}) == 6 and all((r.weight > 0) == (r.side == "top") for r in top)
+        assert {r.feat for r in top} & {"w1:good", "w1:fine", "w2:good_fine"} and {r.feat for r in top} & {"w1:bad", "w1:poor", "w2:bad_poor"}
