@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verbatix.functions import text as X
 from verbatix.operators import blocks as B
 from verbatix.operators import grams as G
-from verbatix.operators import models
+from verbatix.operators import linear, models
 from verbatix.sources import corpus as C
 
 TEXTS = ["the cat, the CAT", "a_b c a b_c", "", "   ", None, "ä\U0001f600b \U0001f600 ab", "one", "x y  z w. [q]"]
@@ -49,3 +49,30 @@ def test_redaction_skips_only_texts_without_its_marks(spark):
     rows = ["you Idiot", "[fslur_idiot] a", "a@b.c idiot", "plain", None, "x[FSLUR_MORON]@"]
     got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "id long, text string").orderBy("id").select(C.redact(F.col("text")).alias("t")).collect()]
     assert got == ["you [FSLUR_03]", "[FSLUR_03] a", "[CTX_01] [FSLUR_03]", "plain", None, "x[FSLUR_06]@"]
+
+
+def test_names_of_candidates_alone(spark):
+    """Names are made once for both ends, and of the features at them alone; too many candidates get all names. The result is that of all names."""
+    rows = spark.createDataFrame([(k, f"w{k:02d} common x{k % 3}") for k in range(30)], "id long, text string")
+    bag, asked = G.Grams(F.col("text"), word=(1, 1)), []
+    every = {r.name: r.feat for r in G.names(rows, bag).collect()}
+    weights = spark.createDataFrame([(every[f"w1:w{k:02d}"], float(max(k, 3) - 15)) for k in range(30)], "feat long, weight double")
+
+    def names(feats):
+        asked.append(feats)
+        return G.names(rows, bag, feats)
+
+    want = linear.top(weights, G.names(rows, bag), 2).collect()
+    got = linear.top(weights, names, 2).collect()
+    assert got == want and [r.feat for r in got if r.side == "bottom"] == ["w1:w00", "w1:w01"]
+    # four features tie at the lower border
+    assert len(asked) == 1 and len(asked[0]) == 6 and {r.name for r in names(asked[0]).collect()} == {f"w1:w{k:02d}" for k in (0, 1, 2, 3, 28, 29)}
+
+
+def test_more_candidates_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(linear, "CANDIDATES", 3)
+    rows = spark.createDataFrame([(k, f"w{k}") for k in range(9)], "id long, text string")
+    bag, asked = G.Grams(F.col("text"), word=(1, 1)), []
+    weights = G.names(rows, bag).select("feat", F.lit(1.0).alias("weight"))
+    got = linear.top(weights, lambda feats: asked.append(feats) or G.names(rows, bag, feats), 2).where("side = 'top'").collect()
+    assert asked == [None] and [r.feat for r in got] == ["w1:w0", "w1:w1"]

@@ -139,9 +139,10 @@ def frequency(rows: DataFrame, grams: Grams) -> DataFrame:
     return texts.select("texts").mapInArrow(count, "feat string, df long, tf long").groupBy("feat").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
-def names(rows: DataFrame, grams: Grams) -> DataFrame:
-    """feat (hash), name of the features of rows (what grams read), once for each stretch of texts."""
+def names(rows: DataFrame, grams: Grams, feats: list[int] | None = None) -> DataFrame:
+    """feat (hash), name of the features of rows (what grams read), once for each stretch of texts; feats: of these alone."""
     kinds, _ = grams.kinds()
+    wanted = None if feats is None else np.array(sorted(feats), np.int64)
     schema = pa.schema([("feat", pa.int64()), ("name", pa.string())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +153,9 @@ def names(rows: DataFrame, grams: Grams) -> DataFrame:
                 for kind, n in kinds:
                     begin, end, h = some.hashes(kind, n)
                     h, first = np.unique(h, return_index=True)
+                    if wanted is not None:
+                        asked = np.isin(h, wanted, assume_unique=True)
+                        h, first = h[asked], first[asked]
                     found = [some.name(kind, n, x, y) for x, y in zip(begin[first].tolist(), end[first].tolist())]
                     yield pa.record_batch([pa.array(h), pa.array(found, pa.string())], schema=schema)
 

@@ -543,11 +543,12 @@ def three_way(s, d) -> DataFrame:
 @query
 def top_features(s, d):
     """The heaviest features of the subtypes' logistic model, tokens masked."""
-    rows = subtypes(s, d)
+    # read twice, for the features and for their names
+    rows = written(subtypes(s, d).select("id", "label", "text"))
     bag = masked_grams()
     examples = rows.select(lit("all").alias("setting"), "id", "label", "text", F.array(lit(linear.TRAIN)).alias("roles"))
     weights = linear.train(examples, {"all": linear.Spec(names=("CONTEXT", "STRONG"), epochs=150, l2=1e-3)}, 1, weights=True, bag=bag)
-    return linear.top(written(weights), grams.names(rows, bag), 12)
+    return linear.top(written(weights), lambda feats: grams.names(rows, bag, feats), 12)
 
 
 def pairs(rows: DataFrame) -> DataFrame:
