@@ -23,6 +23,10 @@ from .grams import Batch, Grams, chunks
 TOKENS, ROWS = 6_000_000, 1000
 #: Values that a part of the keys has to sum.
 VALUES = 12_000_000
+#: Of a block that keeps texts: distinct features, characters, and rows that a task packs if there are tasks enough.
+FEATS, CHARS, LONG = 400_000, 24_000_000, 8000
+#: Parts that counted blocks send; fewer are put together where they are summed.
+BINS = 128
 BLOCK = "setting string, block long, tokens long, cells long, n_feats long, top int, body binary"
 
 
@@ -160,26 +164,31 @@ def pieces_of(setting: str, block: int, keys: np.ndarray, vals: np.ndarray, part
     return batch_of({"setting": ([setting] * n, pa.string()), "block": ([block] * n, pa.int64()), "part": ([p for p, _ in found], pa.int32()), "body": ([packed((keys[at], vals[at])) for _, at in found], pa.binary())})
 
 
-def summed(pieces: DataFrame, answer: Callable[[str, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, object]]) -> DataFrame:
+def summed(pieces: DataFrame, answer: Callable[[str, np.ndarray, np.ndarray, np.ndarray], tuple], read: Callable[[str, bytes], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """For each piece (setting, block, part, body) the same keys with the answer's values; a row with block -1 and the part's own result.
 
     answer: from the setting, a part's sorted keys, the sums of their values and how many blocks hold each to
-    values by key and a result.
+    values by key, a result and, if some keys need no answer, which do. read: from a setting and a body to keys
+    and values. A block may have several pieces in a part if no key is in two of them.
     """
 
     def add(table: pa.Table) -> pa.Table:
         setting, part = table.column("setting")[0].as_py(), table.column("part")[0].as_py()
-        each = [unpacked(b) for b in table.column("body").to_pylist()]
+        each = [read(setting, b) if read else unpacked(b) for b in table.column("body").to_pylist()]
         keys, inverse = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-        total = np.zeros((len(keys), each[0][1].shape[1]), np.int64 if each[0][1].dtype.kind == "i" else np.float64)
+        total = np.zeros((len(keys), each[0][1].shape[1]), np.float64 if each[0][1].dtype.kind == "f" else np.int64)
         holders, at, ends = np.bincount(inverse, minlength=len(keys)), 0, []
         for k, v in each:
             here = inverse[at : (at := at + len(k))]
             total[here] += v  # a block has a key once
             ends.append(here)
-        back, result = answer(setting, keys, total, holders)
+        each = [k for k, _ in each]
+        back, result, *needed = answer(setting, keys, total, holders)
+        if needed:
+            some = [needed[0][here] for here in ends]
+            each, ends = [k[x] for k, x in zip(each, some)], [here[x] for here, x in zip(ends, some)]
         n = len(each)
-        bodies = [packed((k, back[here])) for (k, _), here in zip(each, ends)]
+        bodies = [packed((k, back[here])) for k, here in zip(each, ends)]
         return pa.table({"setting": pa.array([setting] * (n + 1), pa.string()), "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (n + 1), pa.int32()), "body": pa.array([*bodies, packed(result)], pa.binary())})
 
     return pieces.groupBy("setting", "part").applyInArrow(add, PIECE)
@@ -194,3 +203,102 @@ def gathered(feats: np.ndarray, bodies: list[bytes], width: int, dtype=np.float6
     return out
 
 
+
+
+def stretches(held: list, kinds: list[tuple[str, int]]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Begin, end and bags of stretches of rows; held: texts whose features are made here, or bags."""
+    if held and isinstance(held[0], np.ndarray):
+        yield 0, len(held), held
+        return
+    for a, b in chunks(held):
+        yield a, b, Batch(held[a:b]).bags(kinds)
+
+
+def counted_blocks(rows: DataFrame, bag: Column | Grams, count: Callable[[Rows, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """setting, block, part, n_feats, top (the largest role), body: blocks that keep texts and know the counts of their features.
+
+    rows and bag as those of blocks(). For each block: as part -2 its rows, packed (ids, labels, roles, texts or
+    bags); as part -1 what count gives for all of its rows, summed; as parts from 0 on its features with what
+    count gives by feature, as whole numbers. count: from rows and the number of roles to both. Texts take
+    a fraction of the room of their features, so features are made again where they are scored; what a task
+    holds is bounded by the distinct features of a block.
+    """
+    made_here = isinstance(bag, Grams)
+    n = max(1, rows.select("id").count())
+    tasks = min(-(-n // ROWS), max(-(-n // LONG), 2 * rows.sparkSession.sparkContext.defaultParallelism)) if made_here else -(-n // ROWS)
+    dealt = rows.repartition(tasks, "id").sortWithinPartitions("setting", F.xxhash64(F.col("id").cast("string")), "id")
+    some = dealt.select("setting", "id", "label", F.col("roles").cast("array<int>").alias("roles"), (bag.normal if made_here else hashed(bag)).alias("held"))
+    (kinds, of), feats, chars = bag.kinds() if made_here else ([], {}), FEATS, CHARS
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        setting, held, known = None, [], None
+
+        def added(now: tuple | None, keys: np.ndarray, values: np.ndarray, sums: np.ndarray) -> tuple:
+            if now is None:
+                return keys, values, sums
+            every = np.union1d(now[0], keys)
+            out = []
+            for a, b, rows_ in ((now[1], values, (now[0], keys)), (now[2], sums, None)):
+                # roles may rise from one stretch to the next: by key, split, role and count
+                shape = (len(every) if rows_ else 1, *np.maximum(a.shape[1:], b.shape[1:]))
+                both = np.zeros(shape, a.dtype)
+                for x, k in zip((a, b), rows_ or (None, None)):
+                    at = np.searchsorted(every, k) if rows_ else np.zeros(1, int)
+                    both[at, :, : x.shape[2]] += x
+                out.append(both)
+            return every, *out
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            block += 1
+            keys, values, sums = known
+            body = packed(([i for i, _, _, _ in held], [y for _, y, _, _ in held], np.stack([r for _, _, r, _ in held]).astype(np.int16), [x for _, _, _, x in held]))
+            part = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(BINS)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(BINS + 1))
+            parts, bodies = [-2, -1], [body, packed(sums)]
+            for p in range(BINS):
+                at = order[ends[p] : ends[p + 1]]
+                if len(at):
+                    few = np.ascontiguousarray(values[at].reshape(len(at), -1).T)  # mostly zeros
+                    parts.append(p)
+                    bodies.append(packed((np.diff(keys[at], prepend=0), few.astype(np.min_scalar_type(int(few.max(initial=0)))), values.shape[1:])))
+            m = len(parts)
+            for a in range(0, m, 32):
+                b = min(m, a + 32)
+                yield batch_of({"setting": ([setting] * (b - a), pa.string()), "block": ([block] * (b - a), pa.int64()), "part": (parts[a:b], pa.int32()), "n_feats": ([len(keys)] * (b - a), pa.int64()), "top": ([sums.shape[2] - 1] * (b - a), pa.int32()), "body": (bodies[a:b], pa.binary())})
+
+        for batch in batches:
+            column = lambda name: batch.column(name).to_pylist()  # noqa: B023, E731
+            settings, ids, labels = column("setting"), column("id"), column("label")
+            role = batch.column("roles").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            texts = column("held") if made_here else [np.array(x, np.int64) for x in column("held")]
+            cut = [k for k in range(1, len(settings)) if settings[k] != settings[k - 1]]
+            for begin, end in zip([0, *cut], [*cut, len(settings)]):
+                if held and settings[begin] != setting:
+                    yield from told()
+                    held, known = [], None
+                setting = settings[begin]
+                for a, b, bags in stretches(texts[begin:end], of.get(setting, kinds)):
+                    a, b = begin + a, begin + b
+                    here = Rows.of_bags(ids[a:b], labels[a:b], role[a:b].astype(np.int16), bags)
+                    known = added(known, here.feats, *count(here, max(1, int(here.roles.max(initial=-1)) + 1)))
+                    held += [(ids[k], labels[k], role[k].copy(), texts[k]) for k in range(a, b)]
+                    if len(known[0]) >= feats or sum(len(x or "") if made_here else len(x) for _, _, _, x in held) >= chars:
+                        yield from told()
+                        held, known = [], None
+        if held:
+            yield from told()
+
+    return some.mapInArrow(pack, "setting string, block long, part int, n_feats long, top int, body binary")
+
+
+def counted_piece(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a piece of counted_blocks, with n roles."""
+    keys, few, shape = unpacked(body)
+    values = np.zeros((few.shape[1], shape[0], n, shape[2]), np.int32)
+    values[:, :, : shape[1]] = few.T.reshape(-1, *shape)
+    return np.cumsum(keys), values.reshape(len(values), -1)

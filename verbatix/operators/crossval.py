@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.store import written
+from ..sources.store import written, written_for_now
 from . import folds, linear, metrics, models
 from .grams import Grams
 
@@ -168,10 +168,13 @@ def summary(scored: DataFrame, classes: list[str], pairs: DataFrame | None = Non
 def grid_scores(rows: DataFrame, settings: list[tuple[str, str, str]], classes: list[str], k: int = K, seed: int = 12345, group: str = "template") -> DataFrame:
     """model, representation, split, id, fold, label, pred of every setting, from one scan of rows."""
     kinds, splits = sorted({r for _, r, _ in settings}), sorted({s for _, _, s in settings})
-    base = rows.select("id", "label", group, *[X.represent(F.col("text"), r).alias(f"text {r}") for r in kinds]).drop("fold")
+    # texts and groups are made once, and folds are dealt to rows without their texts
+    base, drop = written_for_now(rows.select(F.monotonically_increasing_id().alias("row"), "id", "label", group, *[X.represent(F.col("text"), r).alias(f"text {r}") for r in kinds]))
+    dealt = base.select("row", "id", "label", group)
     for s in splits:
-        base = _dealt(base, s, k, seed, group).withColumnRenamed("fold", f"fold {s}")
-    base = written(base)
+        dealt = _dealt(dealt, s, k, seed, group).withColumnRenamed("fold", f"fold {s}")
+    base = written(base.join(dealt.select("row", *[f"fold {s}" for s in splits]), "row").drop("row"))
+    drop()
     of = lambda r, s: [F.col(f"text {r}").alias("text"), F.col(f"fold {s}").alias("fold")]
     found = []
     name = lambda split: F.concat("setting", F.lit("|"), F.element_at(F.array(*[F.lit(x) for x in splits]), split + 1))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.store import written
+from ..sources.store import written, written_for_now
 from . import blocks as B
 from .grams import Grams
 
@@ -50,6 +50,10 @@ def lexicon(rows: DataFrame, positive: str = "MGY", min_count: int = 2, min_prec
     return n.withColumn("precision", F.col("pos") / F.col("total")).where((F.col("total") >= min_count) & (F.col("precision") >= min_precision))
 
 
+#: Words (by fold) of a lexicon that is broadcast.
+LISTED = 200_000
+
+
 def lexicon_cv(rows: DataFrame, positive: str = "MGY", negative: str = "NOT", min_count: int = 2, min_precision: float = 0.9) -> DataFrame:
     """rows with pred: positive where a word is in the lexicon of the other folds."""
     seen = rows.select("id", "fold", "label", F.explode(F.array_distinct(X.word_tokens(F.col("text")))).alias("token"))
@@ -57,7 +61,9 @@ def lexicon_cv(rows: DataFrame, positive: str = "MGY", negative: str = "NOT", mi
     w = Window.partitionBy("token")
     rest = own.select("token", "fold", (F.sum("n").over(w) - F.col("n")).alias("n"), (F.sum("m").over(w) - F.col("m")).alias("m"))
     listed = rest.where((F.col("n") >= min_count) & (F.col("m") >= min_precision * F.col("n"))).select("token", "fold")
-    hits = seen.join(listed, ["token", "fold"]).select("id").distinct().withColumn("hit", F.lit(True))
+    listed = written(listed)
+    # a list of some 100,000 words goes to the rows' tokens; a longer one meets them by a shuffle
+    hits = seen.join(F.broadcast(listed) if listed.count() <= LISTED else listed, ["token", "fold"]).select("id").distinct().withColumn("hit", F.lit(True))
     return rows.join(hits, "id", "left").withColumn("pred", F.when(F.col("hit"), positive).otherwise(negative)).drop("hit")
 
 
@@ -101,93 +107,107 @@ def nb_cv(rows: DataFrame, bag: Column | Grams, classes: list[str], alpha: float
     for every row, with folds, an array of the row's folds under several splits, in place of fold; the
     result has split, the fold's place. alpha may then differ by setting.
 
-    Rows are packed in blocks once (operators/blocks.py); features meet by their 64-bit hashes.
+    Rows are packed in blocks once (operators/blocks.py), as texts; features meet by their 64-bit hashes and are
+    made twice, where they are counted and where rows are scored. A feature of one row has no answer: the
+    other rows don't have it.
     """
     k, kind = len(classes), dict(rows.dtypes)["id"]
     roles = F.col("folds") if by else F.array("fold")
     some = rows.withColumns({"setting": F.col(by[0]) if by else F.lit(""), "roles": roles})
-    made = written(B.blocks(some, bag))
-    sizes = {r.setting: r for r in made.groupBy("setting").agg(F.sum("n_feats").alias("n"), (F.max("top") + 1).alias("k")).collect()}
-    if not sizes:
-        return _nb_empty(rows, by)
-    n_splits = len(rows.select("folds").first()[0]) if by else 1
-    n_folds = {s: max(1, r.k) for s, r in sizes.items()}
-    width = {s: n_splits * n * (1 + k) for s, n in n_folds.items()}
-    parts = {s: max(1, -(-r.n * width[s] // B.VALUES)) for s, r in sizes.items()}
+    at_class = {c: i for i, c in enumerate(classes)}
 
-    def counted(setting: str, block: B.Rows) -> tuple[np.ndarray, np.ndarray]:
+    def counted(block: B.Rows, n: int) -> tuple[np.ndarray, np.ndarray]:
         """By feature, split and fold: rows, and occurrences in each class; by split and fold: rows, and those of each class."""
-        n, at = n_folds[setting], {c: i for i, c in enumerate(classes)}
-        y = np.array([at.get(x, -1) for x in block.labels], np.int64)
-        out, docs = np.zeros((len(block.feats), n_splits, n, 1 + k), np.int32), np.zeros((n_splits, n, 1 + k), np.int64)
+        y = np.array([at_class.get(x, -1) for x in block.labels], np.int64)
+        n_splits = block.roles.shape[1]
+        out, docs = np.zeros((len(block.feats), n_splits, n, 1 + k), np.int32), np.zeros((1, n_splits, n, 1 + k), np.int64)
         flat, known = out.reshape(-1), y >= 0
         cells = block.col.astype(np.int64) * (n_splits * n * (1 + k))
         for s in range(n_splits):
             fold = block.roles[:, s].astype(np.int64)
             dealt = fold >= 0
-            np.add.at(docs, (s, fold[dealt], 0), 1)
-            np.add.at(docs, (s, fold[dealt & known], 1 + y[dealt & known]), 1)
+            np.add.at(docs, (0, s, fold[dealt], 0), 1)
+            np.add.at(docs, (0, s, fold[dealt & known], 1 + y[dealt & known]), 1)
             base = cells + (s * n + fold[block.row]) * (1 + k)
             on = dealt[block.row]
-            flat += np.bincount(base[on], minlength=len(flat)).astype(np.int32)
+            np.add.at(flat, base[on], 1)
             on &= known[block.row]
-            flat += np.bincount(base[on] + 1 + y[block.row][on], block.tf[on], len(flat)).astype(np.int32)
-        return out.reshape(len(block.feats), -1), docs
-
-    def count(batches):
-        for batch in batches:
-            for setting, n, body in zip(*[batch.column(c).to_pylist() for c in ("setting", "block", "body")]):
-                block = B.Rows.unpack(body)
-                values, docs = counted(setting, block)
-                yield B.pieces_of(setting, n, block.feats, values, parts[setting])
-                yield B.batch_of({"setting": ([setting], pa.string()), "block": ([n], pa.int64()), "part": ([-1], pa.int32()), "body": ([B.packed(docs)], pa.binary())})
-
-    def answer(setting: str, keys: np.ndarray, total: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the other folds hold: occurrences by class, -1 where the model doesn't know the feature; by split and fold the known features and their occurrences."""
+            np.add.at(flat, base[on] + 1 + y[block.row][on], block.tf[on])
+        return out, docs
+
+    made, drop = written_for_now(B.counted_blocks(some, bag, counted))
+    sizes = {r.setting: r for r in made.where("part = -2").groupBy("setting").agg(F.sum("n_feats").alias("n"), (F.max("top") + 1).alias("k")).collect()}
+    if not sizes:
+        drop()
+        return _nb_empty(rows, by)
+    n_folds = {s: max(1, r.k) for s, r in sizes.items()}
+    # by setting, split and fold: rows, rows of each class, known features, their occurrences in each class
+    docs, sums = ({s: 0 for s in sizes} for _ in range(2))
+    for r in made.where("part = -1").select("setting", "body").toLocalIterator():
+        one = B.unpacked(bytes(r.body))[0]
+        docs[r.setting] = docs[r.setting] + np.pad(one, ((0, 0), (0, n_folds[r.setting] - one.shape[1]), (0, 0)))
+    n_splits = max(x.shape[0] for x in docs.values())
+    parts = {s: min(B.BINS, max(1, -(-r.n * n_splits * n_folds[s] * (1 + k) // B.VALUES))) for s, r in sizes.items()}
+
+    def answer(setting: str, keys: np.ndarray, total: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the other folds hold: occurrences by class, 0 where the model doesn't know the feature; by split and fold the known features and their occurrences; which features have answers."""
         own = total.reshape(len(keys), n_splits, n_folds[setting], 1 + k)
         rest = own.sum(2, keepdims=True) - own
         known = (rest[..., 0] >= min_df).astype(np.int64)
         values = rest[..., 1:] * known[..., None]
-        return values.reshape(len(keys), -1).astype(np.int32), np.concatenate([known.sum(0)[..., None], values.sum(0)], 2)
+        back = values.reshape(len(keys), -1)
+        return back.astype(np.int32), np.concatenate([known.sum(0)[..., None], values.sum(0)], 2), (own[..., 0].sum(2) > 1).any(1)
 
-    counts = written(made.mapInArrow(count, B.PIECE))
-    found = written(B.summed(counts.where("part >= 0"), answer))
-    # by setting, split and fold: rows, rows of each class, known features, their occurrences in each class
-    docs, sums = ({s: 0 for s in sizes} for _ in range(2))
-    for r in counts.where("part < 0").select("setting", "body").toLocalIterator():
-        docs[r.setting] = docs[r.setting] + B.unpacked(bytes(r.body))
+    n_parts = F.create_map(*[F.lit(x) for s in parts for x in (s, parts[s])])
+    counts = made.where("part >= 0").select("setting", "block", (F.col("part") % n_parts[F.col("setting")]).cast("int").alias("part"), "body")
+    found = written(B.summed(counts, answer, lambda setting, body: B.counted_piece(body, n_folds[setting])))
     for r in found.where("block < 0").select("setting", "body").toLocalIterator():
         sums[r.setting] = sums[r.setting] + B.unpacked(bytes(r.body))
+    # counts go when the answers are there
+    bodies = written(made.where("part = -2").select("setting", "block", "body"))
+    drop()
+    kinds, of = bag.kinds() if isinstance(bag, Grams) else ([], {})
 
     def scored(_, table: pa.Table, pieces: pa.Table) -> pa.Table:
-        setting, block = table.column("setting")[0].as_py(), B.Rows.unpack(table.column("body")[0].as_py())
+        setting, (ids, labels, roles, held) = table.column("setting")[0].as_py(), B.unpacked(table.column("body")[0].as_py())
         n, smooth = n_folds[setting], alpha[setting] if isinstance(alpha, dict) else alpha
-        rest = B.gathered(block.feats, pieces.column("body").to_pylist(), n_splits * n * k, np.int32).reshape(len(block.feats), n_splits, n, k)
+        each = [B.unpacked(x) for x in pieces.column("body").to_pylist()]
+        keys = np.sort(np.concatenate([x for x, _ in each])) if each else np.zeros(0, np.int64)
+        rest = np.zeros((len(keys) + 1, n_splits * n * k), np.int32)  # the last for features without an answer
+        while each:
+            x, v = each.pop()
+            rest[np.searchsorted(keys, x)] = v
+        rest = rest.reshape(len(rest), n_splits, n, k)
         train = docs[setting].sum(1, keepdims=True) - docs[setting]
         known = sums[setting] if isinstance(sums[setting], np.ndarray) else np.zeros((n_splits, n, 1 + k), np.int64)
-        m = np.bincount(block.row, block.tf, len(block.ids))
         out = {c: [] for c in ("split", "row", "fold", "score")}
-        for s in range(n_splits):
-            fold = block.roles[:, s].astype(np.int64)
-            row = np.flatnonzero((fold >= 0) & (train[s, fold, 1:] > 0).all(1))
-            prior = np.log(train[s, fold[row], 1:] / train[s, fold[row], :1])
-            seen = rest[block.col, s, fold[block.row]]
-            here = np.stack([np.bincount(block.row, block.tf * np.log(seen[:, c] + smooth), len(block.ids)) for c in range(k)], 1)
-            size = known[s, fold[row], 1:] + smooth * known[s, fold[row], :1]
-            score = prior + here[row] - np.where(m[row, None] > 0, m[row, None] * np.log(np.maximum(size, 1e-300)), 0.0)
-            out["split"].append(np.full(len(row) * k, s))
-            out["row"].append(np.repeat(row, k))
-            out["fold"].append(np.repeat(fold[row], k))
-            out["score"].append(score.ravel())
+        for a, b, bags in B.stretches(held, of.get(setting, kinds)):
+            # places stand in for ids: rows keep their order
+            block = B.Rows.of_bags([f"{i:09d}" for i in range(a, b)], labels[a:b], roles[a:b], bags)
+            place = np.searchsorted(keys, block.feats)
+            place[(place == len(keys)) | (np.r_[keys, 0][place] != block.feats)] = len(keys)
+            m = np.bincount(block.row, block.tf, b - a)
+            for s in range(n_splits):
+                fold = block.roles[:, s].astype(np.int64)
+                row = np.flatnonzero((fold >= 0) & (train[s, fold, 1:] > 0).all(1))
+                prior = np.log(train[s, fold[row], 1:] / train[s, fold[row], :1])
+                seen = rest[place[block.col], s, fold[block.row]]
+                here = np.stack([np.bincount(block.row, block.tf * np.log(seen[:, c] + smooth), b - a) for c in range(k)], 1)
+                size = known[s, fold[row], 1:] + smooth * known[s, fold[row], :1]
+                score = prior + here[row] - np.where(m[row, None] > 0, m[row, None] * np.log(np.maximum(size, 1e-300)), 0.0)
+                out["split"].append(np.full(len(row) * k, s))
+                out["row"].append(np.repeat(row + a, k))
+                out["fold"].append(np.repeat(fold[row], k))
+                out["score"].append(score.ravel())
         row, score = np.concatenate(out["row"]).tolist(), np.concatenate(out["score"])
         columns = {
             "setting": pa.array([setting] * len(row), pa.string()), "split": pa.array(np.concatenate(out["split"]), pa.int32()),
-            "id": pa.array([block.ids[i] for i in row], pa.int64() if kind == "bigint" else pa.string()), "fold": pa.array(np.concatenate(out["fold"]), pa.int32()),
-            "label": pa.array([block.labels[i] for i in row], pa.string()), "class": pa.array(classes * (len(row) // k), pa.string()), "score": pa.array(score, pa.float64()),
+            "id": pa.array([ids[i] for i in row], pa.int64() if kind == "bigint" else pa.string()), "fold": pa.array(np.concatenate(out["fold"]), pa.int32()),
+            "label": pa.array([labels[i] for i in row], pa.string()), "class": pa.array(classes * (len(row) // k), pa.string()), "score": pa.array(score, pa.float64()),
         }
         return pa.table(columns)
 
-    asked = made.select("setting", "block", "body").groupBy("setting", "block").cogroup(found.where("block >= 0").groupBy("setting", "block"))
+    asked = bodies.groupBy("setting", "block").cogroup(found.where("block >= 0").groupBy("setting", "block"))
     told = asked.applyInArrow(scored, f"setting string, split int, id {kind}, fold int, label string, class string, score double")
     return told.withColumnRenamed("setting", by[0]) if by else told.drop("setting", "split")
 

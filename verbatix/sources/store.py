@@ -33,14 +33,14 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: what follows starts from files."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df written as by written, and what deletes the folder."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return spark.read.schema(df.schema).parquet(path), lambda: at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
