@@ -1,5 +1,6 @@
 """Linear models over sparse rows against plain loops, and what is built on them."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from verbatix.functions import text as X
 from verbatix.operators import crossval, folds, generate, linear, metrics
 from verbatix.sources import corpus as C
+from verbatix.sources import store
 
 NAMES = ("MGY", "NOT")
 
@@ -119,6 +121,21 @@ def test_folds_without_a_class(spark, rows):
     assert [r.frac for r in curve] == [0.15, 1.0] and curve[0].n_repeats < 5
 
 
+def test_repeats_of_a_curve_are_trained_in_turns(spark, monkeypatch, tmp_path):
+    """Turn by turn as all at once, and no features or weights of a turn stay on disk, with one shard and with several."""
+    few = spark.createDataFrame([(k, f"word{k % 3} {'good' if k % 2 else 'bad'} x{k % 7}", "POS" if k % 2 else "NEG", str(k % 10)) for k in range(60)], "id long, text string, label string, template string")
+    got, asked, train = [], [], linear.train
+    for chars, cells in ((crossval.CURVE_CHARS, linear.CELLS), (1000, linear.CELLS), (1000, 4000)):
+        asked.append(0)
+        monkeypatch.setattr(linear, "train", lambda *a, **b: asked.append(asked.pop() + 1) or train(*a, cells=cells, rounds=2, **b))  # noqa: B023
+        monkeypatch.setattr(crossval, "CURVE_CHARS", chars)
+        monkeypatch.setattr(store, "scratch", lambda _, top=tmp_path / f"{len(got)}", at=itertools.count(): f"{top}/{next(at)}")
+        got.append(crossval.learning_curve(few, "logreg", "accuracy", ["NEG", "POS"], repeats=3, fractions=(0.5, 1.0)).orderBy("frac").collect())
+        left = [spark.read.parquet(str(p)).columns for p in (tmp_path / f"{len(got) - 1}").iterdir() if any(p.glob("*.parquet"))]
+        assert left and not any("body" in c for c in left)
+    assert asked == [1, 3, 3] and got[0] == got[1] and [(r.frac, r.n_repeats) for r in got[2]] == [(0.5, 3), (1.0, 3)]
+
+
 def test_rows_without_features(spark):
     some = spark.createDataFrame([(k, "" if k % 4 == 0 else None if k % 4 == 1 else "good" if k % 4 == 2 else "bad", "POS" if k % 4 in (0, 2) else "NEG", k % 5) for k in range(40)], "id long, text string, label string, fold int")
     got = linear.cross_validated(some, bag(), linear.Spec(names=("NEG", "POS"), epochs=20)).collect()
