@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from verbatix.operators import linear
+from verbatix.operators import crossval, linear
 from verbatix.operators.grams import Grams
 
 NAMES = ("NEG", "POS")
@@ -35,3 +35,14 @@ def test_blocks_dont_change_weights(rows):
     found = [{r.feat: r.weight for r in linear.train(examples, {"s": linear.Spec(names=NAMES, epochs=5)}, 1, weights=True, cells=cells, bag=bag).collect()} for cells in (linear.CELLS, 400)]
     assert len(found[0]) > 240 and found[0] == found[1]
     assert not [f for f in os.listdir(tempfile.gettempdir()) if f.startswith("verbatix-") and f.endswith(".users")]
+
+
+def test_a_curve_packs_its_rows_once(spark, monkeypatch):
+    """All repeats are families of one setting and give what each gives alone."""
+    few = spark.createDataFrame([(k, f"word{k % 3} {'good' if k % 2 else 'bad'} x{k % 7}", NAMES[k % 2], str(k % 10)) for k in range(60)], "id long, text string, label string, template string")
+    packed, blocks, found = [], linear.B.blocks, []
+    monkeypatch.setattr(linear.B, "blocks", lambda rows, *a: packed.append(rows.count()) or blocks(rows, *a))
+    for chars in (crossval.CURVE_CHARS, 1):
+        monkeypatch.setattr(crossval, "CURVE_CHARS", chars)
+        found.append(crossval.learning_curve(few, "svm", "accuracy", list(NAMES), repeats=2, fractions=(0.3, 1.0)).orderBy("frac").collect())
+    assert packed == [60, 60, 60] and found[0] == found[1] and [r.n_repeats for r in found[0]] == [2, 2]
